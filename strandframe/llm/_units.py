@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-CHUNK = 4 << 20
+CHUNK = 1 << 19
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
