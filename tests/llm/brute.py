@@ -32,3 +32,42 @@ def decontaminate(docs, items, window=10):
                     found |= x
         out[d, t] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
     return out
+
+
+def substrings(docs, window=50):
+    """{(id, text): (n_words, n_removed, kept_sha)}; no id is null."""
+    split = {(d, t): re.findall("[^ \t-\r]+", t or "") for d, t in docs}
+    least = {}
+    for (d, _), w in split.items():
+        for p in range(len(w) - window + 1):
+            k = tuple(w[p : p + window])
+            least[k] = min(least.get(k, d), d)
+    out = {}
+    for (d, t), w in split.items():
+        gone = set()
+        for p in range(len(w) - window + 1):
+            if least[tuple(w[p : p + window])] < d:
+                gone.update(range(p, p + window))
+        out[d, t] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def simhash(text, size=4):
+    import xxhash
+
+    w = re.findall(b"[^ \t-\r]+", lower(text).encode())
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + size]), 42) for i in range(max(1, len(w) - size + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def near_duplicates(docs):
+    fp = {d: simhash(t) for d, t in docs}
+    root = {d: d for d in fp}
+    for _ in fp:
+        for a in fp:
+            for b in fp:
+                if bin(fp[a] ^ fp[b]).count("1") <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    return {d: (f"{fp[d]:016x}", root[d]) for d in fp}
