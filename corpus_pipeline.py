@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.llm import decontam
+from strandframe.llm import decontam, simhash
 from strandframe.llm._shared import documents, written
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return simhash.drop_near_copies(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+STAGES = [
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", decontamination),
+]
 
 #: The classifier and the tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
