@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandframe.llm import decontam, simhash
+from strandframe.llm import decontam, pieces, pii, simhash
 from strandframe.llm._shared import documents, written
 
 
@@ -18,9 +20,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind; n_chars follows the new text."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns with ids, n_tokens, and decoded, the text that the ids give."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.decode(pieces.encode(docs, model), model).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 STAGES = [
     ("SimHash near-dedup", near_copies),
     ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("SentencePiece encoding and decoding", encoding),
 ]
 
 #: The classifier and the tokenizer can't be expressed in SQL.
