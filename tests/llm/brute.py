@@ -88,3 +88,21 @@ def pii(text):
     ):
         out.append([f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text) if good(m[0])])
     return [*map(len, out), sha(",".join(sum(out, [])))]
+
+
+def suffixes(docs, length=200):
+    """A row (n_bytes, n_removed, n_spans, kept_sha) for each document, in order; every row is a place of its own."""
+    raw = [(t or "").encode() for _, t in docs]
+    times = {}
+    for b in raw:
+        for p in range(len(b) - length + 1):
+            times[b[p : p + length]] = times.get(b[p : p + length], 0) + 1
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if times[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\x01" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
+    return out
