@@ -6,9 +6,9 @@ labelled rows. In every round each classifier scores a pool of unlabelled docume
 either side, to the other as pseudo-labels. At the end both are calibrated on labelled rows that training never saw
 (Platt), a last logistic regression on those rows combines the calibrated views, and every document is scored.
 
-Features come from one pass over all documents, whole texts. Only fitting uses samples: at most LABELLED labelled and
-POOL unlabelled rows, those of smallest hash of the id, so at most some 40,000 short rows of numbers reach the driver
-whatever the input. Scoring is a DataFrame expression.
+Features come from one pass over all documents, whole texts. Only fitting uses samples: about LABELLED labelled
+and POOL unlabelled rows, by a threshold on the hash of the id (never over twice that), so some 40,000 short rows of
+numbers reach the driver whatever the input. Scoring is a DataFrame expression.
 
 Null or empty text: all text features zero. Null metadata is a value of its own. Null ids and ids without a label are
 scored, not learned from; of several labels of an id the smallest quality counts. Without labels of both kinds nothing
@@ -179,14 +179,19 @@ def learn(rows: DataFrame, labels: DataFrame, label_col: str = "quality") -> tup
     good = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").alias("_doc")).agg(F.min(label_col).alias("y"))
     marked = rows.dropDuplicates(["_id", "_k"]).join(good, rows.doc_id == good._doc, "left").where("doc_id is not null")
 
-    def sample(part: DataFrame, n: int):
-        return part.orderBy(F.xxhash64("doc_id", F.lit("sample")), "_k").limit(n).select("y", "source", "lang", "stated", *TEXT).toPandas()
+    sizes = marked.agg(F.count("y").alias("known"), F.count_if(F.col("y").isNull()).alias("free")).first()
 
-    known = sample(marked.where("y is not null"), LABELLED)
+    def sample(part: DataFrame, size: int, n: int):
+        if size > n:  # by the id's hash, so no task sends more than its share
+            part = part.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(n / size * (1 << 30)))
+        rows = part.select("doc_id", "_k", "y", "source", "lang", "stated", *TEXT).limit(2 * n).toPandas()
+        return rows.sort_values(["doc_id", "_k"], kind="stable").reset_index(drop=True)
+
+    known = sample(marked.where("y is not null"), sizes.known, LABELLED)
     y = known["y"].to_numpy(float)
     if len(set(y)) < 2:
         return None, float(y.mean()) if len(y) else 1.0
-    pool = sample(marked.where("y is null"), POOL)
+    pool = sample(marked.where("y is null"), sizes.free, POOL)
     views = [[t[TEXT].to_numpy(float), metadata_matrix(t["source"].to_numpy(int), t["lang"].to_numpy(int), t["stated"].to_numpy(float))] for t in (known, pool)]
     return co_train(views[0], y, views[1]), float(y.mean())
 
