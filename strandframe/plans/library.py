@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry, relational, similarity  # noqa: F401
+from . import bins, matrices, registry, relational, similarity  # noqa: F401
 
 
 def queries() -> dict:
