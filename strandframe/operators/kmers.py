@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def kmer_array(seq: Column, k: int, tail: str = "keep") -> Column:
-    """The k-mers of a sequence in order; tail="drop" leaves out the last one."""
-    n = F.length(seq) - k + (1 if tail == "keep" else 0)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-
-def explode(df: DataFrame, id_col: str, seq: str, k: int, tail: str = "keep", alphabet: str | None = None) -> DataFrame:
-    """(id, kmer), a row for each occurrence; alphabet: only k-mers of these letters."""
-    out = df.select(id_col, F.explode(kmer_array(F.col(seq), k, tail)).alias("kmer"))
+def explode(df: DataFrame, id_cols: str | list[str], seq: str, k: int, tail: str = "keep", alphabet: str | None = None) -> DataFrame:
+    """(ids, kmer), a row for each occurrence in order; tail="drop" leaves out a sequence's last one; alphabet: only
+    k-mers of these letters. Places are generated first, so that the sequence is computed once, not for each place."""
+    ids = [id_cols] if isinstance(id_cols, str) else id_cols
+    n = F.length("_s") - k + (1 if tail == "keep" else 0)
+    at = df.select(*ids, F.col(seq).alias("_s")).select(*ids, "_s", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("_i"))
+    out = at.select(*ids, F.substring(F.col("_s"), F.col("_i"), F.lit(k)).alias("kmer"))
     return out.where(F.col("kmer").rlike(f"^[{alphabet}]+$")) if alphabet else out
 
 

@@ -105,8 +105,7 @@ def lang_signatures(t):
 
 
 def turn_kmers(t, k=10):
-    cols = turns(t)
-    return cols.select("conv_id", "read_id", F.explode(kmers.kmer_array(F.col("seq"), k)).alias("kmer"))
+    return kmers.explode(turns(t), ["conv_id", "read_id"], "seq", k)
 
 
 @query(f"{SIGS} SELECT lang, count(*) AS n, min(kmer) AS least, max(kmer) AS largest FROM sig GROUP BY lang")
