@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null doc_id in keys; it sorts after every other id.
 NO_ID = 2**63 - 1
@@ -38,5 +39,28 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def extended(df: DataFrame, fields: dict[str, str]) -> T.StructType:
+    """The schema of df with more fields, whatever its columns are called."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items())).fields])
+
+
+def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs, all columns, whose (_id, _k) is (left_semi) or isn't (left_anti) among the keys; docs may have columns of
+    these names."""
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
+        F.xxhash64("doc_id", "text").alias("_k"),
+    )
+    kept = whole.join(keys, ["_id", "_k"], how)
+    return (kept if how == "left_anti" else kept.dropDuplicates(["_id", "_k"])).select("_doc.*")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, as texts may be long: a task then holds a few MB of them, not 10,000 texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

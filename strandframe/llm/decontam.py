@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _units as u
-from ._shared import keyed, written
+from ._shared import keyed, matched, written
 
 WINDOW, GRAM, BITS = 10, 5, 24
 
@@ -133,6 +133,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without the contaminated ones."""
-    key = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_k": F.xxhash64("doc_id", "text")}
-    bad = hits(docs, benchmark).where("n_hit > 0").select("_id", "_k").distinct()
-    return docs.withColumns(key).join(bad, ["_id", "_k"], "left_anti").select(*docs.columns)
+    return matched(docs, hits(docs, benchmark).where("n_hit > 0").select("_id", "_k").distinct(), "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _units as u
-from ._shared import written
+from ._shared import extended, written
 
 P = (1 << 31) - 1
 BASES = (1_103_515_245, 69_621 * 25_111)
@@ -229,4 +229,4 @@ def longest_common_extensions(pairs: DataFrame, a: str = "text_a", at_a: str = "
                 found.append(int(Prefixes(code_points(x)).extension(np.array([i]), Prefixes(code_points(y)), np.array([j]))[0]) if ok else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, out])
 
-    return pairs.mapInArrow(run, f"{pairs.schema.simpleString()[7:-1]}, {out} bigint")
+    return pairs.mapInArrow(run, extended(pairs, {out: "bigint"}))

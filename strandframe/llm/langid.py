@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _units as u
+from ._shared import extended
 
 CELLS, EXHAUSTIVE, SEED, SMOOTHING, AMBIGUOUS = 1 << 15, 5, 11, 0.5, 0.1
 
@@ -154,7 +155,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 [*rows.schema.names, "lang_pred", "score", "ambiguous"],
             )
 
-    return docs.mapInArrow(run, f"{docs.schema.simpleString()[7:-1]}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(run, extended(docs, {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}))
 
 
 def identify(docs: DataFrame) -> DataFrame:

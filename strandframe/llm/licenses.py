@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _units as u
-from ._shared import written
+from ._shared import extended, written
 from .decontam import INSIDE, LOWER
 
 CLOSE, SHARE = 0.6, 0.3
@@ -155,8 +155,7 @@ def own_licenses(docs: DataFrame, templates=TEMPLATES, close: float = CLOSE, sha
             )
 
     docs = docs.drop("own_license", "own_score", "is_licence_file")
-    rest = docs.drop("text").schema.simpleString()[7:-1]
-    return docs.mapInArrow(run, f"{rest}, own_license string, own_score double, is_licence_file boolean")
+    return docs.mapInArrow(run, extended(docs.drop("text"), {"own_license": "string", "own_score": "double", "is_licence_file": "boolean"}))
 
 
 def ancestors(directory: Column) -> Column:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _units as u
+from ._shared import extended
 
 LONG, VOCABULARY, CHUNK, MODEL_MB = 200, 300_000, 1 << 21, 64
 SPACE = "▁"
@@ -370,7 +371,20 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         for rows, _, ids, first in _pieces_of(batches, text_col, proto):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], [*rows.schema.names, ids_col])
 
-    return docs.mapInArrow(run, f"{docs.schema.simpleString()[7:-1]}, {ids_col} array<int>")
+    return docs.mapInArrow(run, extended(docs, {ids_col: "array<int>"}))
+
+
+def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """docs with the ids of text_col and the text that decoding these gives, in one pass over the texts."""
+    proto = _proto(docs.sparkSession, model_path)
+    docs = docs.drop(ids_col, decoded_col)
+
+    def run(batches):
+        for rows, model, ids, first in _pieces_of(batches, text_col, proto):
+            texts = pa.array([t.decode() for t in model.decode(ids, first)], pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), texts], [*rows.schema.names, ids_col, decoded_col])
+
+    return docs.mapInArrow(run, extended(docs, {ids_col: "array<int>", decoded_col: "string"}))
 
 
 def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -386,7 +400,7 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
             first = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(listed), 0).to_numpy())))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t.decode() for t in model.decode(ids, first)], pa.string())], [*b.schema.names, text_col])
 
-    return docs.mapInArrow(run, f"{docs.schema.simpleString()[7:-1]}, {text_col} string")
+    return docs.mapInArrow(run, extended(docs, {text_col: "string"}))
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:

@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _units as u
+from ._shared import extended
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "secret", "iban", "address")
 KINDS = BASE + ADDED
@@ -149,13 +152,12 @@ def find_spans(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_sp
     """docs with a column of all spans, array<struct<kind, start, end>>; an older column of that name is replaced."""
 
     def run(batches):
-        for b in batches:
+        for b, _, _ in u.chunks(batches, text_col):
             found = [find(t) if t else [] for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in found], pa.list_(_SPAN))], [*b.schema.names, spans_col])
 
     docs = docs.drop(spans_col)
-    schema = docs.schema.simpleString()[7:-1]
-    return docs.mapInArrow(run, f"{schema}, {spans_col} array<struct<kind string, start int, end int>>" if docs.columns else spans_col)
+    return docs.mapInArrow(run, extended(docs, {spans_col: "array<struct<kind string, start int, end int>>"}))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b, _, _ in u.chunks(batches, text_col):
             texts = [t and redact(t, find(t)) for t in b.column(text_col).to_pylist()]
             yield b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type))
 

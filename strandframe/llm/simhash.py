@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _units as u
 from ._graph import components as connected
-from ._shared import NO_ID, keyed, written
+from ._shared import NO_ID, keyed, matched, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Widths of the ring's segments, from the lowest bit on.
@@ -126,6 +126,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each component: that of the smallest doc_id (then of the least text hash, and of repeated rows one)."""
-    key = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k": F.xxhash64("doc_id", "text")}
-    kept = components(docs).groupBy("component").agg(F.min(F.struct("_id", "_k")).alias("k")).select("k.*")
-    return docs.withColumns(key).join(kept, ["_id", "_k"], "left_semi").dropDuplicates(["_id", "_k"]).select(*docs.columns)
+    return matched(docs, components(docs).groupBy("component").agg(F.min(F.struct("_id", "_k")).alias("k")).select("k.*"), "left_semi")

@@ -60,4 +60,6 @@ def test_tables(spark):
     want = [(i, len(e := LIB.encode(t or "")), brute.sha(",".join(map(str, e))), brute.sha(LIB.decode(e))) for i, t, _, _ in rows]
     assert [tuple(r) for r in pieces.digest(docs, PATH).collect()] == want
     back = pieces.decode(pieces.encode(docs, PATH), PATH)
-    assert [(r.ids, r.decoded) for r in back.collect()] == [(LIB.encode(t or ""), t or "") for _, t, _, _ in rows]
+    both = pieces.round_trip(docs, PATH)
+    assert both.columns == back.columns
+    assert [(r.ids, r.decoded) for r in both.collect()] == [(r.ids, r.decoded) for r in back.collect()] == [(LIB.encode(t or ""), t or "") for _, t, _, _ in rows]

@@ -8,7 +8,7 @@ from strandframe.llm._graph import components
 
 from . import brute
 
-DOCS = "doc_id long, text string, fp long, component string"
+DOCS = "doc_id long, text string, fp long, `_k` string"
 
 
 def test_graph_against_union_find(spark):
@@ -63,4 +63,4 @@ def test_empty_null_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, DOCS)
     assert sorted(((r.doc_id or 9), r.component_id or 9) for r in simhash.near_duplicates(docs).collect()) == [(3, 3), (4, 4), (4, 4), (9, 4), (9, 9)]
     kept = simhash.drop_near_copies(docs)
-    assert kept.columns == docs.columns and sorted((r.doc_id or 9) for r in kept.collect()) == [3, 4, 9]
+    assert kept.columns == docs.columns and {r._k for r in kept.collect()} == {""} and sorted((r.doc_id or 9) for r in kept.collect()) == [3, 4, 9]
