@@ -13,7 +13,7 @@ numbers reach the driver whatever the input. Scoring is a DataFrame expression.
 Null or empty text: all text features zero. Null metadata is a value of its own. Null ids and ids without a label are
 scored, not learned from; of several labels of an id the smallest quality counts. Without labels of both kinds nothing
 is learned: every document gets the share of good labels (1 without labels) and views null. Repeated rows are scored
-alike. Extra columns are ignored by `score_documents` and kept by `drop_rejected`.
+alike. Extra columns are ignored by `classify` and kept by `drop_rejected`.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _units as u
-from ._shared import written
+from ._shared import extended, written
 
 LABELLED, POOL, ROUNDS, SURE, HANDED, THRESHOLD = 20_000, 20_000, 4, 0.95, 0.05, 0.5
 SOURCES, LANGUAGES = 32, 8
@@ -73,19 +73,20 @@ def _features(batches):
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, _id, _k, the metadata as numbers (source, lang: hashed cells; stated: log of the length), and TEXT."""
 
+    rows = docs.select(*(c.alias(n) for n, c in (_metadata(docs) | _key(docs)).items()))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_features, f"doc_id {id_type}, _id long, _k long, source int, lang int, stated double, " + ", ".join(f"{c} double" for c in TEXT))
+
+
+def _metadata(docs: DataFrame) -> dict[str, Column]:
     def column(name: str) -> Column:
         return F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
 
-    both = docs.select(
-        "doc_id",
-        "text",
-        F.pmod(F.xxhash64(F.coalesce(column("source"), F.lit(""))), F.lit(SOURCES)).cast("int").alias("source"),
-        F.pmod(F.xxhash64(F.coalesce(column("lang"), F.lit(""))), F.lit(LANGUAGES)).cast("int").alias("lang"),
-        F.log1p(F.greatest(F.coalesce(column("n_chars").try_cast("double"), F.lit(0.0)), F.lit(0.0))).alias("stated"),
-    )
-    rows = both.select("source", "lang", "stated", *(keyed_column.alias(name) for name, keyed_column in _key(both).items()))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_features, f"doc_id {id_type}, _id long, _k long, source int, lang int, stated double, " + ", ".join(f"{c} double" for c in TEXT))
+    return {
+        "source": F.pmod(F.xxhash64(F.coalesce(column("source"), F.lit(""))), F.lit(SOURCES)).cast("int"),
+        "lang": F.pmod(F.xxhash64(F.coalesce(column("lang"), F.lit(""))), F.lit(LANGUAGES)).cast("int"),
+        "stated": F.log1p(F.greatest(F.coalesce(column("n_chars").try_cast("double"), F.lit(0.0)), F.lit(0.0))),
+    }
 
 
 def _key(docs: DataFrame) -> dict[str, Column]:
@@ -200,26 +201,33 @@ def _probability(logit: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, _id, _k, p_text, p_meta, score (probability of good quality) and keep."""
-    rows = written(features(docs))
-    model, share = learn(rows, labels)
+def probabilities(model: Model | None, share: float) -> list[Column]:
+    """p_text, p_meta and score (probability of good quality) from the columns of features()."""
     if model is None:
-        views = [F.lit(None).cast("double")] * 2
-        score = F.lit(share)
-    else:
-        logits = [c.column([m.column(x)]) for m, c, x in zip(model.views, model.calibration, ([F.col(c) for c in TEXT], metadata_columns()), strict=True)]
-        views, score = [_probability(x) for x in logits], _probability(model.combination.column(logits))
-    scored = rows.select("doc_id", "_id", "_k", views[0].alias("p_text"), views[1].alias("p_meta"), score.alias("score"))
-    return scored.withColumn("keep", F.col("score") >= threshold)
+        return [F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(share)]
+    logits = [c.column([m.column(x)]) for m, c, x in zip(model.views, model.calibration, ([F.col(c) for c in TEXT], metadata_columns()), strict=True)]
+    return [*map(_probability, logits), _probability(model.combination.column(logits))]
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, p_text, p_meta, score and keep."""
+    rows = written(features(docs))
+    columns = probabilities(*learn(rows, labels))
+    return rows.select("doc_id", *(c.alias(n) for c, n in zip(columns, ("p_text", "p_meta", "score"), strict=True))).withColumn("keep", F.col("score") >= threshold)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score_documents(docs, labels).drop("_id", "_k")
+def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without the rejected ones. The texts are read twice, once to learn and once to judge, so that
+    they needn't be shuffled for a join with their scores."""
+    score = probabilities(*learn(written(features(docs)), labels))[2]
+    names = [f"_f_{c}" for c in TEXT]
 
+    def run(batches):
+        for rows, data, offsets in u.chunks(batches):
+            x = text_features(data, offsets)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, np.ascontiguousarray(x.T))], [*rows.schema.names, *names])
 
-def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the rejected ones."""
-    bad = score_documents(docs, labels).where("not keep").select("_id", "_k").distinct()
-    key = {k: c for k, c in _key(docs).items() if k in ("_id", "_k")}
-    return docs.withColumns(key).join(bad, ["_id", "_k"], "left_anti").select(*docs.columns)
+    meta = docs.select("*", *(c.alias(f"_f_{n}") for n, c in _metadata(docs).items()))
+    judged = meta.mapInArrow(run, extended(meta, dict.fromkeys(names, "double")))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    return judged.select(whole, *(F.col(f"_f_{c}").alias(c) for c in ("source", "lang", "stated", *TEXT))).where(score >= threshold).select("_doc.*")
