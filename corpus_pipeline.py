@@ -7,33 +7,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import decontam, pieces, pii, quality, simhash
-from strandframe.llm._shared import documents, written
+from strandframe.llm._shared import documents, small_batches, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     return quality.drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
+    small_batches(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind; n_chars follows the new text."""
+    small_batches(spark)
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with ids, n_tokens, and decoded, the text that the ids give."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.decode(pieces.encode(docs, model), model).withColumn("n_tokens", F.size("ids").cast("long"))
+    small_batches(spark)
+    return pieces.round_trip(docs, model).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
