@@ -138,3 +138,8 @@ def supermatrix(df: DataFrame, role: str, genome: str, seq: str) -> DataFrame:
     """(role, genome, seq): the longest sequence of each, of roles that every genome has."""
     best = df.groupBy(role, genome).agg(F.min(F.struct((-F.length(seq)).alias("l"), F.col(seq).alias("s"))).alias("b")).select(role, genome, F.col("b.s").alias(seq))
     return tables.complete_in_all(best, role, genome)
+
+
+def filter_similar(pairs: DataFrame, id_col: str, least: float) -> DataFrame:
+    """Ids whose identity with some reference (pairs with their identity) is at least that."""
+    return pairs.where(F.col("identity") >= least).select(id_col).distinct()

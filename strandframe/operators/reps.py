@@ -149,3 +149,46 @@ def bidirectional_best(scores: DataFrame, left: str, right: str, least: int = 10
     s = scores.where(F.col("score") >= least)
     ranks = {"_l": F.rank().over(W.partitionBy(left).orderBy(F.desc("score"))), "_r": F.rank().over(W.partitionBy(right).orderBy(F.desc("score")))}
     return s.withColumns(ranks).where("_l = 1 and _r = 1").drop("_l", "_r")
+
+
+def closest_members(close: DataFrame, members: DataFrame, scores: DataFrame, query: str, rep: str, member: str, n: int = 10, least: int = 25) -> DataFrame:
+    """Each query's n closest members of the groups whose representative it is close to; scores: (query, member, score)."""
+    options = close.where(F.col("score") >= least).select(query, rep).join(members.select(rep, member), rep)
+    ranked = options.join(scores.select(query, member, "score"), [query, member])
+    return ranked.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), member))).where(F.col("rank") <= n)
+
+
+def closest_refine(scores: DataFrame, pairs: DataFrame, nodes: DataFrame, query: str, node: str, levels: list[int]) -> DataFrame:
+    """The closest node of each query, searched from coarse to fine: among the set thinned at the first level, then at
+    each level among the neighbours (of that score) of the best one so far, itself included."""
+    start = thin(pairs, nodes, levels[0]).select(F.col("node").alias(node))
+    best = find(scores.join(start, node, "left_semi"), query, node)
+    for level in levels:
+        near = pairs.where(F.col("score") >= level).select(F.col("a").alias(node), F.col("b").alias("_n"))
+        options = best.join(near, node).select(query, F.col("_n").alias(node)).unionByName(best.select(query, node)).distinct()
+        best = graph.written(find(scores.join(options, [query, node]), query, node))
+    return best
+
+
+def taxonomy_breakdown(df: DataFrame, group: str, genus: str, species: str) -> DataFrame:
+    """(group, genus, members, species): how many members and species of each genus a group has."""
+    return df.groupBy(group, F.coalesce(genus, F.lit("<unknown>")).alias(genus)).agg(F.count("*").alias("members"), F.count_distinct(species).alias("species"))
+
+
+def distances(kmers_a: DataFrame, kmers_b: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, distance) of pairs with a common k-mer: 1 - shared / union of their k-mer sets; all others are at 1."""
+    x, y = kmers_a.select(a, "kmer").distinct(), kmers_b.select(b, "kmer").distinct()
+    nx, ny = x.groupBy(a).agg(F.count("*").alias("_x")), y.groupBy(b).agg(F.count("*").alias("_y"))
+    shared = x.join(y, "kmer").groupBy(a, b).agg(F.count("*").alias("_s"))
+    return shared.join(nx, a).join(ny, b).select(a, b, (1 - F.col("_s") / (F.col("_x") + F.col("_y") - F.col("_s"))).alias("distance"))
+
+
+def pair_check(seed: DataFrame, profile: DataFrame) -> DataFrame:
+    """(a, b, seed_score, profile_score) of pairs that either similarity knows."""
+    return seed.select("a", "b", F.col("score").alias("seed_score")).join(profile.select("a", "b", F.col("score").alias("profile_score")), ["a", "b"], "full")
+
+
+def classify(scores: DataFrame, queries: DataFrame, query: str, rep: str, close: int, far: int) -> DataFrame:
+    """The best representative with a class: blank if close, outlier below that, extreme below far."""
+    out = check(scores, queries, query, rep, close, far)
+    return out.withColumn("class", F.when(F.col("class") == "represented", "").when(F.col("class") == "middle", "outlier").otherwise("extreme"))

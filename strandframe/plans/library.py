@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bins, files, matrices, registry, relational, sequences, similarity  # noqa: F401
+from . import bins, files, matrices, more, registry, relational, sequences, similarity  # noqa: F401
 
 
 def queries() -> dict:
