@@ -92,5 +92,4 @@ WINDOWS = "anchor long, key long, key2 long, _id long, rel int, step int, wh lon
 def windows(docs: DataFrame, runs: DataFrame, units: Units, width: int) -> DataFrame:
     """Every window of the given runs (anchor, key, key2, _id, _k, at, n, lead), from the documents' texts."""
     of_doc = runs.groupBy("_id", "_k").agg(F.collect_list(F.struct("anchor", "key", "key2", "at", "n", "lead")).alias("runs"))
-    once = docs.select("_id", "_k", "text").join(of_doc, ["_id", "_k"])
-    return once.mapInArrow(windows_of(units, width), WINDOWS)
+    return docs.join(of_doc, ["_id", "_k"]).mapInArrow(windows_of(units, width), WINDOWS)

@@ -167,7 +167,8 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     shared = rep.shared_anchors(distinct)
     doubtful = distinct.join(shared.where(F.col("runs") <= hot).select("anchor"), "anchor", "left_semi")
     of_doc = doubtful.groupBy("_id", "_k").agg(F.collect_list(F.struct("anchor", "lead", "copies", "at", "n")).alias("runs"))
-    segments = docs.select("_id", "_k", "text").join(of_doc, ["_id", "_k"]).mapInArrow(_segments(length), "anchor long, lead int, copies int, _id long, _k long, at long, bytes binary")
+    # all columns of docs: so the exchange of the texts is the same here and where the result is applied, and is reused
+    segments = docs.join(of_doc, ["_id", "_k"]).mapInArrow(_segments(length), "anchor long, lead int, copies int, _id long, _k long, at long, bytes binary")
     found = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(length), "_id long, _k long, at long, n int")
     crowded = distinct.join(shared.where(F.col("runs") > hot).select("anchor"), "anchor", "left_semi")
     each = rep.windows(docs, crowded, units, length)
