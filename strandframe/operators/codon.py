@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import seq
 
@@ -98,7 +99,7 @@ def upper_gamma(a: float, x: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_chi_square(x: pd.Series, df: pd.Series) -> pd.Series:
     """P of a chi-square of at least x; null without degrees of freedom."""
     return pd.Series([upper_gamma(d / 2, v / 2) if d and d > 0 and v is not None else None for v, d in zip(x, df, strict=True)], dtype=float)
