@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from . import _sketch
 from . import _units as u
 
-RUN = ["anchor", "key", "key2"]
+#: Names a distinct run: 128 bits of its content, which also fix its anchor.
+RUN = ["key", "key2"]
+#: Names a window's content.
+WINDOW = ["wh", "wh2"]
 
 #: From bytes and offsets of a chunk to the hashes of its units and each document's first unit.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -62,9 +65,9 @@ def shared_anchors(distinct: DataFrame) -> DataFrame:
 
 
 def windows_of(units: Units, width: int):
-    """For mapInArrow over (_id, _k, text, runs array<struct<at, n, lead, ...>>): a row for each window of each run.
+    """For mapInArrow over (_id, _k, text, runs array<struct<key, key2, at, n>>): a row for each window of each run.
 
-    rel: the window's place relative to its run's anchor; wh, wh2: 128 bits of its content.
+    step: the window's place in its run; wh, wh2: 128 bits of its content.
     """
 
     def run(batches):
@@ -74,22 +77,22 @@ def windows_of(units: Units, width: int):
             listed = rows.column("runs")
             doc = pa.compute.list_parent_indices(listed).to_numpy().astype(np.int64)
             flat = listed.flatten()
-            at, n, lead = (flat.field(c).to_numpy().astype(np.int64) for c in ("at", "n", "lead"))
+            at, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("at", "n"))
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             of = np.repeat(np.arange(len(n)), n)
             start = first[doc[of]] + at[of] + step
             yield pa.RecordBatch.from_arrays(
-                [*(flat.field(c).take(pa.array(of)) for c in ("anchor", "key", "key2")), rows.column("_id").take(pa.array(doc[of])), pa.array((step - lead[of]).astype(np.int32)), pa.array(step.astype(np.int32)), u.long(u.mix(u.between(p, start, start + width))), u.long(u.mix(u.between(p2, start, start + width, 1)))],
-                ["anchor", "key", "key2", "_id", "rel", "step", "wh", "wh2"],
+                [*(flat.field(c).take(pa.array(of)) for c in RUN), rows.column("_id").take(pa.array(doc[of])), pa.array(step.astype(np.int32)), u.long(u.mix(u.between(p, start, start + width))), u.long(u.mix(u.between(p2, start, start + width, 1)))],
+                [*RUN, "_id", "step", *WINDOW],
             )
 
     return run
 
 
-WINDOWS = "anchor long, key long, key2 long, _id long, rel int, step int, wh long, wh2 long"
+WINDOWS = "key long, key2 long, _id long, step int, wh long, wh2 long"
 
 
 def windows(docs: DataFrame, runs: DataFrame, units: Units, width: int) -> DataFrame:
-    """Every window of the given runs (anchor, key, key2, _id, _k, at, n, lead), from the documents' texts."""
-    of_doc = runs.groupBy("_id", "_k").agg(F.collect_list(F.struct("anchor", "key", "key2", "at", "n", "lead")).alias("runs"))
+    """Every window of the given runs (key, key2, _id, _k, at, n), from the documents' texts."""
+    of_doc = runs.groupBy("_id", "_k").agg(F.collect_list(F.struct(*RUN, "at", "n")).alias("runs"))
     return docs.join(of_doc, ["_id", "_k"]).mapInArrow(windows_of(units, width), WINDOWS)

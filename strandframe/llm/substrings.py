@@ -36,13 +36,13 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def removed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sketch) -> DataFrame:
     """(_id, _k, at, n): stretches of n consecutive windows to remove, from place at on; docs as from keyed()."""
     runs = written(rep.candidate_runs(docs, units, window, gram, **sketch))
-    first = F.min(F.struct("_id", "_k", "at", "n", "lead"))
+    first = F.min(F.struct("_id", "_k", "at", "n", "anchor"))
     distinct = written(runs.groupBy(*rep.RUN).agg(first.alias("first")).select(*rep.RUN, "first.*"))
     later = runs.join(distinct.select(*rep.RUN, F.col("_id").alias("least")), rep.RUN).where("_id > least").select("_id", "_k", "at", "n")
     doubtful = distinct.join(rep.shared_anchors(distinct).select("anchor"), "anchor", "left_semi")
-    each = written(rep.windows(docs, doubtful, units, window))
-    least = each.groupBy("anchor", "rel", "wh", "wh2").agg(F.min("_id").alias("least"))
-    lost = each.join(least, ["anchor", "rel", "wh", "wh2"]).where("_id > least").select(*rep.RUN, "_id", "step").distinct()
+    each = rep.windows(docs, doubtful, units, window)  # not written: so its exchange of the texts is the result's too
+    least = each.groupBy(*rep.WINDOW).agg(F.min("_id").alias("least"))
+    lost = each.join(least, rep.WINDOW).where("_id > least").select(*rep.RUN, "_id", "step").distinct()
     firsts = runs.join(doubtful.select(*rep.RUN, "_id"), [*rep.RUN, "_id"], "left_semi")  # a run may stand several times in its first document
     singly = firsts.join(lost, [*rep.RUN, "_id"]).select("_id", "_k", (F.col("at") + F.col("step")).alias("at"), F.lit(1).alias("n"))
     return later.unionByName(singly)

@@ -162,7 +162,7 @@ def _repeated(length: int):
 def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, **sketch) -> DataFrame:
     """(_id, _k, at, n): stretches of n consecutive repeated windows from byte at on; docs as from keyed()."""
     runs = written(rep.candidate_runs(docs, units, length, gram, **sketch))
-    distinct = written(runs.groupBy(*rep.RUN).agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_k", "at", "n", "lead")).alias("first")).select(*rep.RUN, F.least("copies", F.lit(2)).cast("int").alias("copies"), "first.*"))
+    distinct = written(runs.groupBy(*rep.RUN).agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_k", "at", "n", "lead", "anchor")).alias("first")).select(*rep.RUN, F.least("copies", F.lit(2)).cast("int").alias("copies"), "first.*"))
     copied = runs.join(distinct.where("copies > 1").select(*rep.RUN), rep.RUN, "left_semi").select("_id", "_k", "at", "n")
     shared = rep.shared_anchors(distinct)
     doubtful = distinct.join(shared.where(F.col("runs") <= hot).select("anchor"), "anchor", "left_semi")
@@ -172,8 +172,8 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     found = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(length), "_id long, _k long, at long, n int")
     crowded = distinct.join(shared.where(F.col("runs") > hot).select("anchor"), "anchor", "left_semi")
     each = rep.windows(docs, crowded, units, length)
-    again = each.groupBy("anchor", "rel", "wh", "wh2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    lost = each.join(again, ["anchor", "rel", "wh", "wh2"]).select(*rep.RUN, "step").distinct()
+    again = each.groupBy(*rep.WINDOW).agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    lost = each.join(again, rep.WINDOW).select(*rep.RUN, "step").distinct()
     singly = crowded.where("copies = 1").join(lost, rep.RUN).select("_id", "_k", (F.col("at") + F.col("step")).alias("at"), F.lit(1).alias("n"))
     return copied.unionByName(found).unionByName(singly)
 
