@@ -25,8 +25,8 @@ def explode_spaced(df: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
 
 def common(a: DataFrame, b: DataFrame, a_id: str, b_id: str, mode: str = "occurrences") -> DataFrame:
     """(a_id, b_id, score) from two k-mer tables: occurrences in b of a's k-mer set, or (mode="set") shared k-mers."""
-    left = a.select(a_id, "kmer").distinct()
     right = b.select(b_id, "kmer")
+    left = a.select(a_id, "kmer").join(right.select("kmer").distinct(), "kmer", "left_semi").distinct()  # most k-mers meet nothing
     right = right.distinct() if mode == "set" else right.groupBy(b_id, "kmer").agg(F.count("*").alias("_n"))
     score = F.count("*") if mode == "set" else F.sum("_n")
     return left.join(right, "kmer").groupBy(a_id, b_id).agg(score.alias("score"))

@@ -46,18 +46,18 @@ def a7_correlation(t):
 
 @query("""WITH r AS (SELECT l_suppkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
 f AS (SELECT *, greatest(0.0, least(n * 0.25 - 0.5, n - 1.0)) AS p25, greatest(0.0, least(n * 0.5 - 0.5, n - 1.0)) AS p50, greatest(0.0, least(n * 0.9 - 0.5, n - 1.0)) AS p90 FROM r)
-SELECT l_suppkey, round(sum(v * greatest(0.0, 1 - abs(i - p25))::DOUBLE), 4) AS q25, round(sum(v * greatest(0.0, 1 - abs(i - p50))::DOUBLE), 4) AS q50, round(sum(v * greatest(0.0, 1 - abs(i - p90))::DOUBLE), 4) AS q90
+SELECT l_suppkey, round(sum(v * greatest(0.0, 1 - abs(i - p25))::DOUBLE), 6) AS q25, round(sum(v * greatest(0.0, 1 - abs(i - p50))::DOUBLE), 6) AS q50, round(sum(v * greatest(0.0, 1 - abs(i - p90))::DOUBLE), 6) AS q90
 FROM f GROUP BY l_suppkey""")
 def a8_quantile(t):
     out = stats.quantile(t("lineitem"), ["l_suppkey"], "l_extendedprice", [0.25, 0.5, 0.9])
-    return out.select("l_suppkey", *(F.round(c, 4).alias(c) for c in ("q25", "q50", "q90")))
+    return out.select("l_suppkey", *(F.round(c, 6).alias(c) for c in ("q25", "q50", "q90")))
 
 
-@query("""SELECT l_returnflag, round(q[1], 4) AS q0, round(q[2], 4) AS q1, round(q[3], 4) AS q2, round(q[4], 4) AS q3, round(q[5], 4) AS q4, round((q[2] + 2 * q[3] + q[4]) / 4, 4) AS trimean, round(q[4] - q[2], 4) AS iqr
+@query("""SELECT l_returnflag, round(q[1], 6) AS q0, round(q[2], 6) AS q1, round(q[3], 6) AS q2, round(q[4], 6) AS q3, round(q[5], 6) AS q4, round((q[2] + 2 * q[3] + q[4]) / 4, 6) AS trimean, round(q[4] - q[2], 6) AS iqr
 FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM lineitem GROUP BY l_returnflag)""")
 def a9_summary5(t):
     out = stats.summary5(t("lineitem"), ["l_returnflag"], "l_extendedprice")
-    return out.select("l_returnflag", *(F.round(c, 4).alias(c) for c in out.columns[1:]))
+    return out.select("l_returnflag", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
 @query("""WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS o, sum(l_quantity) AS e FROM lineitem GROUP BY ALL), s AS (SELECT l_suppkey, sum(o) / sum(e) AS scale FROM c GROUP BY l_suppkey)
