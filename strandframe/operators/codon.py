@@ -21,10 +21,8 @@ def table(spark, amino_acids: int = 20) -> DataFrame:
 
 def counts(genes: DataFrame, gene: str, dna: str) -> DataFrame:
     """(gene, codon, n): whole codons but the first, without ambiguous ones and a final stop; U counts as T."""
-    n = F.floor(F.length("_d") / 3).cast("int")
-    at = genes.select(gene, seq.normalize(F.col(dna), "dna").alias("_d")).select(gene, "_d", F.explode(F.when(n > 1, F.sequence(F.lit(1), n - 1))).alias("_i"))
-    codons = at.select(gene, F.substring(F.col("_d"), F.col("_i") * 3 + 1, F.lit(3)).alias("codon"), (F.col("_i") == n - 1).alias("_last"))
-    final_stop = F.col("_last") & F.col("codon").isin("TAA", "TAG", "TGA")
+    codons = seq.places(genes, [gene], seq.normalize(F.col(dna), "dna"), 3, 3).where("place > 0").withColumnRenamed("piece", "codon")
+    final_stop = F.col("last") & F.col("codon").isin("TAA", "TAG", "TGA")
     return codons.where(~final_stop & F.col("codon").rlike("^[ACGT]{3}$")).groupBy(gene, "codon").agg(F.count("*").alias("n"))
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import seq as sq
+
 
 def explode(df: DataFrame, id_cols: str | list[str], seq: str, k: int, tail: str = "keep", alphabet: str | None = None) -> DataFrame:
-    """(ids, kmer), a row for each occurrence in order; tail="drop" leaves out a sequence's last one; alphabet: only
-    k-mers of these letters. Places are generated first, so that the sequence is computed once, not for each place."""
+    """(ids, kmer), a row for each occurrence; tail="drop" leaves out a sequence's last one; alphabet: only k-mers of
+    these letters."""
     ids = [id_cols] if isinstance(id_cols, str) else id_cols
-    n = F.length("_s") - k + (1 if tail == "keep" else 0)
-    at = df.select(*ids, F.col(seq).alias("_s")).select(*ids, "_s", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("_i"))
-    out = at.select(*ids, F.substring(F.col("_s"), F.col("_i"), F.lit(k)).alias("kmer"))
+    out = sq.places(df, ids, F.col(seq), k, 1, 0 if tail == "keep" else 1).select(*ids, F.col("piece").alias("kmer"))
     return out.where(F.col("kmer").rlike(f"^[{alphabet}]+$")) if alphabet else out
 
 
