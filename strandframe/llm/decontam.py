@@ -8,7 +8,10 @@ by a 128-bit hash.
 A bitmap of the test fingerprints (fixed size) is sent to the tasks, so that only document windows whose fingerprint
 may occur are shuffled; the join itself is exact, whatever the bitmap lets through.
 
-Nulls and empty texts have no words; a document without words, and any document when the benchmark is empty, has no
+An item without an id counts like any other for words and hits, and all of them as one item in n_items, as in the
+query's SQL; the list of ids leaves null out.
+
+Null and empty texts have no words; a document without words, and any document when the benchmark is empty, has no
 hits. Rows that agree in doc_id and text count as one document for the joins, and each of them gets its row. Extra
 columns are ignored by `hits` and kept by `drop_contaminated`.
 """
@@ -100,10 +103,11 @@ def _bitmap(windows: DataFrame) -> bytes:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """doc_id, _id, _k, n_words, n_hit (words inside an occurrence of a window) and items (sorted ids as strings)."""
+    """doc_id, _id, _k, n_words, n_hit (words inside an occurrence of a window), items (sorted ids as strings, without null)
+    and no_id (whether an item without an id occurs)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     windows = written(items.mapInArrow(_item_windows(window), "item string, len int, fp long, wh long, wh2 long").distinct())
     lengths = sorted(r.len for r in windows.select("len").distinct().collect())  # at most `window` numbers
     bitmap = spark.sparkContext.broadcast(_bitmap(windows))
@@ -115,8 +119,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["to"] - F.greatest(x["at"], a["to"]))).alias("n"), F.greatest(a["to"], x["to"]).alias("to")),
         lambda a: a["n"].cast("long"),
     )
-    of_doc = occurring.groupBy("_id", "_k").agg(covered.alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    return seen.drop("found").join(of_doc, ["_id", "_k"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    of_doc = occurring.groupBy("_id", "_k").agg(covered.alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull()).alias("no_id"))
+    return seen.drop("found").join(of_doc, ["_id", "_k"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>")), "no_id": F.coalesce("no_id", F.lit(False))})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
+        (F.size("items") + F.col("no_id").cast("int")).cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
