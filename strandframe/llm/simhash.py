@@ -14,7 +14,9 @@ only pairs between different labels, of each pair of labels one. A link inside a
 similarity of 0.8 or more. Pairs of that similarity differ by ten fingerprint bits or so, more than a Hamming budget can
 search, so its candidates come from an exact prefix filter instead: shingles are put in one order, and two such sets
 share one of the first fifth of either. Shingles common in a sample come last in that order, which keeps the groups
-small and doesn't change the pairs. Each candidate is settled by its whole sets. Equal sets are one node; nodes that
+small and doesn't change the pairs. Candidates that can't reach 0.8 by their sizes, the place of the shingle or the
+parities of 256 cells (as many differing shingles at least as differing parities) go; the rest are settled by their
+whole sets. Equal sets are one node; nodes that
 share a shingle are first compared with one of them, then all pairs that are not connected yet.
 
 Null or empty text: fingerprint zero, linked like any other. A null doc_id is larger than any other; component_id is
@@ -155,22 +157,28 @@ def _common(rows: DataFrame) -> np.ndarray:
     return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
 
 
+PARITIES = [f"parity_{i}" for i in range(4)]
+
+
 def _prefixes(common):
     def run(batches):
         last = common.value
         for rows, data, offsets in u.chunks(batches):
-            text, node, size, first = data.tobytes(), [], [], []
+            text, node, size, first, parity = data.tobytes(), [], [], [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 h = _set(text[a:b])
                 n = len(h)
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 size.append(n)
                 # sets of up to three have no partner but their equals
-                order = np.argsort(np.isin(h, last), kind="stable")[: n - -(-FIFTHS * n // 5) + 1] if n > 3 else np.zeros(0, int)
+                held = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(n, bool)
+                order = np.argsort(held, kind="stable")[: n - -(-FIFTHS * n // 5) + 1] if n > 3 else np.zeros(0, int)
+                parity.append(np.packbits(np.bincount((h & u.U(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
                 first.append(h[order].view(np.int64))
             bounds = np.cumsum([0, *map(len, first)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(first)))
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_k"), u.long(np.array(node, np.uint64)), pa.array(np.array(size, np.int64)), values], ["_id", "_k", "node", "n", "first"])
+            cells = [pa.array(np.ascontiguousarray(c)) for c in np.array(parity).reshape(-1, 4).T]
+            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_k"), u.long(np.array(node, np.uint64)), pa.array(np.array(size, np.int64)), values, *cells], ["_id", "_k", "node", "n", "first", *PARITIES])
 
     return run
 
@@ -194,39 +202,48 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     rows = keyed(docs).select("_id", "_k", "text")
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(_common(rows))
-    seen = rows.mapInArrow(_prefixes(common), "_id long, _k long, node long, n long, first array<long>")
-    nodes = written(seen.groupBy("node").agg(F.min(F.struct("_id", "_k")).alias("k"), F.first("n").alias("n"), F.first("first").alias("first")))
+    seen = rows.mapInArrow(_prefixes(common), "_id long, _k long, node long, n long, first array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
+    nodes = written(seen.groupBy("node").agg(F.min(F.struct("_id", "_k")).alias("k"), *(F.first(c).alias(c) for c in ("n", "first", *PARITIES))))
     of_shingle = Window.partitionBy("h")
-    posts = nodes.select("node", "n", F.explode("first").alias("h")).withColumn("held", F.count("*").over(of_shingle))
-    shared = written(posts.where("held > 1").drop("held"))
-    needed = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "k.*")
-    bitmap = spark.sparkContext.broadcast(_bitmap(needed.select(F.col("_k").alias("fp"))))
-    found = rows.mapInArrow(_sets(bitmap), "_id long, _k long, shingles array<long>").join(needed, ["_id", "_k"])
-    sets = written(found.dropDuplicates(["node"]).select("node", "shingles"))
+    posts = nodes.select("node", F.posexplode("first").alias("at", "h")).withColumn("held", F.count("*").over(of_shingle))
+    shared = written(posts.where("held > 1").drop("held").join(nodes.select("node", "n", *PARITIES), "node"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of the candidates (a, b) with a Jaccard similarity of FIFTHS or more, by their whole sets."""
+        pairs = written(pairs.distinct())
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = written(nodes.join(ends, "node", "left_semi").select("node", "k.*"))
+        bitmap = spark.sparkContext.broadcast(_bitmap(needed.select(F.col("_k").alias("fp"))))
+        found = rows.mapInArrow(_sets(bitmap), "_id long, _k long, shingles array<long>").join(needed, ["_id", "_k"])
+        sets = written(found.dropDuplicates(["node"]).select("node", "shingles"))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         same = F.size(F.array_intersect("x", "y"))
         return both.where(5 * same >= FIFTHS * (F.size("x") + F.size("y") - same)).select("a", "b")
 
-    def sized(a: str, b: str) -> Column:
-        return (5 * F.col(a) >= FIFTHS * F.col(b)) & (5 * F.col(b) >= FIFTHS * F.col(a))
+    def may(a: str, b: str) -> Column:
+        """Whether structs of shared rows can be similar, this being the first shingle they share."""
+        x, y = F.col(a), F.col(b)
+        total = x["n"] + y["n"]
+        left = F.least(x["n"] - x["at"], y["n"] - y["at"])
+        differ = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in PARITIES), F.lit(0))
+        return (5 * x["n"] >= FIFTHS * y["n"]) & (5 * y["n"] >= FIFTHS * x["n"]) & ((5 + FIFTHS) * left >= FIFTHS * total) & ((5 + FIFTHS) * differ <= (5 - FIFTHS) * total)
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        return rows.where((F.col("x.component") != F.col("y.component")) & may("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
+    row = F.struct("node", "at", "n", "component", *PARITIES)
     plain = nodes.select("node")
     links, component = spark.createDataFrame([], "a long, b long"), plain.withColumn("component", F.col("node"))
     for seed in range(2):  # every node of a shingle with one of them
-        labelled = shared.join(component, "node").withColumn("star", F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("at"), "node", "n", "component")).over(of_shingle))
-        pairs = labelled.where((F.col("component") != F.col("star.component")) & sized("n", "star.n"))
-        links = written(links.unionByName(similar(pairs.select(F.least("node", "star.node").alias("a"), F.greatest("node", "star.node").alias("b")).distinct())))
+        labelled = shared.join(component, "node").select("h", row.alias("x"))
+        stars = labelled.withColumn("y", F.min_by("x", F.xxhash64("x.node", F.lit(seed))).over(of_shingle))
+        links = written(links.unionByName(similar(pairs_of(stars))))
         component = written(connected(plain, links))
-    labelled = shared.join(component, "node")
-    sizes = labelled.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("most"))
-    left = written(labelled.join(sizes.where("parts > 1"), "h"))  # in shingles of several components: all but the largest with all
-    a = left.where("component <> most").select("h", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    b = left.select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    pairs = a.join(b, "h").where((F.col("c_a") != F.col("c_b")) & sized("n_a", "n_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    component = connected(plain, links.unionByName(similar(pairs)))
+    labelled = shared.join(component, "node").select("h", row.alias("x"))
+    sizes = labelled.groupBy("h", F.col("x.component").alias("component")).agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("most"))
+    split = labelled.join(sizes.where("parts > 1"), "h")  # in shingles of several components: all but the largest with all
+    rest = split.where("x.component <> most").select("h", "x").join(split.select("h", F.col("x").alias("y")), "h")
+    component = connected(plain, links.unionByName(similar(pairs_of(rest))))
     return nodes.join(component, "node").groupBy("component").agg(F.min("k").alias("k"))
 
 
