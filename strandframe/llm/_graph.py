@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import emptied, written
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = written(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        links = written(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        old, links = links, written(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        emptied(old, large)
         after = state(links)
         if after == before:
             break

@@ -10,14 +10,8 @@ Equal fingerprints are one node, so copies are never expanded into pairs. Links
 of one bit, by the 64 flips of each fingerprint; groups they connect are labelled, and the wider search then keeps
 only pairs between different labels, of each pair of labels one. A link inside a label can't change a component.
 
-`drop_near_copies`, for pipelines, has its own measure: documents whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more. Pairs of that similarity differ by ten fingerprint bits or so, more than a Hamming budget can
-search, so its candidates come from an exact prefix filter instead: shingles are put in one order, and two such sets
-share one of the first fifth of either. Shingles common in a sample come last in that order, which keeps the groups
-small and doesn't change the pairs. Candidates that can't reach 0.8 by their sizes, the place of the shingle or the
-parities of 256 cells (as many differing shingles at least as differing parities) go; the rest are settled by their
-whole sets. Equal sets are one node; nodes that
-share a shingle are first compared with one of them, then all pairs that are not connected yet.
+`drop_near_copies`, for pipelines, keeps one document of each group of near copies; its measure and its candidates are
+those of `_near_copies`, which uses the links of this module first.
 
 Null or empty text: fingerprint zero, linked like any other. A null doc_id is larger than any other; component_id is
 null if the component has no other id. Each row gets a row; extra columns are ignored by `components` and kept by
@@ -31,19 +25,14 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _units as u
 from ._graph import components as connected
-from ._shared import NO_ID, keyed, matched, written
-from .decontam import BITS, _bitmap
+from ._shared import NO_ID, emptied, keyed, matched, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Of drop_near_copies: words of a shingle, and the least similarity in fifths.
-COPY_SHINGLE, FIFTHS = 5, 4
-#: About so many documents tell which shingles are common (held by COMMON of them, the first MOST).
-SAMPLE, COMMON, MOST = 4000, 3, 100_000
 #: Widths of the ring's segments, from the lowest bit on.
 SEGMENTS = (13, 13, 13, 13, 12)
 
@@ -119,18 +108,23 @@ def wider_links(labelled: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return a.join(b, ["i", "key"]).where(wanted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, _id, _k, fp and component (the smallest _id reachable)."""
-    seen = written(fingerprints(docs))
+def linked(seen: DataFrame) -> DataFrame:
+    """(fp, component) of the distinct fingerprints of seen (fp, _id): the smallest _id reachable."""
     nodes = written(seen.groupBy("fp").agg(F.min("_id").alias("least")))
     near = connected(nodes.select(F.col("fp").alias("node")), one_bit_links(nodes))
     labelled = written(nodes.join(near, nodes.fp == near.node).select("fp", "least", F.col("component").alias("label")))
+    emptied(nodes)
     label_ids = labelled.groupBy("label").agg(F.min("least").alias("least"))
     wide = connected(label_ids.select(F.col("label").alias("node")), wider_links(labelled))
     joined = label_ids.join(wide, label_ids.label == wide.node).select("label", "least", "component")
     smallest = joined.groupBy("component").agg(F.min("least").alias("smallest"))
-    of_fp = labelled.select("fp", "label").join(joined.select("label", "component"), "label").join(smallest, "component").select("fp", F.col("smallest").alias("component"))
-    return seen.join(of_fp, "fp")
+    return labelled.select("fp", "label").join(joined.select("label", "component"), "label").join(smallest, "component").select("fp", F.col("smallest").alias("component"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, _id, _k, fp and component (the smallest _id reachable)."""
+    seen = written(fingerprints(docs))
+    return seen.join(linked(seen), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -138,115 +132,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
 
 
-def _set(text: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(text, COPY_SHINGLE))
-
-
-def _common(rows: DataFrame) -> np.ndarray:
-    """The sorted hashes of shingles held by many documents of a sample; they decide an order, not a result."""
-
-    def run(batches):
-        for part, data, offsets in u.chunks(batches):
-            text = data.tobytes()
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([u.long(_set(text[a:b]))], ["h"])
-
-    n = max(rows.count(), 1)
-    sample = rows.where(F.pmod(F.xxhash64("_k", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))).select("text")
-    found = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST).select("h").toPandas()
-    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
-
-
-PARITIES = [f"parity_{i}" for i in range(4)]
-
-
-def _prefixes(common):
-    def run(batches):
-        last = common.value
-        for rows, data, offsets in u.chunks(batches):
-            text, node, size, first, parity = data.tobytes(), [], [], [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                h = _set(text[a:b])
-                n = len(h)
-                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                size.append(n)
-                # sets of up to three have no partner but their equals
-                held = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(n, bool)
-                order = np.argsort(held, kind="stable")[: n - -(-FIFTHS * n // 5) + 1] if n > 3 else np.zeros(0, int)
-                parity.append(np.packbits(np.bincount((h & u.U(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
-                first.append(h[order].view(np.int64))
-            bounds = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(first)))
-            cells = [pa.array(np.ascontiguousarray(c)) for c in np.array(parity).reshape(-1, 4).T]
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_k"), u.long(np.array(node, np.uint64)), pa.array(np.array(size, np.int64)), values, *cells], ["_id", "_k", "node", "n", "first", *PARITIES])
-
-    return run
-
-
-def _sets(bitmap):
-    """The sets of the documents whose bit is set: no other text is cut into shingles or leaves its task."""
-
-    def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint8)
-        for rows, data, offsets in u.chunks(batches):
-            text, cell = data.tobytes(), rows.column("_k").to_numpy().view(np.uint64) >> u.U(64 - BITS)
-            for i in np.flatnonzero(bits[cell >> u.U(3)] >> (cell & u.U(7)).astype(np.uint8) & 1):
-                h = _set(text[offsets[i] : offsets[i + 1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column("_id").slice(i, 1), rows.column("_k").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h))], ["_id", "_k", "shingles"])
-
-    return run
-
-
-def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """(component, k): the groups of near copies, and the (_id, _k) of the smallest document of each."""
-    rows = keyed(docs).select("_id", "_k", "text")
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(_common(rows))
-    seen = rows.mapInArrow(_prefixes(common), "_id long, _k long, node long, n long, first array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
-    nodes = written(seen.groupBy("node").agg(F.min(F.struct("_id", "_k")).alias("k"), *(F.first(c).alias(c) for c in ("n", "first", *PARITIES))))
-    of_shingle = Window.partitionBy("h")
-    posts = nodes.select("node", F.posexplode("first").alias("at", "h")).withColumn("held", F.count("*").over(of_shingle))
-    shared = written(posts.where("held > 1").drop("held").join(nodes.select("node", "n", *PARITIES), "node"))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the candidates (a, b) with a Jaccard similarity of FIFTHS or more, by their whole sets."""
-        pairs = written(pairs.distinct())
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        needed = written(nodes.join(ends, "node", "left_semi").select("node", "k.*"))
-        bitmap = spark.sparkContext.broadcast(_bitmap(needed.select(F.col("_k").alias("fp"))))
-        found = rows.mapInArrow(_sets(bitmap), "_id long, _k long, shingles array<long>").join(needed, ["_id", "_k"])
-        sets = written(found.dropDuplicates(["node"]).select("node", "shingles"))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return both.where(5 * same >= FIFTHS * (F.size("x") + F.size("y") - same)).select("a", "b")
-
-    def may(a: str, b: str) -> Column:
-        """Whether structs of shared rows can be similar, this being the first shingle they share."""
-        x, y = F.col(a), F.col(b)
-        total = x["n"] + y["n"]
-        left = F.least(x["n"] - x["at"], y["n"] - y["at"])
-        differ = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in PARITIES), F.lit(0))
-        return (5 * x["n"] >= FIFTHS * y["n"]) & (5 * y["n"] >= FIFTHS * x["n"]) & ((5 + FIFTHS) * left >= FIFTHS * total) & ((5 + FIFTHS) * differ <= (5 - FIFTHS) * total)
-
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        return rows.where((F.col("x.component") != F.col("y.component")) & may("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-
-    row = F.struct("node", "at", "n", "component", *PARITIES)
-    plain = nodes.select("node")
-    links, component = spark.createDataFrame([], "a long, b long"), plain.withColumn("component", F.col("node"))
-    for seed in range(2):  # every node of a shingle with one of them
-        labelled = shared.join(component, "node").select("h", row.alias("x"))
-        stars = labelled.withColumn("y", F.min_by("x", F.xxhash64("x.node", F.lit(seed))).over(of_shingle))
-        links = written(links.unionByName(similar(pairs_of(stars))))
-        component = written(connected(plain, links))
-    labelled = shared.join(component, "node").select("h", row.alias("x"))
-    sizes = labelled.groupBy("h", F.col("x.component").alias("component")).agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("most"))
-    split = labelled.join(sizes.where("parts > 1"), "h")  # in shingles of several components: all but the largest with all
-    rest = split.where("x.component <> most").select("h", "x").join(split.select("h", F.col("x").alias("y")), "h")
-    component = connected(plain, links.unionByName(similar(pairs_of(rest))))
-    return nodes.join(component, "node").groupBy("component").agg(F.min("k").alias("k"))
-
-
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each group of near copies: that of the smallest doc_id (then of the least text hash, and of repeated rows one)."""
+    """docs, all columns, with one document of each group of near copies: that of the smallest doc_id (then of the least
+    text hash, and of repeated rows one)."""
+    from ._near_copies import near_copy_groups
+
     return matched(docs, near_copy_groups(docs).select("k.*"), "left_semi")

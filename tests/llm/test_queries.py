@@ -12,7 +12,7 @@ import corpus_pipeline
 from strandframe.llm import pii, queries
 from tests import oracle
 
-from . import brute
+from . import brute, test_near_copies
 
 SF = "/root/testdata/sf0.001"
 LIB = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -104,8 +104,8 @@ def test_pipeline(spark, items):
     kept = stages["quality classifier"](spark, table, SF)
     assert kept.columns == table.columns
     left = [(r.doc_id, r.text) for r in kept.collect()]
-    root = {d: c for d, (_, c) in brute.near_duplicates(left).items()}
-    left = [(d, t) for d, t in left if root[d] == d]
+    first = test_near_copies.kept(left)[0]
+    left = [(d, t) for d, t in left if d in first]
     bad = brute.decontaminate(left, items)
     left = [(d, t) for d, t in left if not bad[d, t][-1]]
     want = {d: pii.redact(t, pii.find(t)) for d, t in left}
