@@ -3,8 +3,9 @@
 SimHash fingerprints of the same shingles come first: each document is compared with one of those that pigeonring links
 reach from it. These are candidates; every pair is settled by its whole sets. Pairs of that similarity differ by ten fingerprint bits or so, more than a Hamming budget can search, so
 what they leave apart is found by an exact prefix filter: shingles are put in one order, and two such sets share one of
-the first fifth of either. Shingles common in a sample come last in that order, which keeps the groups small and doesn't
-change the pairs.
+the first fifth of either. Shingles that stand in one set only come first in that order. They meet nothing, so a document
+with a fifth of its own words, whatever passages it shares with others, has no candidates. All shingles are counted; a
+bitmap of fixed size tells the repeated ones, and one that it takes for repeated by mistake only comes later.
 
 Before whole sets move, candidates go that can't reach 0.8 by their sizes, by the places of the shingle they share, or by
 parities: each set has a bit for each of at least twice as many cells as it has shingles, the parity of its shingles
@@ -32,31 +33,14 @@ from .simhash import SEED, fingerprint, linked, shingle_hashes
 
 #: Words of a shingle, and the least similarity in fifths.
 SHINGLE, FIFTHS = 5, 4
-#: About so many documents tell which shingles are common (held by COMMON of them, the first MOST).
-SAMPLE, COMMON, MOST = 4000, 3, 100_000
-#: Bits of the cells of the sketch of shingles.
-WIDTH_BITS = 26
+#: Shingles are counted by so many bits of their hashes; the bitmap of the repeated ones has 2**CELLS bits (32 MB).
+COUNTED, CELLS = 40, 28
 
 
 def _set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def _common(rows: DataFrame) -> np.ndarray:
-    """The sorted hashes of shingles held by many documents of a sample; they decide an order, not a result."""
-
-    def run(batches):
-        for part, data, offsets in u.chunks(batches):
-            text = data.tobytes()
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([u.long(_set(text[a:b]))], ["h"])
-
-    n = max(rows.count(), 1)
-    sample = rows.where(F.pmod(F.xxhash64("_k", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))).select("text")
-    found = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST).select("h").toPandas()
-    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
-
-
 def parities(h: np.ndarray) -> bytes:
     """The parity of the shingles in each cell; as many cells as the power of two from twice their number on."""
     cells = 64
@@ -76,50 +60,75 @@ def differing(x: bytes, y: bytes) -> int:
     return (a ^ int.from_bytes(y, "little")).bit_count()
 
 
-def _prefixes(common):
-    def run(batches):
-        last = common.value
-        for rows, data, offsets in u.chunks(batches):
-            text, node, size, fp, first, parity = data.tobytes(), [], [], [], [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                h = _set(text[a:b])
-                n = len(h)
-                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                size.append(n)
-                fp.append(fingerprint(h))
-                # sets of up to three have no partner but their equals
-                held = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(n, bool)
-                order = np.argsort(held, kind="stable")[: n - -(-FIFTHS * n // 5) + 1] if n > 3 else np.zeros(0, int)
-                parity.append(parities(h))
-                first.append(h[order].view(np.int64))
-            bounds = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(first)))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("_id"), rows.column("_k"), u.long(np.array(node, np.uint64)), pa.array(np.array(size, np.int32)), u.long(np.array(fp, np.uint64)), values, pa.array(parity, pa.binary())],
-                ["_id", "_k", "node", "n", "fp", "first", "parity"],
-            )
+def _described(batches):
+    """Each document's set: its hash (the node), size, fingerprint and parities."""
+    for rows, data, offsets in u.chunks(batches):
+        text, found = data.tobytes(), []
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            h = _set(text[a:b])
+            found.append((_node(h), len(h), fingerprint(h), parities(h)))
+        node, n, fp, parity = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("_id"), rows.column("_k"), u.long(np.array(node, np.uint64)), pa.array(n, pa.int32()), u.long(np.array(fp, np.uint64)), pa.array(parity, pa.binary())],
+            ["_id", "_k", "node", "n", "fp", "parity"],
+        )
 
-    return run
 
+def _node(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
 
-def _first_keys(batches):
-    for b in batches:
-        yield b.column("first").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
+def _chosen(batches, bitmap):
+    """(row, its document's set) of the documents whose bit is set; no other text is cut into shingles."""
+    bits = np.frombuffer(bitmap.value, np.uint8)
+    for rows, data, offsets in u.chunks(batches):
+        text, cell = data.tobytes(), rows.column("_k").to_numpy().view(np.uint64) >> u.U(64 - BITS)
+        for i in np.flatnonzero(bits[cell >> u.U(3)] >> (cell & u.U(7)).astype(np.uint8) & 1):
+            yield rows.slice(i, 1), _set(text[offsets[i] : offsets[i + 1]])
 
-def _postings(found):
-    """For mapInArrow over (node, n, first): the shingles of first that may stand in another node's first too."""
 
+def _counted(bitmap):
     def run(batches):
-        for b in batches:
-            listed = b.column("first")
-            of = pa.compute.list_parent_indices(listed).to_numpy().astype(np.int64)
-            h = listed.flatten().to_numpy(zero_copy_only=False)
-            size = pa.compute.fill_null(pa.compute.list_value_length(listed), 0).to_numpy().astype(np.int64)
-            at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            keep = np.flatnonzero(found.repeated(h.view(np.uint64)))
-            row = pa.array(of[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), b.column("node").take(row), b.column("n").take(row), pa.array(at[keep].astype(np.int32))], ["h", "node", "n", "at"])
+        held, size = [], 0
+        for _, h in _chosen(batches, bitmap):
+            held.append(h)
+            size += len(h)
+            if size > 1 << 20:
+                yield keys(held)
+                held, size = [], 0
+        if held:
+            yield keys(held)
+
+    def keys(held):  # sorted, so that they pack well
+        h, n = np.unique(np.concatenate(held) >> u.U(64 - COUNTED), return_counts=True)
+        return pa.RecordBatch.from_arrays([u.long(h), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
+
+    return run
+
+
+def _postings(bitmap, repeated):
+    """Of each set's first fifth, the shingles that may stand in other sets."""
+
+    def run(batches):
+        bits, held = np.frombuffer(repeated.value, np.uint8), []
+        for _, h in _chosen(batches, bitmap):
+            n = len(h)
+            if n > 3:  # smaller sets have no partner but their equals
+                cell = h >> u.U(64 - CELLS)
+                again = (bits[cell >> u.U(3)] >> (cell & u.U(7)).astype(np.uint8) & 1).astype(bool)
+                own = n - int(again.sum())
+                place = np.arange(own, n - -(-FIFTHS * n // 5) + 1)
+                if len(place):
+                    held.append((h[again][place - own], np.full(len(place), _node(h), np.uint64), np.full(len(place), n), place))
+            if len(held) > 1000:
+                yield rows(held)
+                held = []
+        if held:
+            yield rows(held)
+
+    def rows(held):
+        h, node, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([u.long(h), u.long(node), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["h", "node", "n", "at"])
 
     return run
 
@@ -134,28 +143,26 @@ def _plausible(batches):
 
 
 def _sets(bitmap):
-    """The sets of the documents whose bit is set: no other text is cut into shingles or leaves its task."""
-
     def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint8)
-        for rows, data, offsets in u.chunks(batches):
-            text, cell = data.tobytes(), rows.column("_k").to_numpy().view(np.uint64) >> u.U(64 - BITS)
-            for i in np.flatnonzero(bits[cell >> u.U(3)] >> (cell & u.U(7)).astype(np.uint8) & 1):
-                h = _set(text[offsets[i] : offsets[i + 1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column("_id").slice(i, 1), rows.column("_k").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h))], ["_id", "_k", "shingles"])
+        for row, h in _chosen(batches, bitmap):
+            yield pa.RecordBatch.from_arrays([row.column("_id"), row.column("_k"), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), u.long(h))], ["_id", "_k", "shingles"])
 
     return run
 
 
+def _bits(keys: DataFrame):
+    """Marks the documents of these _k in a bitmap of fixed size."""
+    return keys.sparkSession.sparkContext.broadcast(_bitmap(keys.select(F.col("_k").alias("fp"))))
+
+
 def similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the candidates (a, b) with a Jaccard similarity of FIFTHS or more, by their whole sets; written."""
-    spark = rows.sparkSession
     side = nodes.select("node", "n", "parity")
     both = pairs.distinct().join(side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y")), "b")
     sized = both.where((5 * F.col("n_a") >= FIFTHS * F.col("n_b")) & (5 * F.col("n_b") >= FIFTHS * F.col("n_a")))
     left = written(sized.select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(_plausible, "a long, b long"))
     needed = written(nodes.join(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "k.*"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(needed.select(F.col("_k").alias("fp"))))
+    bitmap = _bits(needed)
     sets = rows.mapInArrow(_sets(bitmap), "_id long, _k long, shingles array<long>").join(needed, ["_id", "_k"]).dropDuplicates(["node"]).select("node", "shingles")
     pair = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
@@ -180,15 +187,16 @@ def _pairs(joined: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(component, k): the groups of near copies, and the (_id, _k) of the smallest document of each."""
     rows = keyed(docs).select("_id", "_k", "text")
-    common = docs.sparkSession.sparkContext.broadcast(_common(rows))
-    seen = rows.mapInArrow(_prefixes(common), "_id long, _k long, node long, n int, fp long, first array<long>, parity binary")
-    nodes = written(seen.groupBy("node").agg(F.min(F.struct("_id", "_k")).alias("k"), *(F.first(c).alias(c) for c in ("n", "fp", "first", "parity"))))
+    seen = rows.mapInArrow(_described, "_id long, _k long, node long, n int, fp long, parity binary")
+    nodes = written(seen.groupBy("node").agg(F.min(F.struct("_id", "_k")).alias("k"), *(F.first(c).alias(c) for c in ("n", "fp", "parity"))))
     plain = nodes.select("node")
     near = nodes.select("fp", "node").join(linked(nodes.select("fp", F.col("node").alias("_id"))), "fp")
     links = similar(rows, nodes, near.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
     component = written(connected(plain, links))
-    found = _sketch.sketch(nodes.select("first"), _first_keys, WIDTH_BITS)
-    posts = written(nodes.select("node", "n", "first").mapInArrow(_postings(found), "h long, node long, n int, at int"))
+    firsts = _bits(nodes.select("k._k"))  # one document of each set, and few others
+    counts = rows.mapInArrow(_counted(firsts), "h long, n byte").groupBy("h").agg(F.sum("n").alias("n"))
+    repeated = docs.sparkSession.sparkContext.broadcast(_sketch.bitmap(counts.where("n > 1").select(F.shiftright("h", COUNTED - CELLS).alias("cell")), 1 << CELLS))
+    posts = written(rows.mapInArrow(_postings(firsts, repeated), "h long, node long, n int, at int").dropDuplicates(["h", "node"]))
 
     def labelled() -> DataFrame:
         return posts.join(component, "node").select("h", F.struct("node", "n", "at", "component").alias("x"))

@@ -60,11 +60,10 @@ def partition_cells(keys_of, width_bits: int, depth: int):
     return run
 
 
-def sketch(docs: DataFrame, keys_of, width_bits: int = WIDTH_BITS, depth: int = DEPTH) -> Sketch:
-    """Merges the partitions' sketches; only whether a cell holds two or more is kept."""
-    block_bits = 16
-    parts = docs.mapInArrow(partition_cells(keys_of, width_bits, depth), "cell long, n byte")
-    full = parts.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select(F.shiftright("cell", block_bits).alias("block"), F.col("cell").bitwiseAND(F.lit((1 << block_bits) - 1)).cast("int").alias("at"))
+def bitmap(marked: DataFrame, size: int) -> bytes:
+    """A bit for each of size cells, set for those of marked (cell); packed by Spark in blocks of 2**16."""
+    block_bits = min(16, size.bit_length() - 1)
+    placed = marked.select(F.shiftright("cell", block_bits).alias("block"), F.col("cell").bitwiseAND(F.lit((1 << block_bits) - 1)).cast("int").alias("at"))
 
     def packed(batches):
         held = [(b.column("block").to_numpy(), b.column("at").to_numpy()) for b in batches]
@@ -77,8 +76,15 @@ def sketch(docs: DataFrame, keys_of, width_bits: int = WIDTH_BITS, depth: int =
                 bits[at] = 1
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["block", "bits"])
 
-    bits = np.zeros((depth << width_bits) // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     step = (1 << block_bits) // 8
-    for r in full.repartition("block").mapInArrow(packed, "block long, bits binary").toLocalIterator():
+    for r in placed.repartition("block").mapInArrow(packed, "block long, bits binary").toLocalIterator():
         bits[r.block * step : (r.block + 1) * step] |= np.frombuffer(r.bits, np.uint8)
-    return Sketch(docs.sparkSession.sparkContext.broadcast(bits.tobytes()), width_bits, depth)
+    return bits.tobytes()
+
+
+def sketch(docs: DataFrame, keys_of, width_bits: int = WIDTH_BITS, depth: int = DEPTH) -> Sketch:
+    """Merges the partitions' sketches; only whether a cell holds two or more is kept."""
+    parts = docs.mapInArrow(partition_cells(keys_of, width_bits, depth), "cell long, n byte")
+    full = parts.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    return Sketch(docs.sparkSession.sparkContext.broadcast(bitmap(full, depth << width_bits)), width_bits, depth)
