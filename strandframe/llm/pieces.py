@@ -2,11 +2,10 @@
 
 A text is cut where no piece can reach across (before spaces, around characters that stand in no longer piece). Each
 distinct chunk is encoded once: symbols of all chunks lie in one flat numpy array; a round looks up the rank of every
-neighbouring pair, takes the least rank of each chunk by a segmented minimum, merges that pair's occurrences from the
-left at once, compacts the array, and repeats until no pair remains. Where a merge could be overtaken - its piece is
-part of a piece of no worse rank, or shares its rank with others - only the leftmost occurrence is merged in a round,
-as the library's queue does. Chunks of over LONG symbols go through a heap over the same pairs, so that a very long
-word costs n log n.
+neighbouring pair, takes the least rank of each chunk by a segmented minimum, merges that rank's occurrences from the
+left at once, compacts the array, and repeats until no pair remains. The library's queue takes them one by one, so a
+round stops in a chunk behind the first merge that makes a pair of the same or a lesser rank: that pair is next. Words
+of any length go this way; a round of a chunk costs its length, and there are about as many as the chunk has ranks.
 
 Decoding gathers each id's bytes from one table; bytes that aren't UTF-8 become U+FFFD one by one.
 
@@ -17,7 +16,6 @@ other than identity with a dummy prefix, are refused rather than handled wrongly
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import cache
 from pathlib import Path
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 from . import _units as u
 from ._shared import extended
 
-LONG, VOCABULARY, CHUNK, MODEL_MB = 200, 300_000, 1 << 21, 64
+VOCABULARY, CHUNK, MODEL_MB = 300_000, 1 << 21, 64
 SPACE = "▁"
 NEVER = np.int32(2**31 - 1)
 
@@ -76,7 +74,6 @@ class Pairs:
 
 class Model:
     def __init__(self, proto: bytes):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -84,7 +81,6 @@ class Model:
         norm, kinds = m.normalizer_spec, pb.ModelProto.SentencePiece
         if m.trainer_spec.model_type != pb.TrainerSpec.BPE or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix or m.denormalizer_spec.precompiled_charsmap or any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in m.pieces):
             raise ValueError("a BPE model with identity normaliser and dummy prefix is needed")
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.size = len(m.pieces)
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == kinds.UNKNOWN)
         bytes_at = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == kinds.BYTE}
@@ -98,21 +94,13 @@ class Model:
         self.other = len(self.symbol) + self.size + 1  # symbols of other characters count on from here
         scores = sorted({score[p][0] for p in longer}, reverse=True)
         rank = {s: i for i, s in enumerate(scores)}
-        held: dict[float, int] = {}
+        pairs = {}
         for p in longer:
-            held[score[p][0]] = held.get(score[p][0], 0) + 1
-        shared = {rank[s] for s, n in held.items() if n > 1}
-        pairs, overtaken = {}, set(shared)
-        for p in longer:
-            s, i = score[p]
+            score_of, i = score[p]
             for k in range(1, len(p)):
-                a, b = p[:k], p[k:]
-                if a in self.symbol and b in self.symbol:
-                    pairs[self.symbol[a], self.symbol[b]] = rank[s], i
-                    overtaken |= {rank[score[x][0]] for x in (a, b) if len(x) > 1 and score[x][0] <= s}
-        self.pair, self.pairs = pairs, Pairs(pairs, 1 << 22)
-        self.one_by_one = np.zeros(len(scores) + 1, bool)
-        self.one_by_one[list(overtaken)] = True
+                if p[:k] in self.symbol and p[k:] in self.symbol:
+                    pairs[self.symbol[p[:k]], self.symbol[p[k:]]] = rank[score_of], i
+        self.pairs = Pairs(pairs, 1 << 22)
         inner = {c for p in longer for c in p}
         edge = {c for p in longer for a, c in zip(p, p[1:], strict=False) if a != SPACE and c == SPACE}
         if edge:
@@ -129,18 +117,6 @@ class Model:
     def chunks(self, text: str) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks, flat, and where each chunk's ids start (and the end)."""
-        out: list = [None] * len(chunks)
-        short = [i for i, c in enumerate(chunks) if len(c) <= LONG]
-        for i in (i for i, c in enumerate(chunks) if len(c) > LONG):
-            out[i] = self._ids(self._heap(chunks[i]))
-        if short:
-            flat, first = self._rounds([chunks[i] for i in short])
-            for n, i in enumerate(short):
-                out[i] = flat[first[n] : first[n + 1]]
-        return np.concatenate([np.zeros(0, np.int32), *out]).astype(np.int32), np.concatenate(([0], np.cumsum([len(x) for x in out], dtype=np.int64)))
-
     def _symbols(self, chunk: str) -> list[int]:
         get, other = self.symbol.get, self.other
         return [s if (s := get(c)) is not None else other + ord(c) for c in chunk]
@@ -158,7 +134,8 @@ class Model:
             out += [self.unknown] if self.byte_ids is None else self.byte_ids[list(c.encode())].tolist()
         return np.array(out, np.int32)
 
-    def _rounds(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, flat, and where each chunk's ids start (and the end)."""
         lengths = np.array([len(c) for c in chunks])
         sym = np.array([s for c in chunks for s in self._symbols(c)], np.int64)
         owner = np.repeat(np.arange(len(chunks)), lengths)
@@ -178,12 +155,15 @@ class Model:
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == np.repeat(least, size))
-            of = np.searchsorted(start, hit, "right") - 1
-            first = np.diff(of, prepend=-1) != 0
-            new_run = first | (np.diff(hit, prepend=-2) != 1)
+            of = owner[hit]
+            new_run = (np.diff(of, prepend=-1) != 0) | (np.diff(hit, prepend=-2) != 1)
             run_at = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
-            odd = (np.arange(len(hit)) - run_at) & 1  # of overlapping occurrences every other
-            hit = hit[np.where(self.one_by_one[least[of]], first, odd == 0)]
+            hit = hit[(np.arange(len(hit)) - run_at) & 1 == 0]  # of overlapping occurrences every other
+            overtaken = self._overtaken(sym, owner, rank, product, hit)
+            if overtaken.any():  # behind the first of a chunk that is overtaken, none
+                before = np.cumsum(overtaken) - overtaken
+                head = np.flatnonzero(np.diff(owner[hit], prepend=-1))
+                hit = hit[before == np.repeat(before[head], np.diff(np.append(head, len(hit))))]
             sym[hit] = product[hit]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
@@ -211,34 +191,18 @@ class Model:
         rank[(owner[nxt] != owner[at]) | (nxt == at)] = NEVER
         return rank, product.astype(np.int64)
 
-    def _heap(self, chunk: str) -> list[int]:
-        """One long chunk: the pair of least rank, leftmost first, merged until none is left."""
-        sym = self._symbols(chunk)
-        prev, nxt = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
-        heap = []
-
-        def push(a):
-            b = nxt[a]
-            if b >= 0 and (found := self.pair.get((sym[a], sym[b]))):
-                heapq.heappush(heap, (found[0], a, sym[a], sym[b], found[1]))
-
-        for i in range(len(sym)):
-            push(i)
-        while heap:
-            _, a, x, y, product = heapq.heappop(heap)
-            b = nxt[a]
-            if sym[a] != x or b < 0 or sym[b] != y:
-                continue
-            sym[a], sym[b], nxt[a] = product, -1, nxt[b]
-            if nxt[a] >= 0:
-                prev[nxt[a]] = a
-            push(a)
-            if prev[a] >= 0:
-                push(prev[a])
-        out, i = [], 0
-        while i >= 0 and sym:
-            out.append(sym[i])
-            i = nxt[i]
+    def _overtaken(self, sym, owner, rank, product, hit) -> np.ndarray:
+        """Whether merging each hit, those to its left being merged, makes a pair of its rank or a lesser one."""
+        made, last = product[hit], len(sym) - 1
+        left, right = np.maximum(hit - 1, 0), np.minimum(hit + 2, last)
+        joined = np.zeros(len(hit), bool)
+        joined[1:] = (hit[1:] == hit[:-1] + 2) & (owner[hit[1:]] == owner[hit[:-1]])
+        before = sym[left]
+        before[joined] = made[np.flatnonzero(joined) - 1]
+        out = np.zeros(len(hit), bool)
+        for a, b, other, inside in ((before, made, left, hit > 0), (made, sym[right], right, hit + 2 <= last)):
+            found, _ = self.pairs.find(np.minimum(a, (1 << 22) - 1), np.minimum(b, (1 << 22) - 1))
+            out |= inside & (owner[other] == owner[hit]) & (found <= rank[hit])
         return out
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:

@@ -45,6 +45,7 @@ def test_many_merges(model, text):
 def test_long_words(model):
     rnd = random.Random(4)
     agree(model, ["".join(rnd.choice("aeinrst") for _ in range(n)) for n in (150, 199, 201, 3000)] + ["a" * 5000, " " * 700, "x" + " " * 300])
+    agree(model, ["".join(rnd.choice("etaoinshrdlu") for _ in range(50_000)), "ha" * 5000, "the" * 7000, "=" * 20_000])
 
 
 @settings(max_examples=300, deadline=None)
