@@ -117,14 +117,16 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 done["secret"] = m.end(1)
                 keep("secret", m.start(1), m.end(1))
         elif kind == "iban":
-            if m := IBAN.match(text, last + 1):
+            if (m := IBAN.match(text, last + 1)) and m.start(1) >= done["iban"]:
                 code = m[1].replace(" ", "")
                 if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                    done["iban"] = m.end(1)
                     keep("iban", m.start(1), m.end(1))
         elif kind == "address":
             low = max(0, at - 90)
             m = STREET.search(text[low:at])
-            if m and not text[last + 1 : last + 2].isalpha():
+            if m and low + m.start() >= done["address"] and not text[last + 1 : last + 2].isalpha():
+                done["address"] = last + 1
                 keep("address", low + m.start(), last + 1)
     return [(k, s, e) for k in KINDS for s, e in out[k]]
 

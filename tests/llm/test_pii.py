@@ -51,3 +51,8 @@ def test_tables(spark):
     assert [list(g[1:6]) for g in got] == [brute.pii(r[2]) for r in rows]
     out = pii.redacted(docs)
     assert out.columns == docs.columns and [r.text for r in out.collect()] == ["é <EMAIL> <IP>"] * 2 + [None, ""]
+
+
+def test_added_spans_dont_overlap():
+    assert [x for x in pii.find("at 12 Green Lane Road now")] == [("address", 3, 16)]
+    assert [x[0] for x in pii.find("12 Green Lane, 13 Red Road")] == ["address"] * 2
