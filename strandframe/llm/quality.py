@@ -2,13 +2,15 @@
 
 Two views of a document: its text (shares of symbols, capitals, digits, repeated words, line shapes and the like, over
 the whole text) and its metadata (source, language, stated length). A logistic classifier for each view starts from the
-labelled rows. In every round each classifier scores a pool of unlabelled documents and hands those it is surest of, on
-either side, to the other as pseudo-labels. At the end both are calibrated on labelled rows that training never saw
-(Platt), a last logistic regression on those rows combines the calibrated views, and every document is scored.
+labelled rows. In every round each classifier scores all unlabelled documents, and those it is sure of (its calibrated
+probability, by one threshold for all) are pseudo-labels of the other, which takes a Newton step on labels and pseudo-labels together. The step needs
+sums of gradients and curvatures only; tasks add them up and a shuffle merges them. Of either side the pseudo-labels
+together weigh at most as much as the labels. Calibration (Platt) is on labelled rows that training never saw; at the end
+a last logistic regression on those rows combines the calibrated views, and every document is scored.
 
-Features come from one pass over all documents, whole texts. Only fitting uses samples: about LABELLED labelled
-and POOL unlabelled rows, by a threshold on the hash of the id (never over twice that), so some 40,000 short rows of
-numbers reach the driver whatever the input. Scoring is a DataFrame expression.
+Features come from one pass over all documents, whole texts. Only the labelled rows are a sample, of about LABELLED by
+a threshold on a hash of id and text, so some 20,000 short rows of numbers reach the driver whatever the input. Scoring
+is a DataFrame expression.
 
 Null or empty text: all text features zero. Null metadata is a value of its own. Null ids and ids without a label are
 scored, not learned from; of several labels of an id the smallest quality counts. Without labels of both kinds nothing
@@ -26,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _units as u
-from ._shared import extended, written
+from ._shared import emptied, extended, written
 
-LABELLED, POOL, ROUNDS, SURE, HANDED, THRESHOLD = 20_000, 20_000, 4, 0.95, 0.05, 0.5
+LABELLED, ROUNDS, SURE, THRESHOLD = 20_000, 4, 0.95, 0.5
 SOURCES, LANGUAGES = 32, 8
 
 _CLASS = np.zeros((6, 256), bool)  # symbols, capitals, digits, sentence marks, line ends, beyond ASCII
@@ -102,8 +104,11 @@ class Logistic(NamedTuple):
     spread: np.ndarray
     weights: np.ndarray  # the last is the constant
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack(((x - self.mean) / self.spread, np.ones(len(x))))
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.spread @ self.weights[:-1] + self.weights[-1]
+        return self.scaled(x) @ self.weights
 
     def column(self, inputs: list[Column]) -> Column:
         out = F.lit(float(self.weights[-1]))
@@ -147,54 +152,104 @@ def _p(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> Model:
-    """views: the labelled rows as each view sees them, y 0 or 1; every fourth labelled row is kept for calibration."""
+def _slopes(m: Logistic, x: np.ndarray, y: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the loss of rows x with labels y."""
+    z = m.scaled(x)
+    p = _p(z @ m.weights)
+    return z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+
+
+def pseudo_sums(models: list[Logistic], calibration: list[Logistic], views: list[np.ndarray]) -> list[np.ndarray]:
+    """For each pupil, two rows (bad, good): how many rows its teacher is sure of, their gradient and curvature, flat."""
+    out = []
+    for pupil in range(2):
+        p = _p(calibration[1 - pupil].logit(models[1 - pupil].logit(views[1 - pupil])[:, None]))
+        rows = []
+        for good, sure in ((0.0, p < 1 - SURE), (1.0, p > SURE)):
+            gradient, curvature = _slopes(models[pupil], views[pupil][sure], good)
+            rows.append(np.concatenate(([sure.sum()], gradient, curvature.ravel())))
+        out.append(np.array(rows))
+    return out
+
+
+def _step(m: Logistic, x: np.ndarray, y: np.ndarray, pseudo: np.ndarray, penalty: float = 1.0) -> Logistic:
+    gradient, curvature = _slopes(m, x, y)
+    n = len(m.weights)
+    for (count, *sums), share in zip(pseudo, (1 - y.mean(), y.mean()), strict=True):
+        if count:
+            weight, sums = min(1.0, len(y) * share / count), np.array(sums)
+            gradient, curvature = gradient + weight * sums[:n], curvature + weight * sums[n:].reshape(n, n)
+    ridge = np.diag([penalty] * (n - 1) + [1e-6])
+    return m._replace(weights=m.weights - np.linalg.solve(curvature + ridge, gradient + ridge @ m.weights))
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """views: the labelled rows as each view sees them, y 0 or 1; every fourth labelled row is kept for calibration.
+
+    pool: from two classifiers and their calibration to the sums of pseudo_sums() over all unlabelled rows."""
     aside = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[aside])) < 2 or len(np.unique(y[~aside])) < 2:
         aside[:] = False
-    known = [(x[~aside], y[~aside]) for x in views]
-    models = [fit(*k) for k in known]
-    free = [np.ones(len(pool[0]), bool) for _ in views]
-    for _ in range(rounds):
-        for teacher in range(2):
-            pupil = 1 - teacher
-            p = _p(models[teacher].logit(pool[teacher])) if len(pool[0]) else np.zeros(0)
-            most, share = int(np.ceil(HANDED * len(p))), known[teacher][1].mean()
-            chosen = []
-            for sure, part in ((p, share), (1 - p, 1 - share)):  # as many of each side as its share
-                ok = np.flatnonzero((sure > SURE) & free[pupil])
-                chosen.append(ok[np.argsort(-sure[ok], kind="stable")][: int(np.ceil(most * part))])
-            at = np.concatenate(chosen)
-            free[pupil][at] = False
-            known[pupil] = (np.vstack((known[pupil][0], pool[pupil][at])), np.append(known[pupil][1], (p[at] > 0.5).astype(float)))
-        models = [fit(*k) for k in known]
+    known = [x[~aside] for x in views]
+    models = [fit(x, y[~aside]) for x in known]
     test = aside if aside.any() else np.ones(len(y), bool)
-    logits = [m.logit(x[test])[:, None] for m, x in zip(models, views, strict=True)]
-    calibration = [fit(v, y[test]) for v in logits]
+
+    def calibrated():
+        logits = [m.logit(x[test])[:, None] for m, x in zip(models, views, strict=True)]
+        return logits, [fit(v, y[test]) for v in logits]
+
+    for _ in range(rounds):
+        sums = pool(models, calibrated()[1])
+        models = [_step(m, x, y[~aside], s) for m, x, s in zip(models, known, sums, strict=True)]
+    logits, calibration = calibrated()
     combination = fit(np.column_stack([c.logit(v) for c, v in zip(calibration, logits, strict=True)]), y[test])
     return Model(models, calibration, combination)
 
 
+def _views(column) -> list[np.ndarray]:
+    """Both views' matrices; column: from a name to an array."""
+    return [np.column_stack([column(c).astype(float) for c in TEXT]), metadata_matrix(column("source").astype(int), column("lang").astype(int), column("stated").astype(float))]
+
+
+def _pool(free: DataFrame):
+    """pseudo_sums() over all rows of free, added up on Spark."""
+
+    def sums(models: list[Logistic], calibration: list[Logistic]) -> list[np.ndarray]:
+        sent = free.sparkSession.sparkContext.broadcast((models, calibration))
+
+        def run(batches):
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    found = pseudo_sums(*sent.value, _views(lambda c, b=b: b.column(c).to_numpy()))
+                    total = found if total is None else [x + y for x, y in zip(total, found, strict=True)]
+            if total is not None:
+                flat = np.concatenate([x.ravel() for x in total])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "v"])
+
+        shapes = [(2, 1 + len(m.weights) * (1 + len(m.weights))) for m in models]
+        flat = np.zeros(sum(a * b for a, b in shapes))
+        for r in free.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # as many rows as the models have entries
+            flat[r.i] = r.v
+        cut = shapes[0][0] * shapes[0][1]
+        return [flat[:cut].reshape(shapes[0]), flat[cut:].reshape(shapes[1])]
+
+    return sums
+
+
 def learn(rows: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[Model | None, float]:
     """A model and the share of good labels; rows as from features()."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").alias("_doc")).agg(F.min(label_col).alias("y"))
     marked = rows.dropDuplicates(["_id", "_k"]).join(good, rows.doc_id == good._doc, "left").where("doc_id is not null")
-
-    sizes = marked.agg(F.count("y").alias("known"), F.count_if(F.col("y").isNull()).alias("free")).first()
-
-    def sample(part: DataFrame, size: int, n: int):
-        if size > n:  # by the id's hash, so no task sends more than its share
-            part = part.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(n / size * (1 << 30)))
-        rows = part.select("doc_id", "_k", "y", "source", "lang", "stated", *TEXT).limit(2 * n).toPandas()
-        return rows.sort_values(["doc_id", "_k"], kind="stable").reset_index(drop=True)
-
-    known = sample(marked.where("y is not null"), sizes.known, LABELLED)
+    marked = written(marked.select("_id", "_k", "y", "source", "lang", "stated", *TEXT))
+    known, n = marked.where("y is not null"), marked.where("y is not null").count()
+    if n > LABELLED:  # by a hash, so no task sends more than its share
+        known = known.where(F.pmod(F.xxhash64("_id", "_k", F.lit("sample")), F.lit(1 << 30)) < int(LABELLED / n * (1 << 30)))
+    known = known.toPandas().sort_values(["_id", "_k"], kind="stable")
     y = known["y"].to_numpy(float)
-    if len(set(y)) < 2:
-        return None, float(y.mean()) if len(y) else 1.0
-    pool = sample(marked.where("y is null"), sizes.free, POOL)
-    views = [[t[TEXT].to_numpy(float), metadata_matrix(t["source"].to_numpy(int), t["lang"].to_numpy(int), t["stated"].to_numpy(float))] for t in (known, pool)]
-    return co_train(views[0], y, views[1]), float(y.mean())
+    model = co_train(_views(lambda c: known[c].to_numpy()), y, _pool(marked.where("y is null"))) if len(set(y)) == 2 else None
+    emptied(marked)
+    return model, float(y.mean()) if len(y) else 1.0
 
 
 def _probability(logit: Column) -> Column:
