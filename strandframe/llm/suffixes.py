@@ -14,8 +14,9 @@ sequence in blocks of whole groups, aligned at their anchors, and inserted colum
 equal columns of one group, so after the round of a column each window of 200 bytes or more in common with a neighbour
 in the order is a repeat, and no other is.
 
-A group of over HOT distinct segments (a passage with very many different surroundings) is never gathered in a task:
-its windows are grouped exactly by 128 bits of their content instead, with partial aggregation.
+Every group is inserted in parts of about BLOCK segments, told by a hash, so that a passage with very many different
+surroundings is never gathered in a task; all but very large groups have one part. Of a group of several parts each part
+also gives one of every distinct window, and these, aggregated over the parts, tell the windows that repeat across them.
 
 Null or empty text: no bytes. Rows that agree in doc_id and text are separate places, so they repeat each other. Extra
 columns are ignored.
@@ -32,24 +33,25 @@ from . import _repeats as rep
 from . import _units as u
 from ._shared import keyed, written
 
-LENGTH, GRAM, HOT, BLOCK = 200, 32, 4_096, 20_000
+LENGTH, GRAM, BLOCK = 200, 32, 20_000
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u.BYTE_HASH[data], offsets
 
 
-def insert_columns(group: np.ndarray, data: np.ndarray, first: np.ndarray, lead: np.ndarray, length: int):
+def insert_columns(group: np.ndarray, data: np.ndarray, first: np.ndarray, lead: np.ndarray, length: int, listed: np.ndarray | None = None):
     """For each segment and window, whether another segment of its group has the same window in the same column.
 
     group: non-decreasing; data, first: the segments' bytes; lead: bytes of each segment before its anchor. Returns
-    (segment, place in the segment) of every repeated window.
+    (segment, place in the segment) of every repeated window; if listed, a flag for each segment, is given, also
+    (segment, place, repeated) of the first in the order of all equal windows of the flagged segments.
     """
     low, high = -lead, np.diff(first) - lead  # columns of each segment, relative to the anchor
     order = np.zeros(0, np.int64)  # segments with a suffix from the last column on, by group and suffix
     common = np.zeros(0, np.int64)  # common prefix with the suffix before, 0 for the first of a group
     enter = np.argsort(-high, kind="stable")
-    entered, segments, places = 0, [], []
+    entered, segments, places, heads = 0, [], [], []
     for column in range(int(high.max(initial=0)) - 1, int(low.min(initial=0)) - 1, -1):
         upto = int(np.searchsorted(-high[enter], -column, "left"))
         if upto > entered:  # their suffix so far is empty: the least of their group
@@ -95,8 +97,12 @@ def insert_columns(group: np.ndarray, data: np.ndarray, first: np.ndarray, lead:
         hit = order[repeated]
         segments.append(hit)
         places.append(column - low[hit])
+        if listed is not None:
+            head = np.flatnonzero(~reach & listed[order] & (high[order] - column >= length))
+            heads.append((order[head], column - low[order[head]], repeated[head]))
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(none + segments), np.concatenate(none + places)
+    found = np.concatenate(none + segments), np.concatenate(none + places)
+    return found if listed is None else (*found, *(np.concatenate(x) for x in zip((none[0], none[0], np.zeros(0, bool)), *heads, strict=True)))
 
 
 def _segments(length: int):
@@ -110,72 +116,88 @@ def _segments(length: int):
             start = offsets[doc] + flat.field("at").to_numpy()
             end = start + flat.field("n").to_numpy() + length - 1
             yield pa.RecordBatch.from_arrays(
-                [*(flat.field(c) for c in ("anchor", "lead", "copies")), *(rows.column(c).take(pa.array(doc)) for c in ("_id", "_k")), flat.field("at"), pa.array([data[a:b].tobytes() for a, b in zip(start, end, strict=True)], pa.binary())],
-                ["anchor", "lead", "copies", "_id", "_k", "at", "bytes"],
+                [*(flat.field(c) for c in ("anchor", "part", "parts", "lead", "copies")), *(rows.column(c).take(pa.array(doc)) for c in ("_id", "_k")), flat.field("at"), pa.array([data[a:b].tobytes() for a, b in zip(start, end, strict=True)], pa.binary())],
+                ["anchor", "part", "parts", "lead", "copies", "_id", "_k", "at", "bytes"],
             )
 
     return run
 
 
-def _blocks(batches):
-    """Tables of whole anchor groups, of about BLOCK segments, from rows sorted by anchor."""
-    held = []
+def _groups(t: pa.Table) -> np.ndarray:
+    """The number of each row's group; rows of one anchor and part stand together."""
+    anchor, part = t.column("anchor").to_numpy(), t.column("part").to_numpy()
+    return np.cumsum(np.concatenate(([0], (np.diff(anchor) != 0) | (np.diff(part) != 0))))
+
+
+def _blocks(batches, block: int):
+    """Tables of whole groups, of about block segments, from rows sorted by anchor and part."""
+    held, size = [], 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
-        if sum(x.num_rows for x in held) >= BLOCK:
+        size += b.num_rows
+        if size >= block:
             table = pa.Table.from_batches(held).combine_chunks()
-            anchors = table.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchors, anchors[-1], "left"))
+            group = _groups(table)
+            cut = int(np.searchsorted(group, group[-1], "left"))
             if cut:
                 yield table.slice(0, cut)
-                held = table.slice(cut).to_batches()
+                held, size = table.slice(cut).to_batches(), size - cut
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _repeated(length: int):
-    """For mapInArrow over segments sorted by anchor: stretches of repeated windows of the segments without copies."""
+def _repeated(length: int, block: int):
+    """For mapInArrow over sorted segments: stretches of repeated windows of the segments without copies; of groups of
+    several parts also the distinct windows, named by 128 bits, and whether these still are in doubt."""
 
     def run(batches):
-        for t in _blocks(batches):
+        for t in _blocks(batches, block):
             data, first = u.utf8(t.column("bytes"))
-            group = np.cumsum(np.diff(t.column("anchor").to_numpy(), prepend=t.column("anchor")[0].as_py()) != 0)
-            segment, place = insert_columns(group, data, first, t.column("lead").to_numpy().astype(np.int64), length)
-            single = t.column("copies").to_numpy()[segment] == 1
-            segment, place = segment[single], place[single]
+            group, at = _groups(t), t.column("at").to_numpy()
+            single = t.column("copies").to_numpy() == 1
+            segment, place, head, head_place, settled = insert_columns(group, data, first, t.column("lead").to_numpy().astype(np.int64), length, t.column("parts").to_numpy() > 1)
+            segment, place = segment[single[segment]], place[single[segment]]
             order = np.lexsort((place, segment))
             segment, place = segment[order], place[order]
             new = np.ones(len(segment), bool)
             new[1:] = (segment[1:] != segment[:-1]) | (place[1:] != place[:-1] + 1)
-            at = np.flatnonzero(new)
-            of = pa.array(segment[at])
+            begin = np.flatnonzero(new)
+            of = pa.array(segment[begin])
+            columns = [t.column(c).combine_chunks() for c in ("_id", "_k")]
+            none = pa.nulls(len(begin), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(t.column(c).combine_chunks().take(of) for c in ("_id", "_k")), pa.array(t.column("at").to_numpy()[segment[at]] + place[at]), pa.array(np.diff(np.append(at, len(segment))).astype(np.int32))],
-                ["_id", "_k", "at", "n"],
+                [*(c.take(of) for c in columns), pa.array(at[segment[begin]] + place[begin]), pa.array(np.diff(np.append(begin, len(segment))).astype(np.int32)), none, none, pa.nulls(len(begin), pa.bool_())],
+                ["_id", "_k", "at", "n", *rep.WINDOW, "open"],
             )
+            if len(head):
+                hashes, start, of = u.BYTE_HASH[data], first[head] + head_place, pa.array(head)
+                names = [u.long(u.mix(u.between(u.span_hashes(x, i), start, start + length, i))) for i, x in enumerate((hashes, u.mix(hashes + u.U(1))))]
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(of) for c in columns), pa.array(at[head] + head_place), pa.array(np.ones(len(head), np.int32)), *names, pa.array(~settled & single[head])],
+                    ["_id", "_k", "at", "n", *rep.WINDOW, "open"],
+                )
 
     return run
 
 
-def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, **sketch) -> DataFrame:
+def removed_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, **sketch) -> DataFrame:
     """(_id, _k, at, n): stretches of n consecutive repeated windows from byte at on; docs as from keyed()."""
     runs = written(rep.candidate_runs(docs, units, length, gram, **sketch))
     distinct = written(runs.groupBy(*rep.RUN).agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_k", "at", "n", "lead", "anchor")).alias("first")).select(*rep.RUN, F.least("copies", F.lit(2)).cast("int").alias("copies"), "first.*"))
     copied = runs.join(distinct.where("copies > 1").select(*rep.RUN), rep.RUN, "left_semi").select("_id", "_k", "at", "n")
-    shared = rep.shared_anchors(distinct)
-    doubtful = distinct.join(shared.where(F.col("runs") <= hot).select("anchor"), "anchor", "left_semi")
-    of_doc = doubtful.groupBy("_id", "_k").agg(F.collect_list(F.struct("anchor", "lead", "copies", "at", "n")).alias("runs"))
+    shared = rep.shared_anchors(distinct).select("anchor", F.ceil(F.col("runs") / block).cast("int").alias("parts"))
+    doubtful = distinct.join(shared, "anchor").withColumn("part", F.pmod("key", "parts").cast("int"))
+    of_doc = doubtful.groupBy("_id", "_k").agg(F.collect_list(F.struct("anchor", "part", "parts", "lead", "copies", "at", "n")).alias("runs"))
     # all columns of docs: so the exchange of the texts is the same here and where the result is applied, and is reused
-    segments = docs.join(of_doc, ["_id", "_k"]).mapInArrow(_segments(length), "anchor long, lead int, copies int, _id long, _k long, at long, bytes binary")
-    found = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(length), "_id long, _k long, at long, n int")
-    crowded = distinct.join(shared.where(F.col("runs") > hot).select("anchor"), "anchor", "left_semi")
-    each = rep.windows(docs, crowded, units, length)
-    again = each.groupBy(*rep.WINDOW).agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    lost = each.join(again, rep.WINDOW).select(*rep.RUN, "step").distinct()
-    singly = crowded.where("copies = 1").join(lost, rep.RUN).select("_id", "_k", (F.col("at") + F.col("step")).alias("at"), F.lit(1).alias("n"))
-    return copied.unionByName(found).unionByName(singly)
+    segments = docs.join(of_doc, ["_id", "_k"]).mapInArrow(_segments(length), "anchor long, part int, parts int, lead int, copies int, _id long, _k long, at long, bytes binary")
+    placed = segments.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    found = written(placed.mapInArrow(_repeated(length, block), "_id long, _k long, at long, n int, wh long, wh2 long, open boolean"))
+    listed = found.where("open is not null")
+    across = listed.groupBy(*rep.WINDOW).agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    met = listed.where("open").join(across, rep.WINDOW, "left_semi")
+    return copied.unionByName(found.where("open is null").unionByName(met).select("_id", "_k", "at", "n"))
 
 
 def _applied(length: int):

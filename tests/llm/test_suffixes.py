@@ -18,10 +18,10 @@ def corpus(rnd, n=40):
     return docs + [(n, docs[5][1]), (n + 1, "ab" * 300), (n + 2, "z" * 700), (n + 3, twice + "!" + twice), (n + 4, None), (n + 5, ""), (n + 6, docs[5][1][:-1] + "?")]
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_against_brute_force(spark, hot):
-    docs = corpus(random.Random(hot))
-    got = {r.doc_id: tuple(r)[1:] for r in suffixes.digest(spark.createDataFrame([(i, t, 1, "x") for i, t in docs], DOCS).repartition(3), hot=hot, width_bits=16).collect()}
+@pytest.mark.parametrize("block", [suffixes.BLOCK, 2])
+def test_against_brute_force(spark, block):
+    docs = corpus(random.Random(block))
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.digest(spark.createDataFrame([(i, t, 1, "x") for i, t in docs], DOCS).repartition(3), block=block, width_bits=16).collect()}
     want = {d[0]: w for d, w in zip(docs, brute.suffixes(docs), strict=True)}
     assert got == want
 
@@ -50,3 +50,21 @@ def test_empty_null_and_repeated_rows(spark):
     rows = [(None, "q" + "ab c" * 50, 1, "x"), (3, "ab c" * 50, 1, "x"), (4, "xyzw" * 10, 1, ""), (4, "xyzw" * 10, 1, ""), (5, "0123456789" * 20, 1, ""), (5, "0123456789" * 20, 1, "")]
     got = sorted(tuple(r)[1:] for r in suffixes.digest(spark.createDataFrame(rows, DOCS)).collect())
     assert got == sorted(brute.suffixes([r[:2] for r in rows]))
+
+
+@pytest.mark.parametrize("block", [suffixes.BLOCK, 500])
+def test_large_group_of_segments(spark, block):
+    """One passage in very many different surroundings: thousands of distinct segments with one anchor."""
+    rnd = random.Random(8)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(230))
+    docs = [(i, f"{rnd.random()}{rnd.random()}{passage}{rnd.random()}{rnd.random()}") for i in range(3000)] + [(9000, "x" * 150 + passage[:180]), (9001, passage[20:] + "y" * 90)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.digest(spark.createDataFrame([(i, t, 1, "x") for i, t in docs], DOCS).repartition(3), block=block, width_bits=18).collect()}
+    assert got == {d[0]: w for d, w in zip(docs, brute.suffixes(docs), strict=True)}
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(9)
+    long = "".join(rnd.choice("abcdefghij") for _ in range(60_000))
+    docs = [(1, long), (2, long[30_000:30_900] + "end"), (3, long[:200])]
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.digest(spark.createDataFrame([(i, t, 1, "x") for i, t in docs], DOCS), width_bits=18).collect()}
+    assert got == {d[0]: w for d, w in zip(docs, brute.suffixes(docs), strict=True)}
