@@ -24,7 +24,7 @@ def pack(col: Column) -> Column:
 def normalize(col: Column, alphabet: str) -> Column:
     """Upper case; U to T for dna, T to U for rna; letters only for letters (a-z, lower case)."""
     if alphabet == "letters":
-        return F.regexp_replace(F.lower(F.regexp_replace(col, "[^A-Za-z]", "")), "[^a-z]", "")
+        return F.lower(F.regexp_replace(col, "[^A-Za-z]", ""))
     upper = F.upper(pack(col))
     return {"dna": F.translate(upper, "U", "T"), "rna": F.translate(upper, "T", "U"), "protein": upper}[alphabet]
 
@@ -77,16 +77,19 @@ def parse_id(col: Column) -> dict[str, Column]:
     return {"genome_id": found(r"(?:^|\D)(\d+\.\d+)"), "length": found(r"length_(\d+)").cast("long"), "coverage": found(r"cov(?:erage)?_([0-9.]+)").cast("double")}
 
 
-def places(df: DataFrame, ids: list[str], seq: Column, width: int, step: int, drop: int = 0, block: int = 256) -> DataFrame:
+def places(df: DataFrame, ids: list[str], seq: Column, width: int, step: int, drop: int = 0, block: int = 64) -> DataFrame:
     """(ids, place, last, piece): the pieces of a sequence at every step, from 0 on; drop: so many of the last left out.
 
-    A position in a string is found by counting characters from its start, so long sequences are first cut into blocks;
-    and the sequence is computed once, not for each place.
+    A position in a string is found by counting characters from its start, so long sequences are first cut into blocks.
+    The generator around the sequence keeps filters on it from computing it again below. Blocks are dealt out evenly
+    before they grow into pieces: a few long sequences, or a file of few row groups, would make a few long tasks, and the
+    exchange of the letters is a small part of that of the pieces.
     """
     total = F.floor((F.length("_s") - width) / step).cast("int") + 1 - drop
-    blocks = df.select(*ids, seq.alias("_s")).select(*ids, "_s", total.alias("_n")).where("_n > 0")
+    blocks = df.select(*ids, F.explode(F.array(seq)).alias("_s")).select(*ids, "_s", total.alias("_n")).where("_n > 0")
     cut = blocks.select(*ids, "_s", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("int"))).alias("_b"))
-    held = cut.select(*ids, "_n", "_b", F.substring(F.col("_s"), F.col("_b") * (block * step) + 1, F.lit((block - 1) * step + width)).alias("_t"))
+    held = cut.select(*ids, "_n", "_b", F.substring(F.col("_s"), F.col("_b") * (block * step) + 1, F.lit((block - 1) * step + width)).alias("_t"), F.monotonically_increasing_id().alias("_at"))
+    held = held.repartition("_at")
     each = held.select(*ids, "_n", "_b", "_t", F.explode(F.sequence(F.lit(0), F.least(F.lit(block), F.col("_n") - F.col("_b") * block) - 1)).alias("_i"))
     place = F.col("_b") * block + F.col("_i")
     return each.select(*ids, place.alias("place"), (place == F.col("_n") - 1).alias("last"), F.substring(F.col("_t"), F.col("_i") * step + 1, F.lit(width)).alias("piece"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
+from . import graph
 
 
 def explode(df: DataFrame, id_cols: str | list[str], seq: str, k: int, tail: str = "keep", alphabet: str | None = None) -> DataFrame:
@@ -24,10 +25,12 @@ def explode_spaced(df: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
 
 
 def common(a: DataFrame, b: DataFrame, a_id: str, b_id: str, mode: str = "occurrences") -> DataFrame:
-    """(a_id, b_id, score) from two k-mer tables: occurrences in b of a's k-mer set, or (mode="set") shared k-mers."""
+    """(a_id, b_id, score) from two k-mer tables: occurrences in b of a's k-mer set, or (mode="set") shared k-mers.
+
+    b's table is written first, so that how it is joined goes by its real size and not by that of its texts."""
     right = b.select(b_id, "kmer")
+    right = graph.written(right.distinct() if mode == "set" else right.groupBy(b_id, "kmer").agg(F.count("*").alias("_n")))
     left = a.select(a_id, "kmer").join(right.select("kmer").distinct(), "kmer", "left_semi").distinct()  # most k-mers meet nothing
-    right = right.distinct() if mode == "set" else right.groupBy(b_id, "kmer").agg(F.count("*").alias("_n"))
     score = F.count("*") if mode == "set" else F.sum("_n")
     return left.join(right, "kmer").groupBy(a_id, b_id).agg(score.alias("score"))
 
@@ -42,7 +45,7 @@ def all_pairs(df: DataFrame, id_col: str, seq: str, k: int, min_common: int = 4)
     Exact prefix filter: with each set's k-mers from the rarest to the most common, two sets that share t k-mers have
     one in common among the first n - t + 1 of each, so only those meet; candidates are then counted in full.
     """
-    sets = explode(df, id_col, seq, k).distinct()
+    sets = graph.written(explode(df, id_col, seq, k).distinct())
     counts = sets.groupBy("kmer").agg(F.count("*").alias("_f")).where("_f > 1")
     shared = sets.join(counts, "kmer")  # a k-mer of one sequence alone shares nothing
     w = W.partitionBy(id_col)
@@ -78,12 +81,15 @@ def annotate(train: DataFrame, test: DataFrame, label: str, id_col: str, default
 
 def connections(index: DataFrame, group: str, groups: DataFrame | None = None) -> DataFrame:
     """(a, b, kmers): distinct k-mers that two groups share, a < b; groups: only pairs with one of these."""
-    sets = index.select(F.col(group).alias("a"), "kmer").distinct()
+    sets = graph.written(index.select(F.col(group).alias("a"), "kmer").distinct())
+    several = sets.groupBy("kmer").agg(F.count("*").alias("_n")).where("_n > 1").select("kmer")
+    sets = sets.join(several, "kmer", "left_semi")  # most k-mers stand in one group
     pairs = sets.join(sets.select(F.col("a").alias("b"), "kmer"), "kmer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("kmers"))
     if groups is None:
         return pairs
-    wanted = groups.select(F.col(group).alias("x"))
-    return pairs.join(wanted, (F.col("a") == F.col("x")) | (F.col("b") == F.col("x")), "left_semi")
+    for side in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col(group).alias(side)).distinct().withColumn(f"_{side}", F.lit(True)), side, "left")
+    return pairs.where("_a or _b").select("a", "b", "kmers")
 
 
 def screen_reads(hits: DataFrame, reads: DataFrame, sample: str, read_id: str, least: int = 5, most: int = 10) -> DataFrame:
