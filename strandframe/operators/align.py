@@ -86,8 +86,13 @@ def consensus(df: DataFrame, aln: str, seq_id: str, seq: str, least: float = 0,
 def trim_ends(df: DataFrame, aln: str, seq: str, quantile: float = 0.75) -> DataFrame:
     """Cut to where that share of the sequences has begun, and has not ended."""
     head, tail = F.length(F.regexp_extract(seq, "^-*", 0)), F.length(F.regexp_extract(seq, "-*$", 0))
-    at = F.floor(F.lit(quantile) * (F.count("*") - 1) + 0.5).cast("int")
-    cut = df.groupBy(aln).agg(F.array_sort(F.collect_list(head))[at].alias("_h"), F.array_sort(F.collect_list(tail))[at].alias("_t"))
+    cut = None
+    for name, gaps in (("_h", head), ("_t", tail)):  # counts of each length, not lists of sequences
+        n = df.groupBy(aln, gaps.alias(name)).agg(F.count("*").alias("_c"))
+        w = W.partitionBy(aln)
+        placed = n.withColumns({"_upto": F.sum("_c").over(w.orderBy(name)), "_all": F.sum("_c").over(w)})
+        one = placed.where(F.col("_upto") > F.floor(F.lit(quantile) * (F.col("_all") - 1) + 0.5)).groupBy(aln).agg(F.min(name).alias(name))
+        cut = one if cut is None else cut.join(one, aln)
     return df.join(cut, aln).withColumn(seq, F.substring(F.col(seq), F.col("_h") + 1, F.greatest(F.length(seq) - F.col("_h") - F.col("_t"), F.lit(0)))).drop("_h", "_t")
 
 
@@ -113,10 +118,10 @@ def dereplicate_n(pairs: DataFrame, nodes: DataFrame, n: int, steps: int = 12) -
 
 
 def cluster(pairs: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
-    """(node, rep): in order of rank a sequence less like all representatives than t founds a group; others join the
+    """(node, rep): in order of rank a sequence no more like any representative than t founds a group; others join the
     group of the most similar representative that comes before them (of equal ones the first)."""
-    founders = graph.written(graph.first_independent_set(nodes, pairs.where(F.col("identity") >= t)))
-    near = pairs.where(F.col("identity") >= t)
+    near = pairs.where(F.col("identity") > t)
+    founders = graph.written(graph.first_independent_set(nodes, near))
     both = near.select("a", "b", "identity").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "identity"))
     rank = nodes.select("node", "rank")
     options = both.join(founders.select(F.col("node").alias("b")), "b", "left_semi").join(founders.select(F.col("node").alias("a")), "a", "left_anti")

@@ -87,14 +87,20 @@ def seed(contigs: DataFrame, hits: DataFrame, second: DataFrame, contig: str, re
     return placed.withColumn("how", F.lit("seed")).unionByName(later.withColumn("how", F.lit("second")))
 
 
+def audit(df: DataFrame, keys: list[str], states: dict[str, Column]) -> DataFrame:
+    """For each category how many rows there are, and how many are in each state."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(c).alias(name) for name, c in states.items()))
+
+
 def filter_effect(contigs: DataFrame, length: float, coverage: float) -> DataFrame:
     return contigs.groupBy((F.col("length") >= length).alias("long"), (F.col("coverage") >= coverage).alias("covered")).agg(F.count("*").alias("contigs"), F.sum("length").alias("bases"))
 
 
 def summarize(contigs: DataFrame, bin_: str, role: str, c1: float = 1, c2: float = 5) -> DataFrame:
-    """Contigs, size, coverage by length, and the universal-role score c1 * kinds - c2 * duplicates."""
+    """Contigs, size, coverage by length, and the universal-role score: c1 for each kind of role, less c2 for each kind with
+    more than one copy."""
     base = contigs.groupBy(bin_).agg(F.count("*").alias("contigs"), F.sum("length").alias("bases"), (F.sum(F.col("length") * F.col("coverage")) / F.sum("length")).alias("coverage"))
-    unis = contigs.groupBy(bin_, role).agg(F.count("*").alias("_n")).groupBy(bin_).agg((c1 * F.count("*") - c2 * F.sum(F.col("_n") - 1)).alias("uni_score"))
+    unis = contigs.groupBy(bin_, role).agg(F.count("*").alias("_n")).groupBy(bin_).agg((c1 * F.count("*") - c2 * F.count_if(F.col("_n") > 1)).alias("uni_score"))
     return base.join(unis, bin_)
 
 

@@ -85,9 +85,9 @@ def locate(coords: DataFrame, segments: DataFrame, key: str, at: str, segment: s
     total = segments.select(key, segment, F.sum(length).over(W.partitionBy(key).orderBy(segment)).alias("_to"), F.col(length).alias("_n"))
     both = coords.select("*", F.lit(None).cast(segments.schema[segment].dataType).alias(segment), F.col(at).alias("_to"), F.lit(1).alias("_q"))
     ends = total.select(key, segment, "_to", (F.col("_to") - F.col("_n")).alias("_from"), F.lit(0).alias("_q"))
-    w = W.partitionBy(key).orderBy("_to", F.desc("_q")).rowsBetween(0, W.unboundedFollowing)
+    w = W.partitionBy(key).orderBy(F.desc("_to"), "_q").rowsBetween(W.unboundedPreceding, 0)  # a frame that only grows
     merged = both.unionByName(ends, allowMissingColumns=True)
-    hit = merged.select(*coords.columns, "_q", F.first(F.when(F.col("_q") == 0, F.struct(F.col(segment).alias("s"), F.col("_from").alias("f"))), ignorenulls=True).over(w).alias("_s"))
+    hit = merged.select(*coords.columns, "_q", F.last(F.when(F.col("_q") == 0, F.struct(F.col(segment).alias("s"), F.col("_from").alias("f"))), ignorenulls=True).over(w).alias("_s"))
     return hit.where("_q = 1").select(*coords.columns, F.when(F.col("_s.f") < F.col(at), F.col("_s.s")).alias(segment))
 
 
@@ -104,7 +104,7 @@ def extract(seqs: DataFrame, locations: DataFrame, contig: str, seq: str, begin:
 def table(df: DataFrame, genome: str, feature: str, location: str, families: str, db: str) -> DataFrame:
     """(genome, feature, location text, family id) of one family database; without a family null."""
     text = F.array_join(F.transform(location, lambda r: F.concat(r["contig"], F.lit("_"), r["begin"].cast("string"), r["strand"], r["len"].cast("string"))), ",")
-    return df.select(genome, feature, text.alias("location"), F.filter(families, lambda f: f["db"] == db)[0]["id"].alias("family"))
+    return df.select(genome, feature, text.alias("location"), F.try_element_at(F.filter(families, lambda f: f["db"] == db), F.lit(1))["id"].alias("family"))
 
 
 def compare_calls(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

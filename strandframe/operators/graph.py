@@ -13,6 +13,8 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the folder of spark.checkpoint.dir (where unset: a new local one, for one machine)."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="strandframe-")
         spark.conf.set("spark.checkpoint.dir", folder)

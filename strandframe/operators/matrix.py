@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def role_counts(df: DataFrame, row: str, col: str) -> DataFrame:
     return df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(F.col(row).alias("row"), F.col(col).alias("col")).agg(F.count("*").alias("n"))
@@ -28,7 +30,7 @@ def partition(matrix: DataFrame, target) -> tuple[DataFrame, DataFrame]:
 
 def split(matrix: DataFrame, fraction: float, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Training and test rows, by the hash of the row."""
-    train = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(10_000)) < int(fraction * 10_000)
+    train = tables.share(seed, "row") < int(fraction * 10_000)
     return matrix.where(train), matrix.where(~train)
 
 
@@ -62,7 +64,7 @@ def to_directory(matrix: DataFrame, columns: list, path: str) -> None:
 def from_directory(spark, path: str) -> DataFrame:
     """The long form of what to_directory wrote; rows carry their ids, so their order doesn't matter."""
     heads = spark.read.text(f"{path}/col.h").select(F.split("value", "\t")[0].cast("int").alias("i"), F.split("value", "\t")[1].alias("col"))
-    cells = spark.read.text(f"{path}/X").select(F.split("value", "\t").alias("v")).select(F.col("v")[0].alias("row"), F.posexplode(F.slice("v", 2, 1_000_000)).alias("i", "n"))
+    cells = spark.read.text(f"{path}/X").select(F.split("value", "\t").alias("v")).select(F.col("v")[0].alias("row"), F.posexplode(F.slice("v", F.lit(2), F.size("v") - 1)).alias("i", "n"))
     return cells.join(heads, "i").select("row", "col", F.col("n").cast("long").alias("n"))
 
 
@@ -87,7 +89,7 @@ def interleave(df: DataFrame, is_positive: Column, order: str, ratio: int = 2) -
     """df with seat: one positive, then up to `ratio` negatives, from the end of the order given; negatives beyond
     are left out."""
     flagged = df.withColumn("_p", is_positive)
-    i = F.row_number().over(W.partitionBy("_p").orderBy(F.desc(order))) - 1
-    seated = flagged.withColumn("_i", i).withColumn("_round", F.when(F.col("_p"), F.col("_i")).otherwise(F.floor(F.col("_i") / ratio)))
+    seated = tables.numbered(flagged, [F.desc("_p"), F.desc(order)], "_i").crossJoin(F.broadcast(flagged.agg(F.count_if("_p").alias("_first"))))
+    seated = seated.withColumn("_i", F.col("_i") - 1 - F.when(F.col("_p"), 0).otherwise(F.col("_first"))).drop("_first").withColumn("_round", F.when(F.col("_p"), F.col("_i")).otherwise(F.floor(F.col("_i") / ratio)))
     rounds = flagged.where("_p").agg(F.count("*").alias("_rounds"))
     return seated.crossJoin(F.broadcast(rounds)).where("_round < _rounds").withColumn("seat", F.col("_round") * (ratio + 1) + F.when(F.col("_p"), 0).otherwise(F.col("_i") % ratio + 1)).drop("_p", "_i", "_round", "_rounds")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 #: Cut-offs in use: fine consistency, completeness, contamination. They differ by source, so all are offered.
 PRESETS = {"package": (85, 80, 15), "reps": (85, 80, 10), "good": (87, 80, 10)}
 
@@ -50,7 +52,7 @@ def clean_contigs(contigs: DataFrame, features: DataFrame, evaluation: DataFrame
 
 def thin_features(df: DataFrame, key: str, percent: float, seed: int = 1) -> DataFrame:
     """Without about that percentage of the rows, chosen by the key's hash."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) >= int(percent * 100))
+    return df.where(tables.share(seed, key) >= int(percent * 100))
 
 
 def merge(base: DataFrame, scores: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
@@ -30,13 +29,11 @@ def merge_pairs(df: DataFrame, left: str, right: str, probe: int = 25, strict: b
 
 
 def dereplicate(df: DataFrame, seq: str, least: int, frequency: float = 5e-5) -> DataFrame:
-    """(number, seq, n): distinct sequences by descending count, of at least `least` copies and that share of all.
-
-    Numbers count over the whole result; that is the one place where all (distinct, frequent) rows are put in order.
-    """
+    """(number, seq, n): distinct sequences by descending count, of at least `least` copies and that share of all; numbers
+    count over the whole result."""
     n = df.groupBy(seq).agg(F.count("*").alias("n"))
     kept = n.crossJoin(F.broadcast(df.agg(F.count("*").alias("_all")))).where((F.col("n") >= least) & (F.col("n") >= frequency * F.col("_all"))).drop("_all")
-    return kept.withColumn("number", F.row_number().over(W.orderBy(F.desc("n"), seq))).select("number", seq, "n")
+    return tables.numbered(kept, [F.desc("n"), F.col(seq)], "number").select("number", seq, "n")
 
 
 def amplicon_profile(merged: DataFrame, hits: DataFrame, sample: str, seq: str, target: str, least: int = 2) -> DataFrame:

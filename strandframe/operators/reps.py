@@ -82,9 +82,12 @@ def cover(pairs: DataFrame, nodes: DataFrame, least_score: int, least: int = 2)
     return graph.greedy_cover(nodes, pairs.where(F.col("score") >= least_score), least)
 
 
-def update(members: DataFrame, scores: DataFrame, query: str, rep: str, clear: bool = False) -> DataFrame:
-    """members (query, rep, score) with those that weren't in it yet, by their best representative."""
-    best = find(scores, query, rep)
+def update(members: DataFrame, scores: DataFrame, query: str, rep: str, clear: bool = False, least: int = 0, skip: DataFrame | None = None) -> DataFrame:
+    """members (query, rep, score) with those that weren't in it yet, by their best representative of at least that
+    score; skip: queries that are representatives themselves and join no group."""
+    best = find(scores.where(F.col("score") >= least), query, rep)
+    if skip is not None:
+        best = best.join(skip.select(query), query, "left_anti")
     if clear:
         return best
     return members.select(query, rep, "score").unionByName(best.join(members, query, "left_anti").select(query, rep, "score"))
@@ -151,6 +154,17 @@ def bidirectional_best(scores: DataFrame, left: str, right: str, least: int = 10
     return s.withColumns(ranks).where("_l = 1 and _r = 1").drop("_l", "_r")
 
 
+def orphans(matches: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """(side, id): what has no match, on both sides."""
+    alone = [df.select(c).distinct().join(matches.select(c), c, "left_anti").select(F.lit(side).alias("side"), F.col(c).cast("string").alias("id")) for side, df, c in (("left", left, a), ("right", right, b))]
+    return alone[0].unionByName(alone[1])
+
+
+def similarity_range(pairs: DataFrame) -> DataFrame:
+    """(a, n, least, largest, mean): how alike each representative is to the others that it shares something with."""
+    return pairs.where("a <> b").groupBy("a").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("largest"), F.avg("score").alias("mean"))
+
+
 def closest_members(close: DataFrame, members: DataFrame, scores: DataFrame, query: str, rep: str, member: str, n: int = 10, least: int = 25) -> DataFrame:
     """Each query's n closest members of the groups whose representative it is close to; scores: (query, member, score)."""
     options = close.where(F.col("score") >= least).select(query, rep).join(members.select(rep, member), rep)

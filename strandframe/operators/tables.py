@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def unnest_set(df: DataFrame, col: str, key: str = "set_id") -> tuple[DataFrame, DataFrame]:
     """Distinct comma sets with a key (a hash of the set, so no global numbering is needed), and their members."""
@@ -58,7 +60,7 @@ def weighted_best(df: DataFrame, query: str, target: str, weight: str, *order: C
 
 def split(df: DataFrame, key: str, fraction: float, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """A repeatable split by the hash of a key: about fraction of the keys, and the rest."""
-    first = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) < int(fraction * 10_000)
+    first = share(seed, key) < int(fraction * 10_000)
     return df.where(first), df.where(~first)
 
 
@@ -93,3 +95,26 @@ def set_ops(a: Column, b: Column) -> dict[str, Column]:
 def pivot_fixed(df: DataFrame, row: str, col: str, columns: list[str], value: Column) -> DataFrame:
     """Counts or sums in long form to one column each, in the order given, 0 where there is none."""
     return df.groupBy(row).pivot(col, columns).agg(value).na.fill(0)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the number of each row, from 1 on, in an order over all rows: sorted by ranges, numbered within each, and
+    moved on by the sizes of the ranges before. The sorted rows are written, so both readings see the same ranges."""
+    placed = graph.written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_at", "_part", "_before")
+
+
+def share(seed: int, *cols, parts: int = 10_000) -> Column:
+    """A number below parts for each row, told by an md5 of the seed and the columns: the same in any engine and run."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % parts
+
+
+def group_rows(df: DataFrame, partition: str, order: list[str], key: str, name: str = "run") -> DataFrame:
+    """df with the number of the run each row is in: a new run begins where the key changes in the order given."""
+    w = W.partitionBy(partition).orderBy(*order)
+    changed = (~F.col(key).eqNullSafe(F.lag(key).over(w)) | (F.row_number().over(w) == 1)).cast("int")
+    return df.withColumn("_new", changed).withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")

@@ -57,15 +57,16 @@ def arrays(t):
 
 
 def pairs(t):
-    """Pairs of nations, of which there are a fixed number."""
-    v = arrays(t)
-    return v.select(F.col("contig").alias("a"), F.col("v").alias("x"), F.lit(1).alias("k")).join(v.select(F.col("contig").alias("b"), F.col("v").alias("y"), F.lit(1).alias("k")), "k").where("a < b")
+    """Pairs of nations that share a reference, with their vectors."""
+    v, s = arrays(t), nations(t)
+    met = s.select("ref", F.col("contig").alias("a")).join(s.select("ref", F.col("contig").alias("b")), "ref").where("a < b").select("a", "b").distinct()
+    return met.join(v.select(F.col("contig").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("contig").alias("b"), F.col("v").alias("y")), "b")
 
 
 FULL = f"{NV}, r AS (SELECT DISTINCT ref FROM s), c AS (SELECT DISTINCT contig FROM s), f AS (SELECT contig, ref, coalesce(score, 0) AS score FROM c CROSS JOIN r LEFT JOIN s USING (contig, ref))"
 
 
-@query(f"{FULL} SELECT x.contig AS a, y.contig AS b, round(sum(CASE WHEN greatest(x.score, y.score) > 0 THEN 1 / (1 + abs(x.score - y.score) / greatest(x.score, y.score)) ELSE 0 END), 6) AS likeness FROM f x JOIN f y USING (ref) WHERE x.contig < y.contig GROUP BY ALL")
+@query(f"{FULL} SELECT x.contig AS a, y.contig AS b, round(sum(CASE WHEN greatest(x.score, y.score) > 0 THEN 1 / (1 + abs(x.score - y.score) / greatest(x.score, y.score)) ELSE 0 END), 6) AS likeness FROM f x JOIN f y USING (ref) WHERE x.contig < y.contig GROUP BY ALL HAVING count(*) FILTER (x.score > 0 AND y.score > 0) > 0")
 def b5_distance(t):
     return pairs(t).select("a", "b", F.round(bins.compare_dist(F.col("x"), F.col("y")), 6).alias("likeness"))
 
@@ -75,7 +76,8 @@ def b6_best(t):
     return bins.compare_best(bins.best_coordinate(nations(t), "contig", "ref"), "contig").withColumn("likeness", F.round("likeness", 6))
 
 
-@query()
+@query(f"""{NV}, z AS (SELECT x.contig AS a, y.contig AS b, ref, x.score AS xs, y.score AS ys FROM s x JOIN s y USING (ref) WHERE x.contig < y.contig AND x.score <> 0 AND y.score <> 0),
+p AS (SELECT p.a, p.b, sum(CASE WHEN p.ys >= q.ys THEN 1 ELSE -2 END) AS n FROM z p JOIN z q ON p.a = q.a AND p.b = q.b AND (p.xs > q.xs OR p.xs = q.xs AND p.ref < q.ref) GROUP BY ALL) SELECT a, b, (1 + coalesce(n, 0))::INT AS score FROM (SELECT DISTINCT a, b FROM z) LEFT JOIN p USING (a, b)""")
 def b7_rank(t):
     return pairs(t).select("a", "b", bins.compare_rank(F.col("x"), F.col("y")).alias("score"))
 
@@ -111,7 +113,7 @@ def b12_filter_effect(t):
     return bins.filter_effect(contigs(t), 100_000, 5_000)
 
 
-@query(f"WITH {CON}, u AS (SELECT bin, count(*) - 5.0 * sum(n - 1) AS uni_score FROM (SELECT bin, role, count(*) AS n FROM c GROUP BY ALL) GROUP BY bin) SELECT bin, count(*) AS contigs, sum(length)::BIGINT AS bases, round(sum(length * coverage) / sum(length), 4) AS coverage, any_value(uni_score)::DOUBLE AS uni_score FROM c JOIN u USING (bin) GROUP BY bin")
+@query(f"WITH {CON}, u AS (SELECT bin, count(*) - 5.0 * count(*) FILTER (n > 1) AS uni_score FROM (SELECT bin, role, count(*) AS n FROM c GROUP BY ALL) GROUP BY bin) SELECT bin, count(*) AS contigs, sum(length)::BIGINT AS bases, round(sum(length * coverage) / sum(length), 4) AS coverage, any_value(uni_score)::DOUBLE AS uni_score FROM c JOIN u USING (bin) GROUP BY bin")
 def b13_summary(t):
     return bins.summarize(contigs(t), "bin", "role").withColumns({"coverage": F.round("coverage", 4), "uni_score": F.col("uni_score").cast("double")})
 
@@ -166,7 +168,7 @@ def b21_site_report(t):
 
 @query(f"WITH {CON} SELECT seg, role, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (length > 300000) AS large FROM c GROUP BY ALL")
 def b22_audit(t):
-    return contigs(t).groupBy("seg", "role").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_if(F.col("length") > 300_000).alias("large"))
+    return bins.audit(contigs(t), ["seg", "role"], {"done": F.col("o_orderstatus") == "F", "open": F.col("o_orderstatus") == "O", "large": F.col("length") > 300_000})
 
 
 @query(f"WITH {CON}, g AS (SELECT bin, o_orderstatus = 'F' AS good, role IN ('1-URGENT', '2-HIGH') AS one FROM c) SELECT bin, count(*) FILTER (one AND good) AS good_a, count(*) FILTER (one AND NOT good) AS bad_a, count(*) FILTER (NOT one AND good) AS good_b, count(*) FILTER (NOT one AND NOT good) AS bad_b FROM g GROUP BY bin HAVING count(*) FILTER (one) > 0 AND count(*) FILTER (NOT one) > 0")

@@ -73,9 +73,44 @@ def s8_matrix_directory(t):
     return matrix.from_directory(m.sparkSession, path).where("n > 0")
 
 
-@query("SELECT conv_id::VARCHAR AS conv, count(*) AS turns, max(turn)::VARCHAR AS last FROM conversations WHERE turn < 10 GROUP BY conv_id")
+@query(f"SELECT doc_id::VARCHAR AS genome_id, source AS name, lang AS domain, length({LETTERS})::BIGINT AS len, n_chars AS begin, 'PGF' || lang AS family FROM documents")
+def s7_genome_objects(t):
+    """A genome object for each document: a contig of its letters and a feature on it."""
+    d = t("documents").select(F.col("doc_id").cast("string").alias("id"), "source", "lang", "n_chars", seq.normalize(F.col("text"), "letters").alias("dna"))
+    contig = F.struct(F.concat("id", F.lit("c")).alias("id"), "dna", F.lit(11).alias("genetic_code"))
+    place = F.array(F.array(F.concat("id", F.lit("c")), F.col("n_chars").cast("string"), F.lit("+"), F.lit("9")))
+    feature = F.struct(F.concat("id", F.lit("f")).alias("id"), F.lit("CDS").alias("type"), F.lit("role").alias("function"), F.lit("M").alias("protein_translation"), place.alias("location"), F.array(F.array(F.lit("PGF"), F.concat(F.lit("PGF"), "lang"), F.lit("role"), F.lit("1"))).alias("family_assignments"))
+    path = folder(d.sparkSession)
+    d.select("id", F.col("source").alias("scientific_name"), F.col("lang").alias("domain"), F.lit(11).alias("genetic_code"), F.array(contig).alias("contigs"), F.array(feature).alias("features")).write.json(path)
+    genomes, contigs, found = files.read_genomes(d.sparkSession, path, multi_line=False)
+    one = found.select("genome_id", F.col("location")[0]["begin"].alias("begin"), F.col("family")[0]["id"].alias("family"))
+    return genomes.select("genome_id", "name", "domain").join(contigs.select("genome_id", "len"), "genome_id").join(one, "genome_id")
+
+
+@query("SELECT i.item_id AS rep_id, length(i.text) AS seq_length, count(l.doc_id) AS members, sum(l.quality)::BIGINT AS score, 8 AS k, 100 AS threshold FROM benchmark i LEFT JOIN labels l ON l.doc_id = i.item_id GROUP BY ALL")
+def s9_representative_db(t):
+    """Saved and loaded again: items as representatives, the labels as members of the item with their number."""
+    b = t("benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("name"), F.col("text").alias("seq"))
+    path = folder(b.sparkSession)
+    files.save_reps(path, b, t("labels").select(F.col("doc_id").alias("genome_id"), F.col("doc_id").alias("rep_id"), F.col("quality").alias("score")), 8, 100)
+    reps, members, k, score = files.load_reps(b.sparkSession, path)
+    sums = members.groupBy("rep_id").agg(F.count("*").alias("members"), F.sum("score").cast("long").alias("score"))
+    return reps.select(F.col("id").alias("rep_id"), F.length("seq").alias("seq_length")).join(sums, "rep_id", "left").na.fill(0, ["members"]).withColumns({"k": F.lit(k), "threshold": F.lit(score)})
+
+
+@query("SELECT replace(p_type, ' ', '_') AS role, count(*) FILTER (l_returnflag = 'R') AS predicted, count(*) FILTER (l_linestatus = 'F') AS actual FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def s12_report(t):
+    """Reports written as aligned text with a heading, and read again."""
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.replace("p_type", F.lit(" "), F.lit("_")).alias("role")).agg(F.count_if(F.col("l_returnflag") == "R").alias("p"), F.count_if(F.col("l_linestatus") == "F").alias("a"))
+    path = folder(rows.sparkSession)
+    lines = rows.select(F.concat(F.lit("Role table\n"), F.rpad("role", 40, " "), F.lpad(F.col("p").cast("string"), 9, " "), F.lit("\t"), F.col("a").cast("string")).alias("value"))
+    lines.write.text(path)
+    return files.read_report(rows.sparkSession, path)
+
+
+@query("SELECT conv_id::VARCHAR AS conv, count(*) AS turns, max(turn)::VARCHAR AS last FROM conversations GROUP BY conv_id")
 def s10_s11_blocks(t):
-    c = t("conversations").where("turn < 10")
+    c = t("conversations")
     path = folder(c.sparkSession)
     lines = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("turn")), lambda x: F.concat(F.lit("turn "), x.cast("string"))), "\n").alias("b"))
     lines.select(F.concat(F.lit("conv "), "conv_id", F.lit("\n"), "b", F.lit("\n//")).alias("value")).write.text(path)

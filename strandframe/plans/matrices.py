@@ -39,16 +39,17 @@ def m3_partition(t):
     return y.join(rest.groupBy("row").agg(F.count("*").alias("others")), "row", "left").na.fill(0, ["others"])
 
 
-@query()
+@query("""WITH m AS (SELECT l_orderkey AS row, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT CASE WHEN ('0x' || left(md5(concat_ws(':', '1', row)), 8))::BIGINT % 10000 < 8000 THEN 'train' ELSE 'test' END AS part, count(*) AS rows, sum(n)::BIGINT AS n FROM m GROUP BY 1""")
 def m4_split(t):
     train, test = matrix.split(types(t), 0.8)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").agg(F.count_distinct("row").alias("rows"), F.sum("n").alias("n"))
 
 
-@query("""WITH p AS (SELECT DISTINCT s_nationkey AS nation, p_brand AS role, l_returnflag AS f FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 45)
+@query("""WITH p AS (SELECT DISTINCT s_nationkey AS nation, l_partkey AS role, l_returnflag AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
 SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.role, b.role) AS role, CASE WHEN a.role IS NULL THEN 'new' ELSE 'missing' END AS diff FROM (FROM p WHERE f = 'A') a FULL JOIN (FROM p WHERE f = 'R') b ON a.nation = b.nation AND a.role = b.role WHERE a.role IS NULL OR b.role IS NULL""")
 def m5_profile_diff(t):
-    rows = lines(t).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("l_quantity >= 45").select(F.col("s_nationkey").alias("nation"), F.col("p_brand").alias("role"), "l_returnflag")
+    rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("nation"), F.col("l_partkey").alias("role"), "l_returnflag")
     return matrix.profile_diff(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"), ["nation"])
 
 
@@ -166,11 +167,11 @@ def p18_seed_gate(t):
     return quality.seed_gate(t("lineitem"), "l_orderkey", "l_quantity", 10, 40)
 
 
-EV = "e AS (SELECT p_brand AS role, count(*) FILTER (l_returnflag = 'R') AS predicted, count(*) FILTER (l_linestatus = 'F') - 7 AS actual FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY 1)"
+EV = "e AS (SELECT p_brand AS role, count(*) FILTER (l_returnflag = 'R') % 3 AS predicted, count(*) FILTER (l_linestatus = 'F') % 3 AS actual FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"
 
 
 def evaluation(t):
-    return lines(t).where("l_quantity > 49").groupBy(F.col("p_brand").alias("role")).agg(F.count_if(F.col("l_returnflag") == "R").alias("predicted"), (F.count_if(F.col("l_linestatus") == "F") - 7).alias("actual"))
+    return lines(t).groupBy(F.col("p_brand").alias("role")).agg((F.count_if(F.col("l_returnflag") == "R") % 3).alias("predicted"), (F.count_if(F.col("l_linestatus") == "F") % 3).alias("actual"))
 
 
 def features(t):
@@ -187,7 +188,7 @@ def m17_clean_contigs(t):
     return quality.clean_contigs(t("supplier").select(F.col("s_suppkey").alias("contig")), features(t), evaluation(t), "contig", "role", coarse=True)
 
 
-@query()
+@query("SELECT event_type, count(*) AS n FROM events WHERE ('0x' || left(md5(concat_ws(':', '1', event_id)), 8))::BIGINT % 10000 >= 2500 GROUP BY 1")
 def m18_thin_features(t):
     return quality.thin_features(t("events"), "event_id", 25).groupBy("event_type").agg(F.count("*").alias("n"))
 

@@ -26,10 +26,10 @@ def k11_closest_refine(t):
     return reps.closest_refine(scores, sim.item_pairs(t), sim.item_nodes(t), "doc_id", "item_id", [8, 16])
 
 
-@query(f"{sim.SCORES}, {BEST} SELECT doc_id, item_id, score FROM b")
+@query(f"{sim.SCORES}, {BEST} SELECT doc_id, item_id, score FROM b WHERE score >= 20 AND (score >= 60 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 def r6_update(t):
     found = members(t)
-    return reps.update(found.where("score >= 60"), sim.doc_scores(t), "doc_id", "item_id")
+    return reps.update(found.where("score >= 60"), sim.doc_scores(t), "doc_id", "item_id", least=20, skip=t("labels").where("toxic = 1"))
 
 
 @query(f"{sim.SCORES}, {BEST}, c AS (SELECT s.item_id AS query, b.item_id AS rep, b.doc_id AS member, s2.score FROM (SELECT DISTINCT item_id FROM s) s JOIN b ON b.item_id = s.item_id JOIN s s2 ON s2.item_id = s.item_id AND s2.doc_id = b.doc_id) SELECT query, member, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, member) AS rank FROM c QUALIFY rank <= 3")
@@ -77,9 +77,9 @@ def j1_inner(t):
     return t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "s_name", "s_acctbal")
 
 
-@query("SELECT c_custkey, c_name, i AS ordinal FROM customer JOIN (SELECT o_custkey AS c_custkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS i FROM orders WHERE o_totalprice > 490000) USING (c_custkey)")
+@query("SELECT c_custkey, c_name, i AS ordinal FROM customer JOIN (SELECT o_custkey AS c_custkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS i FROM orders) USING (c_custkey)")
 def j9_by_ordinals(t):
-    keys = t("orders").where("o_totalprice > 490000").select(F.col("o_custkey").alias("c_custkey"), F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderdate", "o_orderkey")).alias("ordinal"))
+    keys = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderdate", "o_orderkey")).alias("ordinal"))
     return t("customer").join(keys, "c_custkey").select("c_custkey", "c_name", "ordinal")
 
 
@@ -90,7 +90,7 @@ def j11_pairs_within_group(t):
     return x.join(y, "l_orderkey").where("i < j").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT CASE WHEN ('0x' || left(md5(concat_ws(':', '5', o_orderkey)), 8))::BIGINT % 10000 < 2500 THEN 'first' ELSE 'rest' END AS part, count(*) AS n FROM orders GROUP BY 1")
 def o3_split(t):
     a, b = tables.split(t("orders"), "o_orderkey", 0.25, seed=5)
     return a.agg(F.lit("first").alias("part"), F.count("*").alias("n")).unionByName(b.agg(F.lit("rest").alias("part"), F.count("*").alias("n")))
@@ -134,24 +134,29 @@ def f1_standardize(t):
 
 
 def mates(t):
-    """Overlapping mates cut from turns: the left one ends, the reversed right one begins, within the other."""
-    d = turns(t).where("length(dna) >= 90")
-    return d.select("conv_id", "turn", F.substring("dna", 1, 60).alias("l"), seq.revcomp(F.expr("substring(dna, 31, 60)")).alias("r"))
+    """Overlapping mates cut from turns: the left one leaves out the last third, the reversed right one the first."""
+    d, third = turns(t).where("length(dna) >= 75"), "floor(length(dna) / 3)"
+    return d.select("conv_id", "turn", F.expr(f"left(dna, length(dna) - {third})").alias("l"), seq.revcomp(F.expr(f"substring(dna, cast({third} as int) + 1)")).alias("r"))
 
 
 DNA = "translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+MATES = f"""d AS (SELECT conv_id, turn, {DNA} AS dna FROM conversations), m AS (SELECT conv_id, turn, left(dna, (length(dna) - length(dna) // 3)::INT) AS l, substr(dna, (length(dna) // 3)::INT + 1) AS r FROM d WHERE length(dna) >= 75),
+o AS (SELECT *, length(l) - strpos(l, left(r, 25)) + 1 AS size FROM m), g AS (SELECT conv_id, turn, CASE WHEN right(l, size::INT) = left(r, size::INT) THEN l || substr(r, size::INT + 1) END AS merged FROM o)"""
 
 
-@query(f"SELECT conv_id, turn, substr(dna, 1, 90) AS merged FROM (SELECT conv_id, turn, {DNA} AS dna FROM conversations) WHERE length(dna) >= 90")
+@query(f"WITH {MATES} SELECT * FROM g")
 def f9_merge_pairs(t):
     return reads.merge_pairs(mates(t), "l", "r", strict=True).select("conv_id", "turn", "merged")
 
 
-@query()
+@query(f"""WITH {MATES}, k AS (SELECT conv_id % 5 AS sample, left(merged, 40) AS seq FROM g WHERE merged IS NOT NULL), c AS (SELECT sample, seq, count(*) AS reads FROM k GROUP BY ALL),
+h AS (SELECT left({DNA}, 40) AS seq, role AS target, count(*) AS score FROM conversations GROUP BY ALL), b AS (SELECT seq, target FROM h QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, target) = 1)
+SELECT sample, target, sum(reads)::BIGINT AS reads FROM c JOIN b USING (seq) GROUP BY ALL""")
 def f10_amplicon_profile(t):
-    docs = t("documents").select("source", F.md5("text").alias("seq"))
-    hits = t("documents").select(F.md5("text").alias("seq"), F.col("lang").alias("target"), F.col("n_chars").alias("score"))
-    return reads.amplicon_profile(docs, hits, "source", "seq", "target", 1)
+    """Merged mates of the turns, as amplicons of their first 40 bases; a hit is a role that such turns have."""
+    merged = reads.merge_pairs(mates(t), "l", "r", strict=True).select((F.col("conv_id") % 5).alias("sample"), F.expr("left(merged, 40)").alias("seq"))
+    hits = t("conversations").select(seq.as_dna(F.col("text")).alias("dna"), F.col("role").alias("target")).groupBy(F.expr("left(dna, 40)").alias("seq"), "target").agg(F.count("*").alias("score"))
+    return reads.amplicon_profile(merged, hits, "sample", "seq", "target", 1)
 
 
 @query("SELECT d.doc_id AS id, coalesce(l.quality::VARCHAR, d.lang) AS comment, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -172,6 +177,28 @@ def w7_resume(t):
     return t("orders").where("o_orderkey > 1000").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY ALL")
+@query("""WITH c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM c) SELECT user_id, run, event_type, count(*) AS n FROM r GROUP BY ALL""")
 def w5_group_rows(t):
-    return t("orders").where("o_orderpriority <> '5-LOW'").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    return tables.group_rows(t("events"), "user_id", ["ts", "event_id"], "event_type").groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderpriority, o_orderkey) AS place FROM orders")
+def o1_multi_key_order(t):
+    return tables.numbered(t("orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), [F.desc("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderkey")], "place").select("o_orderkey", "place")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_suppkey, least(l_partkey, l_orderkey), greatest(l_partkey, l_orderkey), l_linenumber) AS place FROM lineitem")
+def o2_location_order(t):
+    """Locations (contig, ends in either order) in their natural order."""
+    at = features.standardize(t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_partkey").alias("l"), F.col("l_orderkey").alias("r")), "l", "r")
+    return tables.numbered(at, [F.col(c) for c in ("l_suppkey", "l", "r", "l_linenumber")], "place").select("l_orderkey", "l_linenumber", "place")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS genome, l_linenumber AS feature, 'c' || l_suppkey || '_' || l_partkey || CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END || l_quantity::BIGINT AS location, CASE WHEN l_linestatus = 'F' THEN l_shipdate::DATE::VARCHAR END AS family FROM lineitem) SELECT * FROM f""")
+def f5_feature_table(t):
+    l = t("lineitem")  # noqa: E741
+    place = F.array(F.struct(F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("contig"), F.col("l_partkey").alias("begin"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), F.col("l_quantity").cast("long").alias("len")))
+    families = F.array(F.struct(F.lit("other").alias("db"), F.lit("x").alias("id")), F.struct(F.when(F.col("l_linestatus") == "F", "wanted").otherwise("none").alias("db"), F.col("l_shipdate").cast("date").cast("string").alias("id")))
+    rows = l.select(F.col("l_orderkey").alias("genome"), F.col("l_linenumber").alias("feature"), place.alias("place"), families.alias("families"))
+    return features.table(rows, "genome", "feature", F.col("place"), F.col("families"), "wanted")

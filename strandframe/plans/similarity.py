@@ -101,7 +101,7 @@ SIGS = f"WITH {DOCS}, {TURNS}, {cut('dk', 'docs', 'lang', 10)}, {cut('tk', 'turn
 
 
 def lang_signatures(t):
-    return signatures.build(kmers.explode(docs(t), "lang", "seq", 10), "lang")
+    return signatures.build(kmers.explode(docs(t), "lang", "seq", 10), "lang", t("documents"))
 
 
 def turn_kmers(t, k=10):
@@ -177,7 +177,9 @@ def item_nodes(t):
     return t("benchmark").select(F.col("item_id").alias("node"), F.length("text").alias("l")).select("node", (-F.col("l")).alias("rank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS[5:]}, o AS (SELECT item_id AS node, row_number() OVER (ORDER BY -length(text), item_id) AS i FROM benchmark), n AS (SELECT i, node, list(b) FILTER (b IS NOT NULL) AS near FROM o LEFT JOIN (FROM p WHERE score >= 12) ON a = node GROUP BY ALL),
+w AS (SELECT 0::BIGINT AS i, [NULL::BIGINT] AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(w.kept, coalesce(n.near, [])) THEN w.kept ELSE list_append(w.kept, n.node) END FROM w JOIN n ON n.i = w.i + 1)
+SELECT node FROM (SELECT unnest(kept) AS node FROM w WHERE i = (SELECT max(i) FROM w)) WHERE node IS NOT NULL""")
 def r1_thin(t):
     return reps.thin(item_pairs(t), item_nodes(t), 12)
 
@@ -249,6 +251,17 @@ def r18_bidirectional_best(t):
     return reps.bidirectional_best(doc_scores(t), "doc_id", "item_id", 20)
 
 
+@query(f"""{SCORES}, m AS (SELECT doc_id, item_id FROM s WHERE score >= 20 QUALIFY rank() OVER (PARTITION BY doc_id ORDER BY score DESC) = 1 AND rank() OVER (PARTITION BY item_id ORDER BY score DESC) = 1)
+SELECT 'left' AS side, doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m) UNION ALL SELECT 'right', item_id::VARCHAR FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM m)""")
+def r18_orphans(t):
+    return reps.orphans(reps.bidirectional_best(doc_scores(t), "doc_id", "item_id", 20), t("documents"), t("benchmark"), "doc_id", "item_id")
+
+
+@query(f"{PAIRS} SELECT a, count(*) AS n, min(score) AS least, max(score) AS largest, round(avg(score), 6) AS mean FROM p GROUP BY a")
+def r10_similarity_range(t):
+    return reps.similarity_range(item_pairs(t)).withColumn("mean", F.round("mean", 6))
+
+
 @query(f"""WITH RECURSIVE {PAIRS[5:]}, e AS (SELECT a, b FROM p WHERE score >= 25), c AS (SELECT item_id AS node, item_id AS r FROM benchmark UNION SELECT e.b, c.r FROM c JOIN e ON c.node = e.a) SELECT node, min(r) AS component FROM c GROUP BY node""")
 def b28_components(t):
     return graph.components(t("benchmark").select(F.col("item_id").alias("node")), item_pairs(t).where("score >= 25"))

@@ -70,9 +70,9 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=HITS, comment="#")
 
 
-def read_genomes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Genome objects (one JSON document a file) as genomes, contigs and features."""
-    objects = spark.read.schema(GENOME).json(path, multiLine=True)
+def read_genomes(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Genome objects (one JSON document a file, or one a line) as genomes, contigs and features."""
+    objects = spark.read.schema(GENOME).json(path, multiLine=multi_line)
     genomes = objects.select(F.col("id").alias("genome_id"), F.col("scientific_name").alias("name"), "domain", "genetic_code")
     contigs = objects.select(F.col("id").alias("genome_id"), F.explode("contigs").alias("c")).select("genome_id", F.col("c.id").alias("contig_id"), "c.dna", F.length("c.dna").cast("long").alias("len"))
     location = F.transform("f.location", lambda r: F.struct(r[0].alias("contig"), r[1].cast("long").alias("begin"), r[2].alias("strand"), r[3].cast("long").alias("len")))
@@ -87,6 +87,14 @@ def read_blocks(spark: SparkSession, path: str, sep: str = "//") -> DataFrame:
     return blocks.select(F.xxhash64("b").alias("block"), F.posexplode(F.split("b", "\n")).alias("pos", "line"))
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """(role, predicted, actual) of evaluation reports: lines of a name and two counts set apart by white space; headings
+    and other lines are passed over."""
+    pattern = r"^\s*(\S+)\s+(\d+)\s+(\d+)\s*$"
+    lines = spark.read.text(path).where(F.col("value").rlike(pattern))
+    return lines.select(F.regexp_extract("value", pattern, 1).alias("role"), *(F.regexp_extract("value", pattern, i).cast("long").alias(n) for i, n in ((2, "predicted"), (3, "actual"))))
+
+
 def extract_lines(df: DataFrame, line: str, pattern: str, names: list[str], keys: list[str], order: list[str]) -> DataFrame:
     """The groups of a pattern in matching lines; of a key's lines the last in the order given."""
     found = df.where(F.col(line).rlike(pattern)).withColumns({n: F.regexp_extract(line, pattern, i + 1) for i, n in enumerate(names)})
