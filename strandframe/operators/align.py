@@ -134,7 +134,7 @@ def bootstrap(df: DataFrame, aln: str, seq_id: str, seq: str, seed: int = 1) ->
     """Each alignment's columns drawn with replacement; the same draw for all its sequences."""
     long = columns(df, aln, seq_id, seq)
     size = long.groupBy(aln).agg(F.max("pos").alias("_n"))
-    drawn = size.select(aln, "_n", F.explode(F.sequence(F.lit(1), "_n")).alias("pos")).withColumn("_from", (F.pmod(F.xxhash64(F.lit(seed), aln, "pos"), F.col("_n")) + 1).cast("int"))
+    drawn = size.select(aln, "_n", F.explode(F.sequence(F.lit(1), "_n")).alias("pos")).withColumn("_from", (tables.share(seed, aln, "pos", parts=F.col("_n")) + 1).cast("int"))
     picked = long.withColumnRenamed("pos", "_from").join(drawn.select(aln, "pos", "_from"), [aln, "_from"])
     return assemble(picked, aln, seq_id)
 

@@ -107,7 +107,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_at", "_part", "_before")
 
 
-def share(seed: int, *cols, parts: int = 10_000) -> Column:
+def share(seed: int, *cols, parts: int | Column = 10_000) -> Column:
     """A number below parts for each row, told by an md5 of the seed and the columns: the same in any engine and run."""
     text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % parts

@@ -187,7 +187,8 @@ def c15_cluster(t):
     return align.cluster(supplier_pairs(t), supplier_nodes(t), 0.9)
 
 
-@query()
+@query("""WITH n AS (SELECT c_nationkey AS aln, c_custkey AS seq_id, translate(c_name, '0', '-') AS seq FROM customer), z AS (SELECT aln, max(length(seq)) AS n FROM n GROUP BY aln),
+d AS (SELECT aln, pos, ('0x' || left(md5(concat_ws(':', '7', aln, pos)), 8))::BIGINT % n + 1 AS src FROM (SELECT aln, n, unnest(range(1, n + 1)) AS pos FROM z)) SELECT aln, seq_id, string_agg(substr(seq, src::INT, 1), '' ORDER BY pos) AS seq FROM n JOIN d USING (aln) GROUP BY aln, seq_id""")
 def c16_bootstrap(t):
     return align.bootstrap(names(t), "aln", "seq_id", "seq", 7)
 
@@ -232,7 +233,9 @@ def d1_scores(t):
     return out
 
 
-@query()
+@query(f"""WITH {DRUGS}, h AS (SELECT drug1, drug2, line, c1, c2, avg(growth) AS growth FROM g GROUP BY ALL), x AS (SELECT *, lag(growth) OVER (PARTITION BY drug1, drug2, line, c2 ORDER BY c1) AS p, lag(growth) OVER (PARTITION BY drug1, drug2, line, c1 ORDER BY c2) AS q FROM h),
+d AS (SELECT drug1, drug2, line, growth, unnest([p, q]) AS b FROM x), e AS (SELECT drug1, drug2, line, max(CASE WHEN greatest(abs(growth), abs(b)) > 0 THEN 100 * abs(growth - b) / greatest(abs(growth), abs(b)) END) AS score FROM d GROUP BY ALL)
+SELECT drug1, drug2, line, round(score, 6) AS score FROM e WHERE score IS NOT NULL""")
 def d2_delta(t):
     return drugs.score(doses(t).groupBy(*drugs.GROUP, "c1", "c2").agg(F.avg("growth").alias("growth")), "deltaDiff").withColumn("score", F.round("score", 6))
 
