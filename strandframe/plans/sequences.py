@@ -177,12 +177,22 @@ def supplier_nodes(t):
     return t("supplier").select(F.col("s_suppkey").alias("node"), (-F.length(F.regexp_replace("s_name", "0", ""))).alias("rank"))
 
 
-@query()
+LIKE = """s AS (SELECT s_nationkey AS aln, s_suppkey AS id, translate(s_name, '0', '-') AS seq, -length(replace(s_name, '0', '')) AS rank FROM supplier), c AS (SELECT a, b, string_agg(CASE WHEN x = '-' AND y = '-' THEN '' WHEN x = '-' THEN 'a' WHEN y = '-' THEN 'b' WHEN x = y THEN '=' ELSE 'x' END, '' ORDER BY i) AS m
+FROM (SELECT p.id AS a, q.id AS b, i, substr(p.seq, i::INT, 1) AS x, substr(q.seq, i::INT, 1) AS y FROM s p JOIN s q ON p.aln = q.aln AND p.id < q.id, unnest(range(1, 19)) AS t(i)) GROUP BY a, b),
+e AS (SELECT a, b, length(regexp_replace(m, '[^=]', '', 'g')) AS same, length(m) - length(regexp_extract(m, '^(a+|b+)', 1)) - CASE WHEN regexp_matches(m, '[=x]') THEN length(regexp_extract(m, '(a+|b+)$', 1)) ELSE 0 END AS size FROM c),
+p AS (SELECT a, b, same / size AS identity FROM e WHERE size > 0 AND same / size > 0.9), near AS (SELECT a, b, identity FROM p UNION ALL SELECT b, a, identity FROM p),
+o AS (SELECT id AS node, row_number() OVER (ORDER BY rank, id) AS i FROM s), n AS (SELECT i, node, list(b) FILTER (b IS NOT NULL) AS near FROM o LEFT JOIN near ON a = node GROUP BY ALL),
+w AS (SELECT 0::BIGINT AS i, [NULL::BIGINT] AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(w.kept, coalesce(n.near, [])) THEN w.kept ELSE list_append(w.kept, n.node) END FROM w JOIN n ON n.i = w.i + 1),
+k AS (SELECT node FROM (SELECT unnest(kept) AS node FROM w WHERE i = (SELECT max(i) FROM w)) WHERE node IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {LIKE} SELECT node FROM k")
 def c14_dereplicate(t):
     return align.dereplicate(supplier_pairs(t), supplier_nodes(t), 0.9)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LIKE}, j AS (SELECT near.a AS node, b AS rep FROM near JOIN o x ON x.node = near.a JOIN o y ON y.node = b WHERE b IN (FROM k) AND near.a NOT IN (FROM k) AND y.i < x.i QUALIFY row_number() OVER (PARTITION BY near.a ORDER BY identity DESC, y.i) = 1)
+SELECT node, rep FROM j UNION ALL SELECT node, node FROM k""")
 def c15_cluster(t):
     return align.cluster(supplier_pairs(t), supplier_nodes(t), 0.9)
 
