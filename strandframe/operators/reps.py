@@ -60,7 +60,7 @@ def crude(pairs: DataFrame, nodes: DataFrame, least: int, final: bool = False) -
     """(node, rep, score): in order of rank a node without a representative so far becomes one; others take the
     closest earlier representative (final: the closest of all). Pairs hold a score for each direction."""
     reps = graph.written(thin(pairs, nodes, least))
-    rank = nodes.select("node", "rank")
+    rank = nodes.select("node", F.struct("rank", "node").alias("rank"))  # of equal ranks the smaller node comes first
     near = pairs.where(F.col("score") >= least).join(reps.select(F.col("node").alias("b")), "b", "left_semi")
     near = near.join(rank.select(F.col("node").alias("a"), F.col("rank").alias("_ra")), "a").join(rank.select(F.col("node").alias("b"), F.col("rank").alias("_rb")), "b")
     if not final:

@@ -177,9 +177,12 @@ def item_nodes(t):
     return t("benchmark").select(F.col("item_id").alias("node"), F.length("text").alias("l")).select("node", (-F.col("l")).alias("rank"))
 
 
-@query(f"""WITH RECURSIVE {PAIRS[5:]}, o AS (SELECT item_id AS node, row_number() OVER (ORDER BY -length(text), item_id) AS i FROM benchmark), n AS (SELECT i, node, list(b) FILTER (b IS NOT NULL) AS near FROM o LEFT JOIN (FROM p WHERE score >= 12) ON a = node GROUP BY ALL),
-w AS (SELECT 0::BIGINT AS i, [NULL::BIGINT] AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(w.kept, coalesce(n.near, [])) THEN w.kept ELSE list_append(w.kept, n.node) END FROM w JOIN n ON n.i = w.i + 1)
-SELECT node FROM (SELECT unnest(kept) AS node FROM w WHERE i = (SELECT max(i) FROM w)) WHERE node IS NOT NULL""")
+THIN = f"""WITH RECURSIVE {PAIRS[5:]}, o AS (SELECT item_id AS node, row_number() OVER (ORDER BY -length(text), item_id) AS i FROM benchmark), n AS (SELECT i, node, list(b) FILTER (b IS NOT NULL) AS near FROM o LEFT JOIN (FROM p WHERE score >= 12) ON a = node GROUP BY ALL),
+w AS (SELECT 0::BIGINT AS i, [NULL::BIGINT] AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(w.kept, coalesce(n.near, [])) THEN w.kept ELSE list_append(w.kept, n.node) END FROM w JOIN n ON n.i = w.i + 1),
+firsts AS (SELECT node FROM (SELECT unnest(kept) AS node FROM w WHERE i = (SELECT max(i) FROM w)) WHERE node IS NOT NULL)"""
+
+
+@query(f"{THIN} SELECT node FROM firsts")
 def r1_thin(t):
     return reps.thin(item_pairs(t), item_nodes(t), 12)
 
@@ -190,7 +193,8 @@ def r2_n_reps(t):
     return kept.withColumn("threshold", F.lit(threshold))
 
 
-@query()
+@query(f"""{THIN} SELECT a AS node, b AS rep, score FROM p JOIN o x ON x.node = a JOIN o y ON y.node = b WHERE score >= 12 AND b IN (FROM firsts) AND a NOT IN (FROM firsts) AND y.i < x.i QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1
+UNION ALL SELECT node, node, NULL FROM firsts""")
 def r3_crude(t):
     return reps.crude(item_pairs(t), item_nodes(t), 12)
 
