@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandframe.functions import seq, text
-from strandframe.operators import align, bins, clusters, codon, features, kmers, matrix, ml, reads, reps, roles, stats, tables
+from strandframe.operators import align, bins, clusters, codon, features, kmers, matrix, ml, reads, reps, roles, signatures, stats, tables
 from strandframe.sources import files
 
 
@@ -172,3 +172,42 @@ def test_within_sigma_of_one_and_split(spark):
     assert tables.within_sigma(df, "d", "v").count() == 3
     a, b = tables.split(spark.range(1000), "id", 0.3)
     assert a.count() + b.count() == 1000 and 220 < a.count() < 380
+
+
+def test_numbers_over_all_rows(spark):
+    rows = [(i * 7 % 50, i % 3) for i in range(50)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    got = {(r.a, r.b): r.n for r in tables.numbered(df, [F.desc("b"), F.col("a")], "n").collect()}
+    order = sorted(rows, key=lambda r: (-r[1], -1 if r[0] is None else r[0]))
+    assert got == {r: i + 1 for i, r in enumerate(order)}
+    assert tables.numbered(df.limit(0), [F.col("a")], "n").count() == 0
+
+
+def test_runs_of_rows(spark):
+    df = spark.createDataFrame([("u", i, k) for i, k in enumerate(["a", "a", None, None, "b", "a"])] + [("v", 0, None)], "u string, i int, k string")
+    assert [r.run for r in tables.group_rows(df, "u", ["i"], "k").orderBy("u", "i").collect()] == [1, 1, 2, 2, 3, 4, 1]
+
+
+def test_update_has_a_floor_and_skips(spark):
+    scores = spark.createDataFrame([(1, 9, 50), (2, 9, 5), (3, 9, 50), (4, 8, 70)], "q int, r int, score int")
+    members = spark.createDataFrame([(4, 9, 60)], "q int, r int, score int")
+    out = reps.update(members, scores, "q", "r", least=10, skip=spark.createDataFrame([(3,)], "q int"))
+    assert sorted((x.q, x.r) for x in out.collect()) == [(1, 9), (4, 9)]
+    assert sorted((x.side, x.id) for x in reps.orphans(members, scores, scores, "q", "r").collect()) == [("left", "1"), ("left", "2"), ("left", "3"), ("right", "8")]
+
+
+def test_equal_ranks_in_one_pass(spark):
+    pairs = spark.createDataFrame([(1, 2, 20), (2, 1, 20)], "a long, b long, score long")
+    nodes = spark.createDataFrame([(1, 5), (2, 5)], "node long, rank int")
+    assert sorted((r.node, r.rep) for r in reps.crude(pairs, nodes, 12).collect()) == [(1, 1), (2, 1)]
+
+
+def test_a_family_that_is_absent(spark):
+    df = spark.sql("SELECT 'g' AS g, 'f' AS f, array(named_struct('contig', 'c', 'begin', 1, 'strand', '+', 'len', 9)) AS l, array(named_struct('db', 'x', 'id', 'y')) AS m")
+    assert features.table(df, "g", "f", F.col("l"), F.col("m"), "PGF").first().family is None
+
+
+def test_signatures_by_names_or_hashes(spark):
+    kmers = spark.createDataFrame([("aa", "x"), ("aa", "y"), ("ab", "x"), ("ac", "y"), ("ac", "y"), ("ad", None)], "kmer string, g string")
+    by_hash = signatures.build(kmers, "g", kmers)
+    assert sorted(map(tuple, by_hash.collect())) == sorted(map(tuple, signatures.build(kmers.where("g is not null"), "g").collect())) == [("ab", "x"), ("ac", "y")]
