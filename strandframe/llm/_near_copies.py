@@ -11,8 +11,9 @@ Before whole sets move, candidates go that can't reach 0.8 by their sizes, by th
 parities: each set has a bit for each of at least twice as many cells as it has shingles, the parity of its shingles
 there, and two sets differ in at least as many shingles as these bits.
 
-Equal sets are one node. Nodes that share a shingle are first compared with one of them; then, in shingles whose nodes
-aren't connected yet, all but those of the largest component with all. Every group is aggregated or joined, none is
+Equal sets are one node. Nodes that share a shingle are first compared with the one of them that has the fewest shingles
+of its own, as copies with edits are closer to what they were made from than to each other; then, in shingles whose nodes
+aren't connected yet, all but those of the largest component with all whose parities allow it. Every group is aggregated or joined, none is
 listed in a task, and tables that aren't read again are emptied.
 """
 
@@ -35,6 +36,8 @@ from .simhash import SEED, fingerprint, linked, shingle_hashes
 SHINGLE, FIFTHS = 5, 4
 #: Shingles are counted by so many bits of their hashes; the bitmap of the repeated ones has 2**CELLS bits (32 MB).
 COUNTED, CELLS = 40, 28
+#: Parities over so many words of 64 cells are a condition of the join of what stars leave apart.
+FOLD = 8
 
 
 def _set(text: bytes) -> np.ndarray:
@@ -49,6 +52,12 @@ def parities(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h & u.U(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
 
 
+def folded(h: np.ndarray) -> np.ndarray:
+    """The parities of FOLD * 64 cells, whatever the size."""
+    cells = FOLD * 64
+    return np.packbits(np.bincount((h & u.U(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").view("<u8")
+
+
 def differing(x: bytes, y: bytes) -> int:
     """The parity bits that differ, the longer one folded to the cells of the shorter."""
     if len(x) < len(y):
@@ -66,11 +75,11 @@ def _described(batches):
         text, found = data.tobytes(), []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             h = _set(text[a:b])
-            found.append((_node(h), len(h), fingerprint(h), parities(h)))
-        node, n, fp, parity = zip(*found, strict=True)
+            found.append((_node(h), len(h), fingerprint(h), parities(h), folded(h)))
+        node, n, fp, parity, fold = zip(*found, strict=True)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("_id"), rows.column("_k"), u.long(np.array(node, np.uint64)), pa.array(n, pa.int32()), u.long(np.array(fp, np.uint64)), pa.array(parity, pa.binary())],
-            ["_id", "_k", "node", "n", "fp", "parity"],
+            [rows.column("_id"), rows.column("_k"), u.long(np.array(node, np.uint64)), pa.array(n, pa.int32()), u.long(np.array(fp, np.uint64)), pa.array(parity, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, FOLD * len(fold) + 1, FOLD), pa.int32()), u.long(np.concatenate(fold)))],
+            ["_id", "_k", "node", "n", "fp", "parity", "fold"],
         )
 
 
@@ -107,7 +116,7 @@ def _counted(bitmap):
 
 
 def _postings(bitmap, repeated):
-    """Of each set's first fifth, the shingles that may stand in other sets."""
+    """Of each set's first fifth, the shingles that may stand in other sets; own: the percentage that stand in no other."""
 
     def run(batches):
         bits, held = np.frombuffer(repeated.value, np.uint8), []
@@ -119,7 +128,7 @@ def _postings(bitmap, repeated):
                 own = n - int(again.sum())
                 place = np.arange(own, n - -(-FIFTHS * n // 5) + 1)
                 if len(place):
-                    held.append((h[again][place - own], np.full(len(place), _node(h), np.uint64), np.full(len(place), n), place))
+                    held.append((h[again][place - own], np.full(len(place), _node(h), np.uint64), np.full(len(place), n), place, np.full(len(place), 100 * own // n)))
             if len(held) > 1000:
                 yield rows(held)
                 held = []
@@ -127,8 +136,8 @@ def _postings(bitmap, repeated):
             yield rows(held)
 
     def rows(held):
-        h, node, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([u.long(h), u.long(node), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["h", "node", "n", "at"])
+        h, node, n, at, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([u.long(h), u.long(node), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(own.astype(np.int8))], ["h", "node", "n", "at", "own"])
 
     return run
 
@@ -187,8 +196,8 @@ def _pairs(joined: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(component, k): the groups of near copies, and the (_id, _k) of the smallest document of each."""
     rows = keyed(docs).select("_id", "_k", "text")
-    seen = rows.mapInArrow(_described, "_id long, _k long, node long, n int, fp long, parity binary")
-    nodes = written(seen.groupBy("node").agg(F.min(F.struct("_id", "_k")).alias("k"), *(F.first(c).alias(c) for c in ("n", "fp", "parity"))))
+    seen = rows.mapInArrow(_described, "_id long, _k long, node long, n int, fp long, parity binary, fold array<long>")
+    nodes = written(seen.groupBy("node").agg(F.min(F.struct("_id", "_k")).alias("k"), *(F.first(c).alias(c) for c in ("n", "fp", "parity", "fold"))))
     plain = nodes.select("node")
     near = nodes.select("fp", "node").join(linked(nodes.select("fp", F.col("node").alias("_id"))), "fp")
     links = similar(rows, nodes, near.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
@@ -196,19 +205,21 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     firsts = _bits(nodes.select("k._k"))  # one document of each set, and few others
     counts = rows.mapInArrow(_counted(firsts), "h long, n byte").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = docs.sparkSession.sparkContext.broadcast(_sketch.bitmap(counts.where("n > 1").select(F.shiftright("h", COUNTED - CELLS).alias("cell")), 1 << CELLS))
-    posts = written(rows.mapInArrow(_postings(firsts, repeated), "h long, node long, n int, at int").dropDuplicates(["h", "node"]))
+    posts = written(rows.mapInArrow(_postings(firsts, repeated), "h long, node long, n int, at int, own byte").dropDuplicates(["h", "node"]))
 
     def labelled() -> DataFrame:
-        return posts.join(component, "node").select("h", F.struct("node", "n", "at", "component").alias("x"))
+        return posts.join(component, "node").select("h", F.struct("node", "n", "at", "own", "component").alias("x"))
 
     several = F.min("x.component") < F.max("x.component")
-    centre = labelled().groupBy("h").agg(F.min_by("x", F.xxhash64("x.node")).alias("y"), several.alias("several")).where("several").drop("several")
+    centre = labelled().groupBy("h").agg(F.min_by("x", F.struct("x.own", F.xxhash64("x.node"))).alias("y"), several.alias("several")).where("several").drop("several")
     links, old = written(links.unionByName(similar(rows, nodes, _pairs(labelled().join(centre, "h"))))), component
     component = written(connected(plain, links))
     emptied(old)
     sizes = labelled().groupBy("h", F.col("x.component").alias("component")).agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("most"))
-    split = labelled().join(sizes.where("parts > 1"), "h")
-    rest = split.where("x.component <> most").select("h", "x").join(split.select("h", F.col("x").alias("y")), "h")
-    component = written(connected(plain, links.unionByName(similar(rows, nodes, _pairs(rest)))))
+    split = labelled().join(sizes.where("parts > 1"), "h").join(nodes.select(F.col("node").alias("_node"), "fold"), F.col("x.node") == F.col("_node")).drop("_node")
+    rest = split.where("x.component <> most").select("h", "x", F.col("fold").alias("fold_x")).join(split.select("h", F.col("x").alias("y"), F.col("fold").alias("fold_y")), "h")
+    differ = sum((F.bit_count(F.col("fold_x")[i].bitwiseXOR(F.col("fold_y")[i])) for i in range(FOLD)), F.lit(0))
+    close = (5 + FIFTHS) * differ <= (5 - FIFTHS) * (F.col("x.n") + F.col("y.n"))
+    component = written(connected(plain, links.unionByName(similar(rows, nodes, _pairs(rest.where(close))))))
     emptied(posts, links)
     return nodes.select("node", "k").join(component, "node").groupBy("component").agg(F.min("k").alias("k"))
