@@ -78,10 +78,12 @@ class Prefixes:
         """Whether size code points from a on are those of other from b on."""
         return (self.span(a, a + size) == other.span(b, b + size)) & (self.span(a, a + size, 1) == other.span(b, b + size, 1))
 
-    def extension(self, a: np.ndarray, other: Prefixes, b: np.ndarray) -> np.ndarray:
-        """The longest common extension from each a and b on, by binary search."""
+    def extension(self, a: np.ndarray, other: Prefixes, b: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+        """The longest common extension from each a and b on (of at most so many code points), by binary search."""
         low = np.zeros(len(a), np.int64)
         high = np.minimum(len(self.sums[0]) - 1 - a, len(other.sums[0]) - 1 - b)
+        if most is not None:
+            high = np.minimum(high, most)
         while (low < high).any():
             mid = (low + high + 1) // 2
             same = self.equal(a, other, b, mid)
@@ -97,6 +99,8 @@ class Prints(NamedTuple):
     size: np.ndarray
     whole: np.ndarray  # two columns
     bins: np.ndarray  # BINS columns
+    first: np.ndarray  # where each text starts in the prefixes of all
+    prefix: Prefixes
 
     def text(self, i: int) -> str:
         return f"{self.size[i]:x}-{int(self.whole[i, 0]):08x}{int(self.whole[i, 1]):08x}-{self.bins[i].astype('>u2').tobytes().hex()}"
@@ -124,8 +128,9 @@ def fingerprint(texts: list[str]) -> Prints:
     value = np.concatenate((least, gram[few_at], u.mix(whole[tiny, 0] + u.U(7))))
     owner = np.concatenate((owner, doc[few_at], tiny))
     bins = np.full(len(texts) * BINS, EMPTY, np.uint16)
-    np.minimum.at(bins, owner * BINS + (value >> u.U(64 - BIN_BITS)).astype(np.int64), np.minimum(value >> u.U(40) & u.U(0xFFFF), u.U(EMPTY - 1)).astype(np.uint16))
-    return Prints(size, whole, bins.reshape(-1, BINS))
+    dealt = u.mix(value)  # winnowing leaves low values, whose leading bits would leave high bins empty
+    np.minimum.at(bins, owner * BINS + (dealt >> u.U(64 - BIN_BITS)).astype(np.int64), np.minimum(dealt >> u.U(40) & u.U(0xFFFF), u.U(EMPTY - 1)).astype(np.uint16))
+    return Prints(size, whole, bins.reshape(-1, BINS), first[:-1], prefix)
 
 
 def likeness(a: Prints, i, b: Prints, j) -> np.ndarray:
@@ -142,7 +147,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_start long"
 _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 
@@ -161,14 +166,15 @@ def _compared(texts: list[str], following: list[str]) -> list[pa.Array]:
         chained = all(x is y for x, y in zip(now[1:], then, strict=False))
         c = fingerprint(then[-1:] if chained else then)
         near = likeness(a, n, b, n)
+        common = a.prefix.extension(a.first, b.prefix, b.first, np.minimum(a.size, b.size))
         if chained:  # the next text is mostly the next row
             following_near = np.concatenate((likeness(a, n[:-1], a, n[1:]), likeness(a, n[-1:], c, n[:1])))
         else:
             following_near = likeness(a, n, c, n)
-        for column, values in zip(out, (a.size.tolist(), [hashlib.sha256(t.encode()).hexdigest() for t in new], map(a.text, n), map(b.text, n), near.tolist(), following_near.tolist()), strict=True):
+        for column, values in zip(out, (a.size.tolist(), [hashlib.sha256(t.encode()).hexdigest() for t in new], map(a.text, n), map(b.text, n), near.tolist(), following_near.tolist(), common.tolist()), strict=True):
             column += values
         low = high
-    return [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)]
+    return [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
 
 
 def _in_order(batches):
@@ -177,7 +183,7 @@ def _in_order(batches):
     first = last = None
 
     def row(edge, ids, texts):
-        return pa.RecordBatch.from_arrays([pa.array([edge], pa.int32()), pa.array([part], pa.int32()), ids, pa.array([texts], pa.string()), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names)
+        return pa.RecordBatch.from_arrays([pa.array([edge], pa.int32()), pa.array([part], pa.int32()), ids, pa.array([texts], pa.string()), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()))], names)
 
     names = ["edge", "part", "doc_id", "text", *_NAMES]
     for b in batches:
@@ -198,7 +204,8 @@ def _in_order(batches):
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_start (code points up to the first that
+    differs in the edited text)."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

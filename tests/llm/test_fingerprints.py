@@ -46,11 +46,24 @@ def test_pairs_against_brute_force(spark):
         e = t[: len(t) - k] + n[:k]
         a, b, c = fp.fingerprint([t]), fp.fingerprint([e]), fp.fingerprint([n])
         z = np.zeros(1, int)
-        assert tuple(got[i][1:]) == (len(t), brute.sha(e), a.text(0), b.text(0), fp.likeness(a, z, b, z)[0], fp.likeness(a, z, c, z)[0])
+        assert tuple(got[i][1:]) == (len(t), brute.sha(e), a.text(0), b.text(0), fp.likeness(a, z, b, z)[0], fp.likeness(a, z, c, z)[0], next((p for p, (x, y) in enumerate(zip(t, e, strict=False)) if x != y), min(len(t), len(e))))
         if len(t) > 1000 and len(n) > 1000:
             assert got[i].near_edited > 0.5 and got[i].near_next < 0.3
 
 
+def test_likeness_is_near_the_share_in_common():
+    """Against the Dice coefficient of the sets of all spans of GRAM letters."""
+    rnd, z, off = random.Random(5), np.zeros(1, int), []
+    for cut in (0, 1, 2, 3, 4, 6, 8):
+        x = prose(rnd, 600)
+        y = x[: len(x) * (8 - cut) // 8] + prose(rnd, 75 * cut)
+        p, q = ({t[i : i + fp.GRAM] for i in range(len(t) - fp.GRAM + 1)} for t in (x, y))
+        a, b = fp.fingerprint([x]), fp.fingerprint([y])
+        off.append(abs(fp.likeness(a, z, b, z)[0] - 2 * len(p & q) / (len(p) + len(q))))
+        assert (a.bins != fp.EMPTY).sum() > 0.9 * fp.BINS
+    assert max(off) < 0.25
+
+
 def test_small_tables(spark):
     assert rows(spark, [], 1) == []
     one = rows(spark, [(None, "abcdefgh")], 2)
