@@ -58,6 +58,18 @@ def compare_rank(x: Column, y: Column) -> Column:
     return F.when(F.size(both) > 1, 1 + F.aggregate(pairs, F.lit(0), lambda s, v: s + v)).otherwise(1)
 
 
+def compare_order(x: Column, y: Column, top: int | None = None, strict: bool = False) -> Column:
+    """1 if y never rises from one coordinate to the next in x's falling order (ties in place), else 0; top: only the first
+    so many steps; strict: vectors with zeros match each other, all in one bin, and no others."""
+    both = F.zip_with(x, y, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    ordered = F.transform(F.array_sort(both, lambda p, q: F.when(p["a"] > q["a"], -1).when(p["a"] < q["a"], 1).otherwise(0)), lambda p: p["b"])
+    steps = F.size(x) - 1 if top is None else F.least(F.size(x) - 1, F.lit(top))
+    rises = F.exists(F.transform(ordered, lambda b, i: (i < steps) & (F.get(ordered, i + 1) > b)), lambda r: r)
+    same = F.when(rises, 0).otherwise(1)
+    zero_x, zero_y = F.exists(x, lambda v: v == 0), F.exists(y, lambda v: v == 0)
+    return F.when(zero_x | zero_y, (zero_x & zero_y).cast("int")).otherwise(same) if strict else same
+
+
 def order_key(scores: DataFrame, contig: str, ref: str, top: int) -> DataFrame:
     """(contig, key): its top references in order; contigs with the same key fall in one bin."""
     ranked = scores.where("score > 0").withColumn("_i", F.row_number().over(W.partitionBy(contig).orderBy(F.desc("score"), ref))).where(F.col("_i") <= top)

@@ -57,6 +57,22 @@ def all_pairs(df: DataFrame, id_col: str, seq: str, k: int, min_common: int = 4)
     return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
 
 
+def all_pairs_occurrences(df: DataFrame, id_col: str, seq: str, k: int, least: int = 4, tail: str = "drop") -> DataFrame:
+    """(a, b, score), a <> b: occurrences in b of a's k-mers, where there are at least `least`; not symmetric.
+
+    Exact prefix filter, weighted: with b's k-mers from the rarest to the most common, those at the end that occur fewer
+    than `least` times in all can't make a pair alone, so only the others look for partners; these are then counted in full.
+    """
+    sets = graph.written(explode(df, id_col, seq, k, tail).groupBy(id_col, "kmer").agg(F.count("*").alias("_c")))
+    counts = sets.groupBy("kmer").agg(F.count("*").alias("_f")).where("_f > 1")
+    shared = sets.join(counts, "kmer")  # a k-mer of one sequence alone shares nothing
+    w = W.partitionBy(id_col).orderBy(F.desc("_f"), F.desc("kmer")).rowsBetween(W.unboundedPreceding, 0)
+    prefix = shared.withColumn("_to_end", F.sum("_c").over(w)).where(F.col("_to_end") >= least).select(F.col(id_col).alias("b"), "kmer")
+    a, b = shared.select(F.col(id_col).alias("a"), "kmer"), shared.select(F.col(id_col).alias("b"), "kmer", "_c")
+    candidates = a.join(prefix, "kmer").where("a <> b").select("a", "b").distinct()
+    return candidates.join(a, "a").join(b, ["b", "kmer"]).groupBy("a", "b").agg(F.sum("_c").alias("score")).where(F.col("score") >= least)
+
+
 def top_matches(scores: DataFrame, query: str, target: str, n: int) -> DataFrame:
     """Each query's n best targets, ties by the smaller target."""
     return scores.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), target))).where(F.col("rank") <= n)

@@ -87,6 +87,14 @@ def b8_binning(t):
     return bins.order_key(vector(t), "contig", "ref", 3).groupBy("key").agg(F.count("*").alias("contigs"), F.min("contig").alias("first"))
 
 
+@query(f"""{FULL}, m AS (SELECT DISTINCT x.contig AS a, y.contig AS b FROM s x JOIN s y USING (ref) WHERE x.contig < y.contig), z AS (SELECT contig, min(score) = 0 AS zero FROM f GROUP BY contig),
+o AS (SELECT a, b, row_number() OVER w AS i, y.score AS here, lead(y.score) OVER w AS after FROM m JOIN f x ON x.contig = a JOIN f y ON y.contig = b AND y.ref = x.ref WINDOW w AS (PARTITION BY a, b ORDER BY x.score DESC, x.ref)),
+d AS (SELECT a, b, count(*) FILTER (i <= 2 AND after > here) = 0 AS same FROM o GROUP BY ALL)
+SELECT a, b, (CASE WHEN p.zero OR q.zero THEN p.zero AND q.zero ELSE same END)::INT AS same FROM d JOIN z p ON p.contig = a JOIN z q ON q.contig = b""")
+def b8_compare_order(t):
+    return pairs(t).select("a", "b", bins.compare_order(F.col("x"), F.col("y"), top=2, strict=True).alias("same"))
+
+
 @query()
 def b9_basis(t):
     scores = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.sum("l_quantity").alias("score"))

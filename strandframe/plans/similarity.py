@@ -67,6 +67,12 @@ def k4_all_pairs(t):
     return item_pairs(t)
 
 
+@query(f"""WITH {ITEMS}, k AS (SELECT item_id, substr(seq, i::INT, 5) AS kmer FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 5 + 1)) AS i FROM items)), d AS (SELECT DISTINCT * FROM k)
+SELECT d.item_id AS a, k.item_id AS b, count(*) AS score FROM d JOIN k USING (kmer) WHERE d.item_id <> k.item_id GROUP BY ALL HAVING count(*) >= 4""")
+def k4_all_pairs_occurrences(t):
+    return kmers.all_pairs_occurrences(items(t), "item_id", "seq", 5)
+
+
 @query(f"{SCORES} SELECT doc_id, item_id, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1")
 def k5_best_representative(t):
     return reps.find(doc_scores(t), "doc_id", "item_id")

@@ -31,6 +31,25 @@ def test_all_pairs_by_prefix_equals_all_pairs(spark):
     assert {(r.a, r.b, r.score) for r in got} == want
 
 
+def test_all_pairs_of_occurrences(spark):
+    rnd = random.Random(4)
+    seqs = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 30))) for _ in range(25)] + ["aaaaaaa", "aaa", "", None]
+    cut = [[s[i : i + 3] for i in range(len(s) - 3)] if s else [] for s in seqs]  # without the last one
+    n = len(seqs)
+    scores = {(i, j, sum(m in set(cut[i]) for m in cut[j])) for i in range(n) for j in range(n) if i != j}
+    got = kmers.all_pairs_occurrences(spark.createDataFrame(list(enumerate(seqs)), "id long, s string"), "id", "s", 3, 4).collect()
+    assert {(r.a, r.b, r.score) for r in got} == {x for x in scores if x[2] >= 4}
+
+
+def test_order_comparison_with_and_without_zero_bin(spark):
+    rows = [([3, 2, 1], [9, 8, 7]), ([3, 2, 1], [9, 7, 8]), ([2, 2, 1], [5, 6, 1]), ([3, 0, 1], [4, 0, 9]), ([3, 0, 1], [5, 1, 4]), ([1], [2])]
+    v = spark.createDataFrame([tuple(list(map(float, c)) for c in r) for r in rows], "x array<double>, y array<double>")
+    got = lambda **k: [r[0] for r in v.select(bins.compare_order(F.col("x"), F.col("y"), **k)).collect()]
+    assert got() == [1, 0, 0, 0, 1, 1]
+    assert got(top=1) == [1, 1, 0, 0, 1, 1]
+    assert got(strict=True) == [1, 0, 0, 1, 0, 1]
+
+
 def test_medians_and_quantiles(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 10.0), ("b", 5.0)], "k string, v double")
     got = {r.k: (r.q50, r.q0, r.q100) for r in stats.quantile(df, ["k"], "v", [0.5, 0.0, 1.0]).collect()}
