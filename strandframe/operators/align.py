@@ -130,6 +130,24 @@ def cluster(pairs: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
     return joined.unionByName(founders.select("node", F.col("node").alias("rep")))
 
 
+def cluster_extended(pairs: DataFrame, nodes: DataFrame, t: float, power: float = 0.8) -> DataFrame:
+    """(node, rep, is_rep): like cluster, but a group may have further representatives. In order of rank a sequence more
+    alike than t ** power to a representative joins the group of the first such; one more alike than t becomes a further
+    representative in the group of the most similar one (of equal ones the first); others found a group, whose rep they are.
+    """
+    close = F.col("identity") > t**power
+    near = pairs.where(F.col("identity") > t)
+    found = graph.written(graph.first_independent_set(nodes, near.where(close)))
+    both = near.select("a", "b", "identity").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "identity"))
+    rank = nodes.select("node", F.struct("rank", "node").alias("_r"))
+    before = both.join(found.select(F.col("node").alias("b")), "b", "left_semi").join(rank.toDF("a", "_a"), "a").join(rank.toDF("b", "_b"), "b").where("_b < _a")
+    choice = F.min(F.struct((~close).alias("far"), F.when(close, 0.0).otherwise(-F.col("identity")).alias("i"), "_b"))
+    joins = graph.written(before.groupBy("a").agg(choice.alias("m")).select("a", F.col("m._b.node").alias("b")))
+    trees = graph.components(nodes, joins)  # each has one node that joins none
+    founders = trees.join(joins.select(F.col("a").alias("node")), "node", "left_anti").select("component", F.col("node").alias("rep"))
+    return trees.join(founders, "component").join(found.select("node", F.lit(True).alias("_is")), "node", "left").select("node", "rep", F.coalesce("_is", F.lit(False)).alias("is_rep"))
+
+
 def bootstrap(df: DataFrame, aln: str, seq_id: str, seq: str, seed: int = 1) -> DataFrame:
     """Each alignment's columns drawn with replacement; the same draw for all its sequences."""
     long = columns(df, aln, seq_id, seq)

@@ -50,6 +50,25 @@ def test_order_comparison_with_and_without_zero_bin(spark):
     assert got(strict=True) == [1, 0, 0, 1, 0, 1]
 
 
+def test_clusters_with_further_representatives(spark):
+    rnd = random.Random(5)
+    n, t = 40, 0.7
+    alike = {(i, j): rnd.choice([0.5, 0.69, 0.7, 0.72, 0.74, 0.8, 0.9]) for i in range(n) for j in range(i) if rnd.random() < 0.15}
+    reps, group = [], {}
+    for i in range(n):  # one after the other
+        near = [(r, alike.get((i, r), 0)) for r in reps]
+        close = [r for r, v in near if v > t**0.8]
+        far = [(-v, r) for r, v in near if v > t]
+        group[i] = group[close[0]] if close else group[min(far)[1]] if far else i
+        if not close:
+            reps.append(i)
+    pairs = spark.createDataFrame([(i, j, v) for (i, j), v in alike.items()], "a long, b long, identity double")
+    got = align.cluster_extended(pairs, spark.createDataFrame([(i, i) for i in range(n)], "node long, rank long"), t).collect()
+    assert {(r.node, r.rep, r.is_rep) for r in got} == {(i, group[i], i in reps) for i in range(n)}
+    assert len(got) == n and len(reps) > len(set(group.values()))
+    assert align.cluster_extended(pairs.limit(0), spark.createDataFrame([], "node long, rank long"), t).count() == 0
+
+
 def test_medians_and_quantiles(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 10.0), ("b", 5.0)], "k string, v double")
     got = {r.k: (r.q50, r.q0, r.q100) for r in stats.quantile(df, ["k"], "v", [0.5, 0.0, 1.0]).collect()}
