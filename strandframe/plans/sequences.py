@@ -197,15 +197,15 @@ def c15_cluster(t):
     return align.cluster(supplier_pairs(t), supplier_nodes(t), 0.9)
 
 
-LIKE_MORE = LIKE.replace("> 0.9)", "> 0.85)").replace("ON a = node GROUP", "ON a = node AND identity > pow(0.85, 0.8) GROUP")
+LIKE_MORE = LIKE.replace("ON a = node GROUP", "ON a = node AND identity > pow(0.9, 0.8) GROUP")
 
 
 @query(f"""WITH RECURSIVE {LIKE_MORE}, j AS (SELECT near.a AS node, b AS up FROM near JOIN o x ON x.node = near.a JOIN o y ON y.node = b WHERE b IN (FROM k) AND y.i < x.i
-QUALIFY row_number() OVER (PARTITION BY near.a ORDER BY CASE WHEN identity > pow(0.85, 0.8) THEN 0 ELSE 1 END, CASE WHEN identity > pow(0.85, 0.8) THEN 0 ELSE -identity END, y.i) = 1),
+QUALIFY row_number() OVER (PARTITION BY near.a ORDER BY CASE WHEN identity > pow(0.9, 0.8) THEN 0 ELSE 1 END, CASE WHEN identity > pow(0.9, 0.8) THEN 0 ELSE -identity END, y.i) = 1),
 g AS (SELECT id AS node, id AS rep FROM s WHERE id NOT IN (SELECT node FROM j) UNION ALL SELECT j.node, g.rep FROM j JOIN g ON j.up = g.node)
 SELECT node, rep, node IN (FROM k) AS is_rep FROM g""")
 def c15_cluster_extended(t):
-    return align.cluster_extended(supplier_pairs(t), supplier_nodes(t), 0.85)
+    return align.cluster_extended(supplier_pairs(t), supplier_nodes(t), 0.9)
 
 
 @query("""WITH n AS (SELECT c_nationkey AS aln, c_custkey AS seq_id, translate(c_name, '0', '-') AS seq FROM customer), z AS (SELECT aln, max(length(seq)) AS n FROM n GROUP BY aln),
