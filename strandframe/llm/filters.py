@@ -3,126 +3,150 @@
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import NO_ID, emptied, extended, small_batches, written
+from ._shared import NO_ID, extended, small_batches, written
 from ._skew import joined_by_count
 
 FILTERS = "ABCDE"
 #: A shard of the matrix is closed when its texts reach this many bytes.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 LEAST_WORDS = 200
 
 
-def _shard(n: int, texts: list[pa.Array]) -> dict:
+#: Classes of bytes that are counted in each text beside its words.
+CAPITALS, SIGNS, INNER = "n_capitals", "n_signs", "n_inner"
+CLASSES = {CAPITALS: list(range(0x41, 0x5B)), SIGNS: list(b"#$%&*|"), INNER: list(range(0x80, 0xC0))}  # INNER: but the first of a code point
+MOST_CLASHES = 10_000
+
+
+def _shard(text: pa.Array) -> dict:
     """The rows of some documents as a compressed sparse matrix whose columns are the shard's own words."""
-    text = pa.concat_arrays(texts)
     split = pc.ascii_split_whitespace(text)  # at 0x20 and 0x09 to 0x0D
-    words, row = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    words = split.flatten()
     full = pc.greater(pc.binary_length(words), 0)
+    cells = pc.list_parent_indices(split).filter(full).to_numpy().astype(np.int64)
     coded = words.filter(full).dictionary_encode()
-    column, row = coded.indices.to_numpy(), row[full.to_numpy(zero_copy_only=False)].astype(np.int64)
-    cells, counts = np.unique(row * max(len(coded.dictionary), 1) + column, return_counts=True)
+    del split, words, full
     width = max(len(coded.dictionary), 1)
-    return {
-        "shard": uuid.uuid4().hex,
-        "starts": np.searchsorted(cells, np.arange(n + 1) * width).astype(np.int64),
-        "columns": (cells % width).astype(np.int32),
-        "counts": counts.astype(np.int32),
-        "words": coded.dictionary,
-    }
+    cells *= width
+    cells += coded.indices.to_numpy()
+    cells, counts = np.unique(cells, return_counts=True)
+    starts = np.searchsorted(cells, np.arange(len(text) + 1) * width)
+    return {"starts": starts.astype(np.int64), "columns": (cells % width).astype(np.int32), "counts": counts.astype(np.int32), "words": coded.dictionary}
+
+
+def _classes(text: pa.Array) -> dict[str, pa.Array]:
+    """For each text its number of bytes, and of those of each class."""
+    at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    out = {"n_bytes": pa.array(np.diff(at).astype(np.int64))}
+    data = np.frombuffer(text.buffers()[2], np.uint8)[: at[-1]] if at[-1] else np.zeros(0, np.uint8)
+    for name, members in CLASSES.items():
+        table = np.zeros(256, bool)
+        table[members] = True
+        found = np.flatnonzero(table[data])
+        out[name] = pa.array(np.diff(np.searchsorted(found, at)))
+    return out
 
 
 def shards(docs: DataFrame, text_col: str) -> DataFrame:
     """(shard, docs, starts, columns, counts, words): documents by shards of SHARD_BYTES of text or one longer document. docs
-    has the rows' other columns as structs; row r's cells are starts[r] to starts[r + 1] of columns and counts; columns are
-    numbered by the shard's words. The result must be written before use, as shards have random names."""
+    has the rows' other columns as structs, with n_bytes and the counts of CLASSES; row r's cells are starts[r] to
+    starts[r + 1] of columns and counts; columns are numbered by the shard's words. The result must be written before use,
+    as what a shard holds depends on how rows come."""
     others = [f for f in docs.schema.fields if f.name != text_col]
-    kind = "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in others) + ">"
-    ddl = f"shard string, docs array<{kind}>, starts array<long>, columns array<int>, counts array<int>, words array<string>"
+    kind = "struct<" + ", ".join([*(f"`{f.name}`: {f.dataType.simpleString()}" for f in others), *(f"{c}: long" for c in ("n_bytes", *CLASSES))]) + ">"
+    ddl = f"shard long, docs array<{kind}>, starts array<long>, columns array<int>, counts array<int>, words array<string>"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, closed = TaskContext.get().partitionId() << 32, 0
         held, texts, size = [], [], 0
 
-        def closed() -> pa.RecordBatch:
-            docs = pa.concat_arrays(held)
-            one = _shard(len(docs), texts)
-            at = pa.array([0, len(docs)], pa.int32())
-            return pa.RecordBatch.from_pydict(
-                {
-                    "shard": pa.array([one["shard"]]),
-                    "docs": pa.ListArray.from_arrays(at, docs),
-                    **{k: pa.ListArray.from_arrays(pa.array([0, len(one[k])], pa.int32()), pa.array(one[k])) for k in ("starts", "columns", "counts", "words")},
-                }
-            )
+        def shard() -> pa.RecordBatch:
+            one = {"docs": pa.concat_arrays(held), **_shard(pa.concat_arrays(texts))}
+            lists = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for k, v in one.items()}
+            return pa.RecordBatch.from_pydict({"shard": pa.array([first + closed]), **lists})
 
         for b in batches:
             texts.append(t := b.column(b.schema.get_field_index(text_col)))
-            held.append(pa.StructArray.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in others], [f.name for f in others]))
+            own = {f.name: b.column(b.schema.get_field_index(f.name)) for f in others} | _classes(t)
+            held.append(pa.StructArray.from_arrays(list(own.values()), list(own)))
             size += t.nbytes
             if size >= SHARD_BYTES:
-                yield closed()
-                held, texts, size = [], [], 0
+                yield shard()
+                held, texts, size, closed = [], [], 0, closed + 1
         if held:
-            yield closed()
+            yield shard()
 
     return docs.mapInArrow(part, ddl)
 
 
+def code(word: Column) -> Column:
+    """A word's number unless another word has the same one: 63 bits of a hash, so that no shard needs to ask for it."""
+    return F.shiftrightunsigned(F.xxhash64(word), 1)
+
+
+def clashes(local: DataFrame) -> dict[str, int]:
+    """Negative numbers for all words of local's shards whose code another word has too, told by a second hash. Of the square
+    of the number of distinct words over 2^64 there are few; more than MOST_CLASHES raise an error."""
+    word = local.select(F.explode("words").alias("word"))
+    pairs = word.select(code(F.col("word")).alias("number"), F.xxhash64(F.lit("word"), "word").alias("check"))
+    twice = pairs.groupBy("number").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("number")
+    numbers = [r.number for r in twice.limit(MOST_CLASHES + 1).collect()]
+    if not numbers:
+        return {}
+    words = sorted(r.word for r in word.where(code(F.col("word")).isin(numbers)).distinct().limit(MOST_CLASHES + 1).collect())
+    if len(words) > MOST_CLASHES:
+        raise ValueError(f"over {MOST_CLASHES} words whose numbers clash")
+    return {w: -1 - i for i, w in enumerate(words)}
+
+
 def document_terms(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The matrix and its dictionary, both written: (shard, docs, starts, columns, counts) with columns by the numbers of the
-    dictionary (word, number), which holds each distinct word of all texts once.
+    """The written matrix (shard, docs, starts, columns, counts, numbers) and its dictionary (word, number), which numbers each
+    distinct word of all texts once; numbers[c] is the dictionary's number of a shard's column c.
 
-    Words are grouped within a shard before they are shuffled, so that the commonest word has one row a shard; each shard's
-    list of numbers is no longer than its own dictionary."""
+    Numbers are codes, so each shard encodes its own words; that no two words share a number is settled over all words, by a
+    count with one row a distinct word and shard (the commonest word has one a shard), and the few that would are numbered
+    by a list."""
     small_batches(docs.sparkSession)
-    local = written(shards(docs, text_col))
-    pairs = local.select("shard", F.posexplode("words").alias("at", "word"))
-    dictionary = written(pairs.select("word").distinct().withColumn("number", F.monotonically_increasing_id()))
-    numbers = pairs.join(dictionary, "word").groupBy("shard").agg(F.collect_list(F.struct("at", "number")).alias("numbers"))
-
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(len(b)):
-                pairs = b.column(5).slice(r, 1).flatten()
-                at, number = (c.to_numpy(zero_copy_only=False) for c in pairs.flatten())
-                by_place = np.empty(len(at), np.int64)
-                by_place[at] = number
-                old = b.column(3).slice(r, 1).flatten().to_numpy(zero_copy_only=False)
-                new = pa.ListArray.from_arrays(pa.array([0, len(old)], pa.int32()), pa.array(by_place[old] if len(old) else old.astype(np.int64)))
-                kept = {k: b.column(i).slice(r, 1) for i, k in ((0, "shard"), (1, "docs"), (2, "starts"))}
-                yield pa.RecordBatch.from_pydict(kept | {"columns": new, "counts": b.column(4).slice(r, 1)})
-
-    none = F.array().cast("array<struct<at: int, number: bigint>>")
-    whole = local.join(numbers, "shard", "left").select("shard", "docs", "starts", "columns", "counts", F.coalesce("numbers", none).alias("numbers"))
-    ddl = f"shard string, docs {local.schema['docs'].dataType.simpleString()}, starts array<long>, columns array<long>, counts array<int>"
-    matrix = written(whole.mapInArrow(renumber, ddl))
-    emptied(local)
-    return matrix, dictionary
+    local = written(shards(docs, text_col), "zstd")
+    own = clashes(local)
+    number = code
+    if own:
+        listed = F.create_map(*(F.lit(x) for pair in own.items() for x in pair))
+        number = lambda w: F.coalesce(F.try_element_at(listed, w).cast("long"), code(w))
+    numbers = F.transform("words", number)
+    dictionary = local.select(F.explode(F.arrays_zip("words", numbers.alias("numbers"))).alias("one")).select(F.col("one.words").alias("word"), F.col("one.numbers").alias("number")).distinct()
+    return local.select("shard", "docs", "starts", "columns", "counts", numbers.alias("numbers")), dictionary
 
 
 def row_sums(matrix: DataFrame) -> DataFrame:
-    """The documents' columns with n_words, the sum of a row, and n_distinct, its number of cells."""
+    """The documents' columns with n_words, the sum of a row, and n_distinct, its number of columns by the dictionary."""
     fields = matrix.schema["docs"].dataType.elementType
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(len(b)):
-                docs, starts, columns, counts = (b.column(i).slice(r, 1).flatten() for i in range(4))
+                docs, starts, columns, counts, numbers = (b.column(i).slice(r, 1).flatten() for i in range(5))
                 at, sums = starts.to_numpy(), np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
+                known, rank = np.unique(numbers.to_numpy(), return_inverse=True)
+                cells, row = rank[columns.to_numpy()].astype(np.int64), np.repeat(np.arange(len(docs)), np.diff(at))
+                if len(known) < len(rank):  # columns of one number are one
+                    row, cells = np.unique(np.stack([row, cells]), axis=1)
+                distinct = np.bincount(row, minlength=len(docs))
                 own = {f.name: docs.field(i) for i, f in enumerate(fields)}
-                yield pa.RecordBatch.from_pydict(own | {"n_words": pa.array(np.diff(sums[at])), "n_distinct": pa.array(np.diff(at))})
+                yield pa.RecordBatch.from_pydict(own | {"n_words": pa.array(np.diff(sums[at])), "n_distinct": pa.array(distinct.astype(np.int64))})
 
     empty = matrix.sparkSession.createDataFrame([], fields)
-    return matrix.select("docs", "starts", "columns", "counts").mapInArrow(part, extended(empty, {"n_words": "long", "n_distinct": "long"}))
+    return matrix.select("docs", "starts", "columns", "counts", "numbers").mapInArrow(part, extended(empty, {"n_words": "long", "n_distinct": "long"}))
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
@@ -134,20 +158,17 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
-        (100 * F.regexp_count(text, F.lit("[A-Z]")).cast("long") > 3 * F.length(text).cast("long")).alias("capital"),
-        text.rlike("[#$%&*|]").alias("signs"), F.unhex(F.sha2(text, 256)).alias("same"), text.alias("text"),
+        F.unhex(F.sha2(text, 256)).alias("same"), text.alias("text"),
     )
-    matrix, dictionary = document_terms(doc, "text")
-    own = written(row_sums(matrix))
-    emptied(matrix, dictionary)
+    own = written(row_sums(document_terms(doc, "text")[0]))
     texts = own.groupBy("same").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.count("*").alias("n"))
     texts = written(texts.where("n > 1"))
     found = joined_by_count(own, texts, ["same"], "n", "left")
     bits = {
         "A": F.col("n_words") < LEAST_WORDS,
         "B": 100 * F.col("n_distinct") < 50 * F.col("n_words"),
-        "C": F.col("capital"),
-        "D": F.col("signs"),
+        "C": 100 * F.col(CAPITALS) > 3 * (F.col("n_bytes") - F.col(INNER)),
+        "D": F.col(SIGNS) > 0,
         "E": F.coalesce(F.col("first") < F.coalesce("doc_id", F.lit(NO_ID)), F.lit(False)),
     }
     fails = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(bits[f] for f in FILTERS)), F.lit(0))

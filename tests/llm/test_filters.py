@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandframe.llm import filters
@@ -61,8 +62,12 @@ def test_audit(spark):
     assert len(got) == 600 * 3
 
 
-def test_matrix_has_each_word_once(spark, monkeypatch):
+@pytest.mark.parametrize("clash", [False, True])
+def test_matrix_has_each_word_once(spark, monkeypatch, clash):
     rows, _ = made()
+    if clash:
+        whole = filters.code
+        monkeypatch.setattr(filters, "code", lambda w: F.when(w.startswith("w1"), F.lit(7)).otherwise(whole(w)))
     docs = spark.createDataFrame([(i, r[1] or "") for i, r in enumerate(rows)], "doc_id long, text string").repartition(5)
     matrix, dictionary = filters.document_terms(docs, "text")
     word = {r.number: r.word for r in dictionary.collect()}
@@ -70,7 +75,7 @@ def test_matrix_has_each_word_once(spark, monkeypatch):
     got = {}
     for s in matrix.collect():
         for d, a, b in zip(s.docs, s.starts, s.starts[1:], strict=False):
-            got[d.doc_id] = {word[c]: n for c, n in zip(s.columns[a:b], s.counts[a:b], strict=True)}
+            got[d.doc_id] = {word[s.numbers[c]]: n for c, n in zip(s.columns[a:b], s.counts[a:b], strict=True)}
     assert got == {i: dict(Counter(x for x in re.split("[\x20\x09-\x0d]+", r[1] or "") if x)) for i, r in enumerate(rows)}
 
 
