@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
-from . import graph
+from . import graph, tables
 
 
 def explode(df: DataFrame, id_cols: str | list[str], seq: str, k: int, tail: str = "keep", alphabet: str | None = None) -> DataFrame:
@@ -27,12 +27,14 @@ def explode_spaced(df: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
 def common(a: DataFrame, b: DataFrame, a_id: str, b_id: str, mode: str = "occurrences") -> DataFrame:
     """(a_id, b_id, score) from two k-mer tables: occurrences in b of a's k-mer set, or (mode="set") shared k-mers.
 
-    b's table is written first, so that how it is joined goes by its real size and not by that of its texts."""
+    Both sides are written first, so that how they are joined goes by their real size and not by that of their texts; k-mers
+    that stand in very many sequences are dealt out over several tasks."""
     right = b.select(b_id, "kmer")
     right = graph.written(right.distinct() if mode == "set" else right.groupBy(b_id, "kmer").agg(F.count("*").alias("_n")))
-    left = a.select(a_id, "kmer").join(right.select("kmer").distinct(), "kmer", "left_semi").distinct()  # most k-mers meet nothing
+    left = graph.written(a.select(a_id, "kmer").join(right.select("kmer").distinct(), "kmer", "left_semi").distinct())  # most k-mers meet nothing
     score = F.count("*") if mode == "set" else F.sum("_n")
-    return left.join(right, "kmer").groupBy(a_id, b_id).agg(score.alias("score"))
+    left, right, on = tables.dealt(left, right, "kmer", a_id, b_id)
+    return left.join(right, on).groupBy(a_id, b_id).agg(score.alias("score"))
 
 
 def pair_similarity(queries: DataFrame, targets: DataFrame, q_id: str, t_id: str, seq: str, k: int, mode: str = "occurrences") -> DataFrame:
@@ -51,7 +53,9 @@ def all_pairs(df: DataFrame, id_col: str, seq: str, k: int, min_common: int = 4)
     w = W.partitionBy(id_col)
     ranked = shared.withColumns({"_i": F.row_number().over(w.orderBy("_f", "kmer")), "_n": F.count("*").over(w)})
     prefix = ranked.where(F.col("_i") <= F.col("_n") - min_common + 1).select(id_col, "kmer")
-    candidates = prefix.select(F.col(id_col).alias("a"), "kmer").join(prefix.select(F.col(id_col).alias("b"), "kmer"), "kmer").where("a < b").select("a", "b").distinct()
+    prefix = graph.written(prefix)
+    left, right, on = tables.dealt(prefix.select(F.col(id_col).alias("a"), "kmer"), prefix.select(F.col(id_col).alias("b"), "kmer"), "kmer", "a", "b")
+    candidates = left.join(right, on).where("a < b").select("a", "b").distinct()
     a, b = shared.select(F.col(id_col).alias("a"), "kmer"), shared.select(F.col(id_col).alias("b"), "kmer")
     half = candidates.join(a, "a").join(b, ["b", "kmer"]).groupBy("a", "b").agg(F.count("*").alias("score")).where(F.col("score") >= min_common)
     return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
@@ -95,12 +99,35 @@ def annotate(train: DataFrame, test: DataFrame, label: str, id_col: str, default
     return test.select(id_col).distinct().join(named, id_col, "left").select(id_col, F.coalesce(label, F.lit(default)).alias(label), F.coalesce("votes", F.lit(0)).alias("votes"))
 
 
-def connections(index: DataFrame, group: str, groups: DataFrame | None = None) -> DataFrame:
-    """(a, b, kmers): distinct k-mers that two groups share, a < b; groups: only pairs with one of these."""
-    sets = graph.written(index.select(F.col(group).alias("a"), "kmer").distinct())
-    several = sets.groupBy("kmer").agg(F.count("*").alias("_n")).where("_n > 1").select("kmer")
-    sets = sets.join(several, "kmer", "left_semi")  # most k-mers stand in one group
-    pairs = sets.join(sets.select(F.col("a").alias("b"), "kmer"), "kmer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("kmers"))
+def connections(index: DataFrame, group: str, groups: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
+    """(a, b, kmers): distinct k-mers that two groups share, a < b; groups: only pairs with one of these. Null groups share
+    nothing. K-mers are told apart by two 64-bit hashes. source: a table that has all groups and is cheaper to read than
+    the index.
+
+    A k-mer's groups are kept as sets of bits, in blocks of 60 groups by name, and equal sets are counted before they are
+    taken apart: however common a k-mer is, it has one row a block, and pairs are made from the different sets only."""
+    wide = 60
+    names = graph.written((source or index).where(F.col(group).isNotNull()).select(F.col(group).alias("name")).distinct())
+    names = graph.written(tables.numbered(names, [F.col("name")], "_id").withColumn("_id", F.col("_id") - 1))
+    n = names.count()
+    own = index.select(F.col(group).alias("name"), F.xxhash64("kmer").alias("k1"), F.xxhash64(F.lit("kmer"), "kmer").alias("k2"))
+    own = own.join(F.broadcast(names) if n <= 100_000 else names, "name")
+    bits = own.groupBy("k1", "k2", F.floor(F.col("_id") / wide).alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(_id % {wide} as int))")).alias("bits"))
+    bits = graph.written(bits)
+    member = lambda b: F.filter(F.sequence(F.lit(0), F.lit(wide - 1)), lambda i: F.getbit(b, i) == 1)
+    inside = bits.where(F.bit_count("bits") > 1).groupBy("block", "bits").agg(F.count("*").alias("n"))
+    one = inside.select("n", (F.col("block") * wide).alias("_from"), F.explode(member(F.col("bits"))).alias("x"), "bits").select("n", "_from", "x", F.explode(member(F.col("bits"))).alias("y")).where("x < y")
+    pairs = one.select((F.col("_from") + F.col("x")).alias("_a"), (F.col("_from") + F.col("y")).alias("_b"), "n")
+    if n > wide:
+        left, right = bits.select("k1", "k2", F.col("block").alias("p"), F.col("bits").alias("u")), bits.select("k1", "k2", F.col("block").alias("q"), F.col("bits").alias("v"))
+        across = left.join(right, ["k1", "k2"]).where("p < q").groupBy("p", "u", "q", "v").agg(F.count("*").alias("n"))
+        two = across.select("n", "q", "v", "p", F.explode(member(F.col("u"))).alias("x")).select("n", "q", "p", "x", F.explode(member(F.col("v"))).alias("y"))
+        pairs = pairs.unionByName(two.select((F.col("p") * wide + F.col("x")).alias("_a"), (F.col("q") * wide + F.col("y")).alias("_b"), "n"))
+    pairs = pairs.groupBy("_a", "_b").agg(F.sum("n").alias("kmers"))
+    for side in ("a", "b"):
+        name = names.select(F.col("name").alias(side), F.col("_id").alias(f"_{side}"))
+        pairs = pairs.join(name, f"_{side}")
+    pairs = pairs.select("a", "b", "kmers")
     if groups is None:
         return pairs
     for side in ("a", "b"):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def weighted_mean(value: str, weight: str) -> Column:
     return F.sum(F.col(value) * F.col(weight)) / F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
@@ -27,23 +28,30 @@ def correlation(df: DataFrame, keys: Iterable[str], x: str, y: str, z: bool = Fa
     return out.withColumn("z", F.when(F.abs("r") < 1, 0.5 * F.log((1 + F.col("r")) / (1 - F.col("r"))))) if z else out
 
 
-def quantile(df: DataFrame, keys: list[str], value: str, fractions: list[float]) -> DataFrame:
-    """Quantiles that interpolate at n * f - 1/2 (the first and last value beyond); one column q<percent> each."""
-    w = W.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+def _at_positions(df: DataFrame, keys: list[str], value: str, at: dict[str, object]) -> DataFrame:
+    """For each name of at, the keys' value at a position from 0 on, which at[name] gives as a column of the keys' number of
+    values _n; between two positions it is interpolated. Equal values are counted first, and the counts run over ranges
+    (tables.running), so no key is sorted in one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = tables.running(counts, keys, [F.col("_v")], {"_from": F.col("_c")}).withColumnRenamed("_from_all", "_n")
+    holds = lambda i: ((F.col("_from") <= i) & (i < F.col("_from") + F.col("_c"))).cast("double")
     out = []
-    for f in fractions:
-        at = F.greatest(F.lit(0.0), F.least(F.col("_n") * f - 0.5, F.col("_n") - 1.0))
-        share = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_i") - at))
-        out.append(F.sum(F.when(share > 0, share * F.col("_v"))).alias(f"q{round(100 * f)}"))
+    for name, place in at.items():
+        p = F.greatest(F.lit(0.0), F.least(place(F.col("_n").cast("double")), F.col("_n") - 1.0))
+        share = holds(F.floor(p)) * (1 - (p - F.floor(p))) + holds(F.floor(p) + 1) * (p - F.floor(p))
+        out.append(F.sum(F.when(share > 0, share * F.col("_v"))).alias(name))
     return ranked.groupBy(*keys).agg(*out)
 
 
+def quantile(df: DataFrame, keys: list[str], value: str, fractions: list[float]) -> DataFrame:
+    """Quantiles that interpolate at n * f - 1/2 (the first and last value beyond); one column q<percent> each."""
+    return _at_positions(df, keys, value, {f"q{round(100 * f)}": (lambda n, f=f: n * f - 0.5) for f in fractions})
+
+
 def summary5(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Minimum, quartiles, maximum (linear percentiles), trimean and interquartile range."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    named = [F.col("_q")[i].alias(f"q{i}") for i in range(5)]
-    return df.groupBy(*keys).agg(q.alias("_q")).select(*keys, *named).withColumns({"trimean": (F.col("q1") + 2 * F.col("q2") + F.col("q3")) / 4, "iqr": F.col("q3") - F.col("q1")})
+    q = _at_positions(df, keys, value, {f"q{i}": (lambda n, i=i: (n - 1) * (i / 4)) for i in range(5)})
+    return q.withColumns({"trimean": (F.col("q1") + 2 * F.col("q2") + F.col("q3")) / 4, "iqr": F.col("q3") - F.col("q1")})
 
 
 def chi_square(df: DataFrame, keys: list[str], expected: str, observed: str) -> DataFrame:
@@ -84,11 +92,13 @@ def ratio_means(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
 
 
 def nx(df: DataFrame, keys: list[str], length: str, percents: list[int]) -> DataFrame:
-    """N<p> and L<p>: the length at which the longest first cover p percent, and how many that takes."""
-    w = W.partitionBy(*keys)
-    run = df.where(F.col(length) > 0).select(*keys, F.col(length).alias("_len"), F.sum(length).over(w).alias("_total"), F.sum(length).over(w.orderBy(F.desc(length)).rowsBetween(W.unboundedPreceding, 0)).alias("_run"), F.row_number().over(w.orderBy(F.desc(length))).alias("_i"))
+    """N<p> and L<p>: the length at which the longest first cover p percent, and how many that takes. Equal lengths are
+    counted first, and sums run over ranges (tables.running), so no key is sorted in one task."""
+    counts = df.where(F.col(length) > 0).groupBy(*keys, F.col(length).alias("_len")).agg(F.count("*").alias("_c"))
+    run = tables.running(counts, keys, [F.desc("_len")], {"_sum": F.col("_len") * F.col("_c"), "_rows": F.col("_c")})
     out = []
     for p in percents:
-        reached = F.col("_run") * 100 >= F.col("_total") * p
-        out += [F.max(F.when(reached, F.col("_len"))).alias(f"n{p}"), F.min(F.when(reached, F.col("_i"))).cast("long").alias(f"l{p}")]
+        reached = (F.col("_sum") + F.col("_len") * F.col("_c")) * 100 >= F.col("_sum_all") * p
+        more = F.greatest(F.lit(1), F.ceil((F.col("_sum_all") * p - F.col("_sum") * 100) / (F.col("_len") * 100)))
+        out += [F.max(F.when(reached, F.col("_len"))).alias(f"n{p}"), F.min(F.when(reached, F.col("_rows") + more)).cast("long").alias(f"l{p}")]
     return run.groupBy(*keys).agg(*out)

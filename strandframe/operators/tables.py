@@ -107,6 +107,72 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_at", "_part", "_before")
 
 
+def running(df: DataFrame, keys: list[str], order: list[Column], weights: dict[str, Column]) -> DataFrame:
+    """df with, for each name of weights, the sum of its weight over the rows of the same keys that come before in order
+    (name), and over all rows of the keys (name_all). The order should be total; null weights add nothing.
+
+    Rows are sorted by ranges over keys and order, so that a key of any size is dealt out over many tasks; sums run within
+    a range and are moved on by those of the key's ranges before, of which there is one row a range."""
+    sums = {f"_w{i}": w for i, w in enumerate(weights.values())}
+    by = [F.col(f"`{k}`") for k in keys]
+    sorted_ = df.withColumns(sums).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = graph.written(sorted_.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    each = placed.groupBy(*keys, "_part").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"_s{c}") for c in sums))
+    w = W.partitionBy(*keys)
+    earlier = w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    moved = each.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), *(F.coalesce(F.sum(f"_s{c}").over(earlier), F.lit(0)).alias(f"_b{c}") for c in sums), *(F.sum(f"_s{c}").over(w).alias(f"_t{c}") for c in sums))
+    here = W.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    within = placed.withColumns({f"_r{c}": F.coalesce(F.sum(c).over(here), F.lit(0)) for c in sums})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = within.join(moved, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_p")))
+    out = {}
+    for c, name in zip(sums, weights, strict=True):
+        out |= {name: (F.col(f"_r{c}") + F.col(f"_b{c}")).alias(name), f"{name}_all": F.col(f"_t{c}").alias(f"{name}_all")}
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns if c not in out), *out.values())
+
+
+def grid_counts(df: DataFrame, grid: dict[str, list]) -> DataFrame:
+    """For every combination of the grid's values, the rows whose columns all are at least the values: (columns, n).
+
+    A row goes to the highest values that it reaches, rows of one corner are counted, and each corner's count is added to
+    the combinations below it; so rows never meet the grid. Nulls reach no value."""
+    values = {c: sorted(set(vs)) for c, vs in grid.items()}
+    reached = {f"_{c}": sum((F.when(F.col(c) >= v, 1).otherwise(0) for v in vs), F.lit(0)) for c, vs in values.items()}
+    cells = df.select(*(r.alias(c) for c, r in reached.items())).groupBy(*reached).agg(F.count("*").alias("n"))
+    spark = df.sparkSession
+    none = reduce(lambda d, c: d.withColumn(c, F.lit(len(values[c[1:]]))), reached, spark.range(1).select(F.lit(0).cast("long").alias("n")))
+    out = cells.unionByName(none)  # combinations without rows are there with 0
+    for c, vs in values.items():
+        out = out.withColumn(c, F.explode(F.slice(F.array(*map(F.lit, vs)), 1, F.col(f"_{c}"))))
+    return out.groupBy(*values).agg(F.sum("n").alias("n"))
+
+
+def dealt(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, fine: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of an equality join on key, and the columns to join on, such that a key with very many rows is dealt out:
+    its rows of each side are split by their ids, and each split meets all splits of the other side.
+
+    Keys with over 1/fine of a side's rows are split (fine: four times the number of shuffle partitions, at least 1000);
+    they are told by a count over one row in 16, which only decides about the plan, not the result. So fewer than 2 * fine
+    keys are broadcast, whatever the input's size. Both sides should be written tables."""
+    fine = fine or max(1000, 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def heavy(df: DataFrame, by: str, name: str) -> DataFrame:
+        n = df.where(F.pmod(F.xxhash64(key, by), F.lit(16)) == 0).groupBy(key).agg(F.count("*").alias("_n"))
+        total = n.agg(F.sum("_n")).first()[0] or 0
+        return n.where(F.col("_n") * fine > total).select(key, F.ceil(F.col("_n") * fine / F.lit(max(total, 1))).cast("int").alias(name))
+
+    hot = graph.written(heavy(left, left_id, "_l").join(heavy(right, right_id, "_r"), key, "full").na.fill(1, ["_l", "_r"]))
+    if hot.isEmpty():
+        return left, right, [key]
+
+    def split(df: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        n = df.join(F.broadcast(hot), key, "left")
+        own_part = F.pmod(F.xxhash64(by), F.coalesce(own, F.lit(1))).cast("int")
+        return n.withColumns({f"{own}_part": own_part, f"{other}_part": F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("_l", "_r")
+
+    return split(left, left_id, "_l", "_r"), split(right, right_id, "_r", "_l"), [key, "_l_part", "_r_part"]
+
+
 def share(seed: int, *cols, parts: int | Column = 10_000) -> Column:
     """A number below parts for each row, told by an md5 of the seed and the columns: the same in any engine and run."""
     text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols))

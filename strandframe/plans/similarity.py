@@ -147,7 +147,7 @@ def k16_annotate(t):
 
 @query(f"WITH {DOCS}, {cut('dk', 'docs', 'source', 24)}, k AS (SELECT DISTINCT source, kmer FROM dk) SELECT x.source AS a, y.source AS b, count(*) AS kmers FROM k x JOIN k y USING (kmer) WHERE x.source < y.source GROUP BY ALL")
 def k17_connections(t):
-    return kmers.connections(kmers.explode(docs(t), "source", "seq", 24), "source")
+    return kmers.connections(kmers.explode(docs(t), "source", "seq", 24), "source", source=t("documents"))
 
 
 @query(f"""WITH {ITEMS}, {TURNS}, {cut('ik', 'items', 'item_id', 10)}, {cut('tk', 'turns', 'conv_id, read_id', 10)}, h AS (SELECT read_id, item_id, count(*) AS hits FROM tk JOIN (SELECT DISTINCT kmer, item_id FROM ik) USING (kmer) GROUP BY ALL HAVING count(*) >= 2),
