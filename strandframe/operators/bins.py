@@ -70,6 +70,22 @@ def compare_order(x: Column, y: Column, top: int | None = None, strict: bool = F
     return F.when(zero_x | zero_y, (zero_x & zero_y).cast("int")).otherwise(same) if strict else same
 
 
+def totals(met: DataFrame, contigs: DataFrame, contig: str, alone: str, product: bool = False) -> DataFrame:
+    """(contig, others, likeness): the sum of each contig's likeness to all others, from the pairs that meet (a, b, likeness;
+    each once) and a closed form for those that don't, whose likeness is the sum, or the product, of their values of alone.
+
+    compare_dist gives half the number of its coordinates for a vector that shares none, compare_rank a half each, and
+    strict compare_order the product of having zeros; so no pair without a common reference is ever formed."""
+    both = met.select("a", "b", "likeness").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
+    other = contigs.select(F.col(contig).alias("b"), F.col(alone).alias("_v"))
+    own = both.join(other, "b").groupBy("a").agg(F.sum("likeness").alias("_l"), F.count("*").alias("_m"), F.sum("_v").alias("_met"))
+    all_ = contigs.agg(F.count("*").alias("_n"), F.sum(alone).alias("_all"))
+    j = contigs.join(own, F.col(contig) == F.col("a"), "left").na.fill(0, ["_l", "_m", "_met"]).join(F.broadcast(all_))  # all_ is one row
+    rest = F.col("_all") - F.col(alone) - F.col("_met")
+    absent = F.col(alone) * rest if product else (F.col("_n") - 1 - F.col("_m")) * F.col(alone) + rest
+    return j.select(contig, (F.col("_n") - 1).alias("others"), (F.col("_l") + absent).cast("double").alias("likeness"))
+
+
 def order_key(scores: DataFrame, contig: str, ref: str, top: int) -> DataFrame:
     """(contig, key): its top references in order; contigs with the same key fall in one bin."""
     ranked = scores.where("score > 0").withColumn("_i", F.row_number().over(W.partitionBy(contig).orderBy(F.desc("score"), ref))).where(F.col("_i") <= top)

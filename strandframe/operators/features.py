@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
-from . import graph
+from . import graph, tables
 
 
 def standardize(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -81,14 +81,15 @@ def label_points(points: DataFrame, intervals: DataFrame, contig: str, at: str,
 
 def locate(coords: DataFrame, segments: DataFrame, key: str, at: str, segment: str, length: str) -> DataFrame:
     """coords with the segment that holds the position, counting along the key's segments in order; the last position
-    of a segment belongs to it. Null beyond the end and at 0."""
-    total = segments.select(key, segment, F.sum(length).over(W.partitionBy(key).orderBy(segment)).alias("_to"), F.col(length).alias("_n"))
-    both = coords.select("*", F.lit(None).cast(segments.schema[segment].dataType).alias(segment), F.col(at).alias("_to"), F.lit(1).alias("_q"))
-    ends = total.select(key, segment, "_to", (F.col("_to") - F.col("_n")).alias("_from"), F.lit(0).alias("_q"))
-    w = W.partitionBy(key).orderBy(F.desc("_to"), "_q").rowsBetween(W.unboundedPreceding, 0)  # a frame that only grows
-    merged = both.unionByName(ends, allowMissingColumns=True)
-    hit = merged.select(*coords.columns, "_q", F.last(F.when(F.col("_q") == 0, F.struct(F.col(segment).alias("s"), F.col("_from").alias("f"))), ignorenulls=True).over(w).alias("_s"))
-    return hit.where("_q = 1").select(*coords.columns, F.when(F.col("_s.f") < F.col(at), F.col("_s.s")).alias(segment))
+    of a segment belongs to it. Null beyond the end and at 0. Segments of no length hold nothing.
+
+    Ends are running sums, and each position takes the last segment that begins before it, both over ranges of sorted rows
+    (tables.running and carried): a key with all rows is dealt out, and so are equal positions."""
+    ends = tables.running(segments.where(F.col(length) > 0), [key], [F.col(segment)], {"_from": F.col(length)})
+    starts = ends.select(F.col(key), F.col("_from").alias("_pos"), F.lit(1).alias("_q"), F.struct(F.col(segment).alias("s"), (F.col("_from") + F.col(length)).alias("to")).alias("_s"))
+    both = coords.select("*", F.col(at).alias("_pos"), F.lit(0).alias("_q"), F.xxhash64(*coords.columns).alias("_h")).unionByName(starts, allowMissingColumns=True)
+    hit = tables.carried(both, [key], [F.col("_pos"), F.col("_q"), F.col("_h")], "_s")
+    return hit.where("_q = 0").select(*coords.columns, F.when(F.col("_s.to") >= F.col(at), F.col("_s.s")).alias(segment))
 
 
 def extract(seqs: DataFrame, locations: DataFrame, contig: str, seq: str, begin: str, strand: str, length: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
@@ -13,19 +13,28 @@ def merge_pairs(df: DataFrame, left: str, right: str, probe: int = 25, strict: b
     """df with merged and overlap: the right mate, reverse-complemented, begins where its first `probe` bases stand in
     the left one; both must agree up to the left one's end (strict), else the probe is enough. If it isn't found, the
     left one's last `probe` bases are looked for in the right mate. Null where there is no overlap."""
-    rc = sq.revcomp(F.col(right))
-    n, m = F.length(left), F.length("_rc")
-    at = F.expr(f"locate(substring(_rc, 1, {probe}), {left})")
-    back = F.expr(f"locate(substring({left}, length({left}) - {probe - 1}, {probe}), _rc)")
-    first, second = n - F.col("_at") + 1, F.col("_back") + probe - 1
-    size = F.when((F.col("_at") > 0) & (first <= m), first).when((F.col("_at") == 0) & (F.col("_back") > 0) & (second <= n), second)
-    long_enough = (n >= probe) & (m >= probe)
-    out = df.withColumn("_rc", rc).withColumns({"_at": F.when(long_enough, at), "_back": F.when(long_enough, back)}).withColumn("overlap", size)
-    same = F.substring(F.col(left), n - F.col("overlap") + 1, F.col("overlap")) == F.substring(F.col("_rc"), F.lit(1), F.col("overlap"))
-    if strict:
-        out = out.withColumn("overlap", F.when(same, F.col("overlap")))
-    merged = F.concat(F.col(left), F.substring(F.col("_rc"), F.col("overlap") + 1, m))
-    return out.withColumn("merged", F.when(F.col("overlap").isNotNull(), merged)).drop("_rc", "_at", "_back")
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  computes c once for all its uses in f
+    n, m = (lambda p: F.length(p["l"])), (lambda p: F.length(p["r"]))
+
+    def probes(p: Column) -> Column:
+        long_enough = (n(p) >= probe) & (m(p) >= probe)
+        at = F.position(F.substring(p["r"], F.lit(1), F.lit(probe)), p["l"])
+        back = F.position(F.substring(p["l"], n(p) - (probe - 1), F.lit(probe)), p["r"])
+        return F.struct(p["l"].alias("l"), p["r"].alias("r"), F.when(long_enough, at).alias("at"), F.when(long_enough, back).alias("back"))
+
+    def sized(p: Column) -> Column:
+        first, second = n(p) - p["at"] + 1, p["back"] + probe - 1
+        size = F.when((p["at"] > 0) & (first <= m(p)), first).when((p["at"] == 0) & (p["back"] > 0) & (second <= n(p)), second)
+        return F.struct(p["l"].alias("l"), p["r"].alias("r"), size.alias("size"))
+
+    def joined(p: Column) -> Column:
+        merged = F.concat(p["l"], F.substring(p["r"], p["size"] + 1, m(p)))
+        same = F.substring(p["l"], n(p) - p["size"] + 1, p["size"]) == F.substring(p["r"], F.lit(1), p["size"])
+        return F.when(same if strict else p["size"].isNotNull(), F.struct(p["size"].alias("size"), merged.alias("merged")))
+
+    pair = F.struct(F.col(left).alias("l"), sq.revcomp(F.col(right)).alias("r"))
+    found = bound(bound(bound(pair, probes), sized), joined)
+    return df.withColumn("_merged", found).select(*df.columns, F.col("_merged.size").alias("overlap"), F.col("_merged.merged").alias("merged"))
 
 
 def dereplicate(df: DataFrame, seq: str, least: int, frequency: float = 5e-5) -> DataFrame:

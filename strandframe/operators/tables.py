@@ -131,6 +131,18 @@ def running(df: DataFrame, keys: list[str], order: list[Column], weights: dict[s
     return joined.select(*(F.col(f"`{c}`") for c in df.columns if c not in out), *out.values())
 
 
+def carried(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """df with value replaced by the last one of the same keys, up to the row itself in order, that isn't null. As in
+    running(), rows are sorted by ranges, so a key or position of any size is dealt out if the order tells its rows apart."""
+    by = [F.col(f"`{k}`") for k in keys]
+    placed = graph.written(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    each = placed.groupBy(*keys, "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_last"))
+    before = each.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), F.last("_last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    here = placed.withColumn("_here", F.last(value, ignorenulls=True).over(W.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)))
+    on = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("_part") == F.col("_p"))
+    return here.join(before, on).select(*(F.coalesce("_here", "_before").alias(c) if c == value else F.col(f"`{c}`") for c in df.columns))
+
+
 def grid_counts(df: DataFrame, grid: dict[str, list]) -> DataFrame:
     """For every combination of the grid's values, the rows whose columns all are at least the values: (columns, n).
 

@@ -66,9 +66,13 @@ def pairs(t):
 FULL = f"{NV}, r AS (SELECT DISTINCT ref FROM s), c AS (SELECT DISTINCT contig FROM s), f AS (SELECT contig, ref, coalesce(score, 0) AS score FROM c CROSS JOIN r LEFT JOIN s USING (contig, ref))"
 
 
-@query(f"{FULL} SELECT x.contig AS a, y.contig AS b, round(sum(CASE WHEN greatest(x.score, y.score) > 0 THEN 1 / (1 + abs(x.score - y.score) / greatest(x.score, y.score)) ELSE 0 END), 6) AS likeness FROM f x JOIN f y USING (ref) WHERE x.contig < y.contig GROUP BY ALL HAVING count(*) FILTER (x.score > 0 AND y.score > 0) > 0")
+@query(f"""{FULL}, p AS (SELECT x.contig, y.contig AS other, sum(CASE WHEN greatest(x.score, y.score) > 0 THEN 1 / (1 + abs(x.score - y.score) / greatest(x.score, y.score)) ELSE 0 END) AS l FROM f x JOIN f y USING (ref) WHERE x.contig <> y.contig GROUP BY ALL)
+SELECT contig, count(*) AS others, round(sum(l), 4) AS likeness FROM p GROUP BY contig""")
 def b5_distance(t):
-    return pairs(t).select("a", "b", F.round(bins.compare_dist(F.col("x"), F.col("y")), 6).alias("likeness"))
+    """Each nation's likeness to all others: a pair without a common reference has half a point for each coordinate."""
+    v = arrays(t).select("contig", (F.size(F.filter("v", lambda x: x != 0)) / 2).alias("alone"))
+    met = pairs(t).select("a", "b", bins.compare_dist(F.col("x"), F.col("y")).alias("likeness"))
+    return bins.totals(met, v, "contig", "alone").withColumn("likeness", F.round("likeness", 4))
 
 
 @query(f"{NV}, b AS (SELECT contig, arg_min(ref, (-score, ref)) AS best, max(score) AS score FROM s GROUP BY contig) SELECT x.contig AS a, y.contig AS b, round(1 / (1 + abs(x.score - y.score) / greatest(x.score, y.score)), 6) AS likeness FROM b x JOIN b y USING (best) WHERE x.contig < y.contig")
@@ -77,9 +81,13 @@ def b6_best(t):
 
 
 @query(f"""{NV}, z AS (SELECT x.contig AS a, y.contig AS b, ref, x.score AS xs, y.score AS ys FROM s x JOIN s y USING (ref) WHERE x.contig < y.contig AND x.score <> 0 AND y.score <> 0),
-p AS (SELECT p.a, p.b, sum(CASE WHEN p.ys >= q.ys THEN 1 ELSE -2 END) AS n FROM z p JOIN z q ON p.a = q.a AND p.b = q.b AND (p.xs > q.xs OR p.xs = q.xs AND p.ref < q.ref) GROUP BY ALL) SELECT a, b, (1 + coalesce(n, 0))::INT AS score FROM (SELECT DISTINCT a, b FROM z) LEFT JOIN p USING (a, b)""")
+p AS (SELECT p.a, p.b, sum(CASE WHEN p.ys >= q.ys THEN 1 ELSE -2 END) AS n FROM z p JOIN z q ON p.a = q.a AND p.b = q.b AND (p.xs > q.xs OR p.xs = q.xs AND p.ref < q.ref) GROUP BY ALL), c AS (SELECT DISTINCT contig FROM s),
+l AS (SELECT x.contig AS a, y.contig AS b, 1 + coalesce(n, 0) AS score FROM c x JOIN c y ON x.contig < y.contig LEFT JOIN p ON p.a = x.contig AND p.b = y.contig)
+SELECT contig, count(*) AS others, sum(score)::DOUBLE AS likeness FROM (SELECT a AS contig, score FROM l UNION ALL SELECT b, score FROM l) GROUP BY contig""")
 def b7_rank(t):
-    return pairs(t).select("a", "b", bins.compare_rank(F.col("x"), F.col("y")).alias("score"))
+    """Each nation's rank scores against all others; a pair without a common reference has 1."""
+    v = arrays(t).select("contig", F.lit(0.5).alias("alone"))
+    return bins.totals(pairs(t).select("a", "b", bins.compare_rank(F.col("x"), F.col("y")).alias("likeness")), v, "contig", "alone")
 
 
 @query(f"{VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY score DESC, ref) AS i FROM s WHERE score > 0 QUALIFY i <= 3), o AS (SELECT contig, array_to_string(list(ref ORDER BY i), ',') AS key FROM k GROUP BY contig) SELECT key, count(*) AS contigs, min(contig) AS first FROM o GROUP BY key")
@@ -87,12 +95,16 @@ def b8_binning(t):
     return bins.order_key(vector(t), "contig", "ref", 3).groupBy("key").agg(F.count("*").alias("contigs"), F.min("contig").alias("first"))
 
 
-@query(f"""{FULL}, m AS (SELECT DISTINCT x.contig AS a, y.contig AS b FROM s x JOIN s y USING (ref) WHERE x.contig < y.contig), z AS (SELECT contig, min(score) = 0 AS zero FROM f GROUP BY contig),
+@query(f"""{FULL}, z AS (SELECT contig, min(score) = 0 AS zero FROM f GROUP BY contig), m AS (SELECT x.contig AS a, y.contig AS b FROM c x JOIN c y ON x.contig < y.contig),
 o AS (SELECT a, b, row_number() OVER w AS i, y.score AS here, lead(y.score) OVER w AS after FROM m JOIN f x ON x.contig = a JOIN f y ON y.contig = b AND y.ref = x.ref WINDOW w AS (PARTITION BY a, b ORDER BY x.score DESC, x.ref)),
-d AS (SELECT a, b, count(*) FILTER (i <= 2 AND after > here) = 0 AS same FROM o GROUP BY ALL)
-SELECT a, b, (CASE WHEN p.zero OR q.zero THEN p.zero AND q.zero ELSE same END)::INT AS same FROM d JOIN z p ON p.contig = a JOIN z q ON q.contig = b""")
+d AS (SELECT a, b, count(*) FILTER (i <= 2 AND after > here) = 0 AS same FROM o GROUP BY ALL),
+l AS (SELECT a, b, (CASE WHEN p.zero OR q.zero THEN p.zero AND q.zero ELSE same END)::INT AS same FROM d JOIN z p ON p.contig = a JOIN z q ON q.contig = b)
+SELECT contig, count(*) AS others, sum(same)::DOUBLE AS likeness FROM (SELECT a AS contig, same FROM l UNION ALL SELECT b, same FROM l) GROUP BY contig""")
 def b8_compare_order(t):
-    return pairs(t).select("a", "b", bins.compare_order(F.col("x"), F.col("y"), top=2, strict=True).alias("same"))
+    """How many others each nation is in order with; of pairs without a common reference those that both have zeros."""
+    v = arrays(t).select("contig", F.exists("v", lambda x: x == 0).cast("double").alias("alone"))
+    met = pairs(t).select("a", "b", bins.compare_order(F.col("x"), F.col("y"), top=2, strict=True).alias("likeness"))
+    return bins.totals(met, v, "contig", "alone", product=True)
 
 
 @query()
@@ -239,9 +251,9 @@ def f7_label_points(t):
     return features.label_points(points, intervals(t), "user_id", "p", "left", "right", width=4096, id_col="o_orderkey").select("o_orderkey", "inside")
 
 
-@query("WITH s AS (SELECT c_nationkey AS k, c_custkey AS seg, sum(1 + floor(c_acctbal / 1000)::BIGINT) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS hi, 1 + floor(c_acctbal / 1000)::BIGINT AS len FROM customer WHERE c_acctbal > 0) SELECT s_suppkey, (SELECT seg FROM s WHERE k = s_nationkey AND s_suppkey % 20 > hi - len AND s_suppkey % 20 <= hi) AS segment FROM supplier")
+@query("WITH s AS (SELECT c_nationkey AS k, c_custkey AS seg, sum(1 + floor(c_acctbal / 1000)::BIGINT) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS hi, 1 + floor(c_acctbal / 1000)::BIGINT AS len FROM customer) SELECT s_suppkey, (SELECT seg FROM s WHERE k = s_nationkey AND s_suppkey % 20 > hi - len AND s_suppkey % 20 <= hi) AS segment FROM supplier")
 def f8_locate(t):
-    segments = t("customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("segment"), (1 + F.floor(F.col("c_acctbal") / 1000)).alias("length"))
+    segments = t("customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("segment"), (1 + F.floor(F.col("c_acctbal") / 1000)).alias("length"))
     coords = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 20).alias("at"))
     return features.locate(coords, segments, "k", "at", "segment", "length").select("s_suppkey", "segment")
 

@@ -60,9 +60,9 @@ def r14_distances(t):
     return reps.distances(k.withColumnRenamed("item_id", "a"), k.withColumnRenamed("item_id", "b"), "a", "b").where("a < b").withColumn("distance", F.round("distance", 9))
 
 
-@query(f"""{sim.PAIRS}, w AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), f AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS score FROM w x JOIN w y USING (w) WHERE x.item_id < y.item_id AND length(w) > 4 GROUP BY ALL) SELECT coalesce(p.a, f.a) AS a, coalesce(p.b, f.b) AS b, p.score AS seed_score, f.score AS profile_score FROM (FROM p WHERE a < b) p FULL JOIN f ON p.a = f.a AND p.b = f.b""")
+@query(f"""{sim.PAIRS}, w AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), f AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS score FROM w x JOIN w y USING (w) WHERE x.item_id < y.item_id GROUP BY ALL) SELECT coalesce(p.a, f.a) AS a, coalesce(p.b, f.b) AS b, p.score AS seed_score, f.score AS profile_score FROM (FROM p WHERE a < b) p FULL JOIN f ON p.a = f.a AND p.b = f.b""")
 def r16_pair_check(t):
-    w = t("benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("kmer")).where(F.length("kmer") > 4)
+    w = t("benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("kmer"))
     profile = kmers.common(w.withColumnRenamed("item_id", "a"), w.withColumnRenamed("item_id", "b"), "a", "b", "set").where("a < b")
     return reps.pair_check(sim.item_pairs(t).where("a < b"), profile)
 
@@ -135,13 +135,15 @@ def f1_standardize(t):
 
 def mates(t):
     """Overlapping mates cut from turns: the left one leaves out the last third, the reversed right one the first."""
-    d, third = turns(t).where("length(dna) >= 75"), "floor(length(dna) / 3)"
+    d, third = turns(t), "floor(length(dna) / 3)"
     return d.select("conv_id", "turn", F.expr(f"left(dna, length(dna) - {third})").alias("l"), seq.revcomp(F.expr(f"substring(dna, cast({third} as int) + 1)")).alias("r"))
 
 
 DNA = "translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
-MATES = f"""d AS (SELECT conv_id, turn, {DNA} AS dna FROM conversations), m AS (SELECT conv_id, turn, left(dna, (length(dna) - length(dna) // 3)::INT) AS l, substr(dna, (length(dna) // 3)::INT + 1) AS r FROM d WHERE length(dna) >= 75),
-o AS (SELECT *, length(l) - strpos(l, left(r, 25)) + 1 AS size FROM m), g AS (SELECT conv_id, turn, CASE WHEN right(l, size::INT) = left(r, size::INT) THEN l || substr(r, size::INT + 1) END AS merged FROM o)"""
+MATES = f"""d AS (SELECT conv_id, turn, {DNA} AS dna FROM conversations), m AS (SELECT conv_id, turn, left(dna, (length(dna) - length(dna) // 3)::INT) AS l, substr(dna, (length(dna) // 3)::INT + 1) AS r FROM d),
+o AS (SELECT *, CASE WHEN length(l) < 25 OR length(r) < 25 THEN NULL WHEN strpos(l, left(r, 25)) > 0 THEN CASE WHEN length(l) - strpos(l, left(r, 25)) + 1 <= length(r) THEN length(l) - strpos(l, left(r, 25)) + 1 END
+  WHEN strpos(r, right(l, 25)) > 0 AND strpos(r, right(l, 25)) + 24 <= length(l) THEN strpos(r, right(l, 25)) + 24 END AS size FROM m),
+g AS (SELECT conv_id, turn, CASE WHEN right(l, size::INT) = left(r, size::INT) THEN l || substr(r, size::INT + 1) END AS merged FROM o)"""
 
 
 @query(f"WITH {MATES} SELECT * FROM g")
@@ -149,13 +151,13 @@ def f9_merge_pairs(t):
     return reads.merge_pairs(mates(t), "l", "r", strict=True).select("conv_id", "turn", "merged")
 
 
-@query(f"""WITH {MATES}, k AS (SELECT conv_id % 5 AS sample, left(merged, 40) AS seq FROM g WHERE merged IS NOT NULL), c AS (SELECT sample, seq, count(*) AS reads FROM k GROUP BY ALL),
-h AS (SELECT left({DNA}, 40) AS seq, role AS target, count(*) AS score FROM conversations GROUP BY ALL), b AS (SELECT seq, target FROM h QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, target) = 1)
+@query(f"""WITH {MATES}, k AS (SELECT conv_id % 5 AS sample, merged AS seq FROM g WHERE merged IS NOT NULL), c AS (SELECT sample, seq, count(*) AS reads FROM k GROUP BY ALL),
+h AS (SELECT {DNA} AS seq, role AS target, count(*) AS score FROM conversations GROUP BY ALL), b AS (SELECT seq, target FROM h QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, target) = 1)
 SELECT sample, target, sum(reads)::BIGINT AS reads FROM c JOIN b USING (seq) GROUP BY ALL""")
 def f10_amplicon_profile(t):
-    """Merged mates of the turns, as amplicons of their first 40 bases; a hit is a role that such turns have."""
-    merged = reads.merge_pairs(mates(t), "l", "r", strict=True).select((F.col("conv_id") % 5).alias("sample"), F.expr("left(merged, 40)").alias("seq"))
-    hits = t("conversations").select(seq.as_dna(F.col("text")).alias("dna"), F.col("role").alias("target")).groupBy(F.expr("left(dna, 40)").alias("seq"), "target").agg(F.count("*").alias("score"))
+    """Merged mates of the turns, as amplicons; a hit is a role that such turns have."""
+    merged = reads.merge_pairs(mates(t), "l", "r", strict=True).select((F.col("conv_id") % 5).alias("sample"), F.col("merged").alias("seq"))
+    hits = t("conversations").select(seq.as_dna(F.col("text")).alias("dna"), F.col("role").alias("target")).groupBy(F.col("dna").alias("seq"), "target").agg(F.count("*").alias("score"))
     return reads.amplicon_profile(merged, hits, "sample", "seq", "target", 1)
 
 
