@@ -5,41 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import stats, tables
+from . import graph, stats, tables
+
+
+#: Columns of a matrix; each row's predictions are made from a broadcast list of them.
+MOST_COLUMNS = 200_000
 
 
 def column_predictors(matrix: DataFrame, folds: int = 5, smoothing: float = 1.0) -> DataFrame:
     """(col, fold, n, accuracy): naive Bayes predictors of each column's presence from the presence of the others.
 
-    All columns and folds are fitted by the same aggregates: for each fold, target and feature, how many training rows
-    have both. A row's score adds the log ratios of its present features to what it would be with none.
-    """
+    A row's fold is its hash; what a fold is tested with is learned from the rows outside it. The odds of y are its smoothed
+    share of rows, times, for each other column x, the smoothed share of y's rows with x over the share of all rows with x
+    if the row has x, and the shares without x if not. y is predicted where the odds are over 1.
+
+    For columns that never come together these terms are a number of y and one of x, so all columns start from sums, and
+    only pairs that do come together are corrected: there is no table of columns by columns. Rows without such a pair are
+    judged by the sums alone, from a list of all columns that goes to every task (MOST_COLUMNS at most)."""
+    s = F.lit(float(smoothing))
     cells = matrix.where("n > 0").select("row", "col").distinct()
-    rows = cells.select("row").distinct().withColumn("fold", F.pmod(F.xxhash64("row"), F.lit(folds)))
-    placed = cells.join(rows, "row")
+    placed = graph.written(cells.withColumn("fold", tables.share(1, "row", parts=folds).cast("int")))
+    rows = placed.select("row", "fold").distinct()
+    each = F.sequence(F.lit(0), F.lit(folds - 1))
 
-    def outside(counts: DataFrame, keys: list[str]) -> DataFrame:
-        """Counts by fold to counts outside each fold; folds number few."""
-        total = counts.groupBy(*keys).agg(F.sum("c").alias("_all"))
-        every = total.crossJoin(counts.sparkSession.range(folds).withColumnRenamed("id", "fold"))
-        return every.join(counts, [*keys, "fold"], "left").select(*keys, "fold", (F.col("_all") - F.coalesce("c", F.lit(0))).alias("c"))
+    def outside(by: DataFrame, keys: list[str]) -> DataFrame:
+        """For each key and fold the count of the rows outside the fold; by: (keys, fold, c)."""
+        spread = by.groupBy(*keys).agg(F.sum("c").alias("_all"), F.map_from_entries(F.collect_list(F.struct("fold", "c"))).alias("_by"))  # an entry a fold
+        one = spread.select(*keys, "_all", "_by", F.explode(each).alias("fold"))
+        return one.select(*keys, "fold", (F.col("_all") - F.coalesce(F.try_element_at("_by", F.col("fold")), F.lit(0))).alias("c"))
 
     n = outside(rows.groupBy("fold").agg(F.count("*").alias("c")).withColumn("_k", F.lit(1)), ["_k"]).select("fold", F.col("c").alias("n"))
-    single = outside(placed.groupBy("col", "fold").agg(F.count("*").alias("c")), ["col"])
-    pair = placed.select("row", "fold", F.col("col").alias("y")).join(placed.select("row", F.col("col").alias("x")), "row").where("x <> y").groupBy("y", "x", "fold").agg(F.count("*").alias("c"))
-    both = outside(pair, ["y", "x"])
-    y, x = single.select(F.col("col").alias("y"), "fold", F.col("c").alias("ny")), single.select(F.col("col").alias("x"), "fold", F.col("c").alias("nx"))
-    s = F.lit(smoothing)
-    every = y.join(x, "fold").where("x <> y").join(both, ["y", "x", "fold"], "left").join(n, "fold")
-    c = F.coalesce("c", F.lit(0))
-    p1, p0 = (c + s) / (F.col("ny") + 2 * s), (F.col("nx") - c + s) / (F.col("n") - F.col("ny") + 2 * s)
-    weights = every.select("y", "x", "fold", (F.log(p1 / p0) - F.log((1 - p1) / (1 - p0))).alias("w"), F.log((1 - p1) / (1 - p0)).alias("w0"))
-    base = weights.groupBy("y", "fold").agg(F.sum("w0").alias("w0")).join(y, ["y", "fold"]).join(n, "fold").select("y", "fold", (F.col("w0") + F.log((F.col("ny") + s) / (F.col("n") - F.col("ny") + s))).alias("b"))
-    votes = placed.select("row", "fold", F.col("col").alias("x")).join(weights, ["x", "fold"]).groupBy("row", "fold", "y").agg(F.sum("w").alias("w"))
-    truth = placed.select("row", F.col("col").alias("y"), F.lit(1).alias("t"))
-    scored = rows.join(base, "fold").join(votes, ["row", "fold", "y"], "left").join(truth, ["row", "y"], "left")
-    hit = (F.coalesce("w", F.lit(0.0)) + F.col("b") > 0) == F.col("t").isNotNull()
-    return scored.groupBy(F.col("y").alias("col"), "fold").agg(F.count("*").alias("n"), (100 * F.avg(hit.cast("double"))).alias("accuracy"))
+    single = graph.written(outside(placed.groupBy("col", "fold").agg(F.count("*").alias("c")), ["col"]).join(F.broadcast(n), "fold"))
+    ny = F.col("c") + s
+    q = (F.col("c") + s) / (F.col("n") + 2 * s)
+    terms = single.select(
+        "fold", "col", F.col("c").alias("ny"), F.log(ny / (F.col("n") - F.col("c") + s)).alias("prior"), F.log(ny / (F.col("c") + 2 * s)).alias("none"), F.log(s / ny).alias("u"),
+        F.log(q / (1 - q)).alias("v"), F.log(1 - q).alias("l"),
+    )
+    sums = terms.groupBy("fold").agg(F.count("*").alias("_m"), F.sum("l").alias("_l"))
+    pairs = placed.select("row", "fold", F.col("col").alias("y")).join(placed.select("row", F.col("col").alias("x")), "row").where("x <> y").groupBy("y", "x", "fold").agg(F.count("*").alias("c"))
+    seen = graph.written(outside(pairs, ["y", "x"]).where("c > 0").join(terms.select("fold", F.col("col").alias("y"), "ny"), ["fold", "y"]))
+    absent = F.log((F.col("ny") + s - F.col("c")) / (F.col("ny") + s))
+    present = F.log((F.col("c") + s) / (F.col("ny") + s - F.col("c"))) - F.log(s / (F.col("ny") + s))
+    base = terms.join(F.broadcast(sums), "fold").join(seen.groupBy("fold", F.col("y").alias("col")).agg(F.sum(absent).alias("_seen")), ["fold", "col"], "left")
+    base = base.select("fold", "col", "u", "v", (F.col("prior") + (F.col("_m") - 1) * F.col("none") - (F.col("_l") - F.col("l")) + F.coalesce("_seen", F.lit(0.0))).alias("base"))
+    base = graph.written(base)
+    if base.count() > folds * MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} columns")
+    # what a row has by its own columns: k, the number, and t, the sum of their v
+    own = graph.written(placed.join(base.select("fold", "col", "v"), ["fold", "col"]).groupBy("row", "fold").agg(F.count("*").alias("k"), F.sum("v").alias("t")))
+    lists = base.groupBy("fold").agg(F.collect_list(F.struct("col", "u", "base")).alias("_cols"))
+    by_sums = own.join(F.broadcast(lists), "fold").select("fold", "k", "t", F.explode("_cols").alias("y"))
+    wrong_alone = (F.col("y.base") + F.col("k") * F.col("y.u") - F.col("t") > 0).cast("long")
+    alone = by_sums.groupBy("fold", F.col("y.col").alias("col")).agg(F.count("*").alias("n"), F.sum(1 - wrong_alone).alias("hits"))
+    # pairs of row and column that sums don't settle: the column is there, or comes with one of the row's
+    votes = placed.select("row", "fold", F.col("col").alias("x")).join(seen.select("fold", "x", "y", present.alias("w")), ["fold", "x"]).groupBy("row", "fold", F.col("y").alias("col")).agg(F.sum("w").alias("w"))
+    odd = votes.join(placed.withColumn("has", F.lit(True)), ["row", "fold", "col"], "full").join(own, ["row", "fold"]).join(base, ["fold", "col"])
+    has = F.coalesce("has", F.lit(False))
+    plain = F.col("base") + F.col("k") * F.col("u") - F.col("t")
+    full = plain - F.when(has, F.col("u") - F.col("v")).otherwise(0.0) + F.coalesce("w", F.lit(0.0))
+    change = odd.select("fold", "col", (((full > 0) == has).cast("long") - (plain <= 0).cast("long")).alias("d")).groupBy("fold", "col").agg(F.sum("d").alias("d"))
+    hits = F.col("hits") + F.coalesce("d", F.lit(0))
+    return alone.join(change, ["fold", "col"], "left").select("col", "fold", "n", (100 * hits / F.col("n")).alias("accuracy"))
 
 
 def accuracy_summary(folds: DataFrame) -> DataFrame:

@@ -159,19 +159,20 @@ def grid_counts(df: DataFrame, grid: dict[str, list]) -> DataFrame:
     return out.groupBy(*values).agg(F.sum("n").alias("n"))
 
 
-def dealt(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, fine: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+def dealt(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, fine: int | None = None, least: int = 20_000) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of an equality join on key, and the columns to join on, such that a key with very many rows is dealt out:
     its rows of each side are split by their ids, and each split meets all splits of the other side.
 
-    Keys with over 1/fine of a side's rows are split (fine: four times the number of shuffle partitions, at least 1000);
-    they are told by a count over one row in 16, which only decides about the plan, not the result. So fewer than 2 * fine
-    keys are broadcast, whatever the input's size. Both sides should be written tables."""
+    Keys with over 1/fine of a side's rows are split (fine: four times the number of shuffle partitions, at least 1000), if
+    that is over `least` rows, into parts of that size; they are told by a count over one row in 16, which only decides about
+    the plan, not the result. So fewer than 2 * fine keys are broadcast, whatever the input's size. Both sides should be
+    written tables."""
     fine = fine or max(1000, 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def heavy(df: DataFrame, by: str, name: str) -> DataFrame:
         n = df.where(F.pmod(F.xxhash64(key, by), F.lit(16)) == 0).groupBy(key).agg(F.count("*").alias("_n"))
-        total = n.agg(F.sum("_n")).first()[0] or 0
-        return n.where(F.col("_n") * fine > total).select(key, F.ceil(F.col("_n") * fine / F.lit(max(total, 1))).cast("int").alias(name))
+        part = max((n.agg(F.sum("_n")).first()[0] or 0) / fine, least / 16)
+        return n.where(F.col("_n") > part).select(key, F.ceil(F.col("_n") / F.lit(part)).cast("int").alias(name))
 
     hot = graph.written(heavy(left, left_id, "_l").join(heavy(right, right_id, "_r"), key, "full").na.fill(1, ["_l", "_r"]))
     if hot.isEmpty():

@@ -58,14 +58,28 @@ def m6_kfold_sizes(t):
     return matrix.kfold(t("customer"), "c_custkey", 100).groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@query()
+NB = """r AS (SELECT DISTINCT l_orderkey AS row, p_type AS col FROM lineitem JOIN part ON l_partkey = p_partkey), p AS (SELECT *, ('0x' || left(md5(concat_ws(':', '1', row)), 8))::BIGINT % 5 AS fold FROM r),
+rows AS (SELECT DISTINCT row, fold FROM p), f AS (SELECT unnest([0, 1, 2, 3, 4]) AS fold), cols AS (SELECT DISTINCT col FROM p), n AS (SELECT f.fold, count(*) AS n FROM f JOIN rows ON rows.fold <> f.fold GROUP BY 1),
+one AS (SELECT f.fold, cols.col, count(p.row) AS c FROM f CROSS JOIN cols LEFT JOIN p ON p.col = cols.col AND p.fold <> f.fold GROUP BY ALL),
+two AS (SELECT f.fold, a.col AS y, b.col AS x, count(*) AS c FROM f JOIN p a ON a.fold <> f.fold JOIN p b ON a.row = b.row AND a.col <> b.col GROUP BY ALL),
+w AS (SELECT fold, y, x, ny, n, (coalesce(c, 0) + 1) / (ny + 2) AS p1, (nx + 1) / (n + 2) AS q FROM (SELECT a.fold, a.col AS y, b.col AS x, a.c AS ny, b.c AS nx, n.n, two.c FROM one a JOIN one b ON a.fold = b.fold AND a.col <> b.col JOIN n ON n.fold = a.fold LEFT JOIN two ON two.fold = a.fold AND two.y = a.col AND two.x = b.col)),
+base AS (SELECT fold, y, ln((any_value(ny) + 1) / (any_value(n) - any_value(ny) + 1)) + sum(ln((1 - p1) / (1 - q))) AS b FROM w GROUP BY ALL),
+v AS (SELECT p.row, w.y, sum(ln(p1 / q) - ln((1 - p1) / (1 - q))) AS v FROM p JOIN w ON w.fold = p.fold AND w.x = p.col GROUP BY ALL),
+s AS (SELECT base.y AS col, rows.fold, (b + coalesce(v, 0) > 0) = (p.row IS NOT NULL) AS hit FROM rows JOIN base USING (fold) LEFT JOIN v ON v.row = rows.row AND v.y = base.y LEFT JOIN p ON p.row = rows.row AND p.col = base.y),
+acc AS (SELECT col, fold::INT AS fold, count(*) AS n, 100.0 * count(*) FILTER (hit) / count(*) AS accuracy FROM s GROUP BY ALL)"""
+
+
+@query(f"WITH {NB} SELECT col, fold, n, round(accuracy, 6) AS accuracy FROM acc")
 def m7_column_predictors(t):
-    return ml.column_predictors(types(t))
+    return ml.column_predictors(types(t)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query()
+@query(f"""WITH {NB}, q AS (SELECT col, quantile_cont(accuracy, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q, avg(accuracy) AS mean FROM acc GROUP BY col)
+SELECT col, round(q[1], 6) AS q0, round(q[2], 6) AS q1, round(q[3], 6) AS q2, round(q[4], 6) AS q3, round(q[5], 6) AS q4, round((q[2] + 2 * q[3] + q[4]) / 4, 6) AS trimean, round(q[4] - q[2], 6) AS iqr, round(mean, 6) AS mean
+FROM q WHERE (q[2] + 2 * q[3] + q[4]) / 4 >= 50 AND q[4] - q[2] <= 10""")
 def m10_select_roles(t):
-    return ml.select_roles(ml.accuracy_summary(ml.column_predictors(types(t))), 50, 10)
+    kept = ml.select_roles(ml.accuracy_summary(ml.column_predictors(types(t))), 50, 10)
+    return kept.select("col", *(F.round(c, 6).alias(c) for c in ("q0", "q1", "q2", "q3", "q4", "trimean", "iqr", "mean")))
 
 
 def predicted(t):

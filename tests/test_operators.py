@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandframe.functions import seq, text
-from strandframe.operators import align, bins, clusters, codon, features, kmers, matrix, ml, reads, reps, roles, signatures, stats, tables
+from strandframe.operators import align, bins, codon, features, kmers, matrix, ml, reads, reps, roles, signatures, stats, tables
 from strandframe.sources import files
 
 
@@ -121,10 +121,6 @@ def test_rank_comparison_and_vectors(spark):
     assert [r.r for r in got] == [4, -5, 1] and math.isclose(got[0].d, 3.5) and got[2].d == 0
 
 
-def test_merge_sequence_stops_without_edges():
-    assert clusters.merge_sequence([("a", "b", 5), ("b", "c", 4), ("d", "e", 1)]) == [("a", "b", 5, 5.0), ("a", "c", 4, 2.0), ("d", "e", 1, 1.0)]
-
-
 def test_reads_merge(spark):
     left = "ACGTACGGTTACGGATTACAGGCATTGCAC"
     rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
