@@ -11,6 +11,69 @@ from . import graph, tables
 GAP = "-"
 
 
+# BLOSUM62 in half bits, the rows of its lower triangle in the order of RESIDUES.
+RESIDUES = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62 = """
+4
+-1 5
+-2 0 6
+-2 -2 1 6
+0 -3 -3 -3 9
+-1 1 0 0 -3 5
+-1 0 0 2 -4 2 5
+0 -2 0 -1 -3 -2 -2 6
+-2 0 1 -1 -3 0 0 -2 8
+-1 -3 -3 -3 -1 -3 -3 -4 -3 4
+-1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
+-1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
+-1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
+-2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
+1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
+0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
+0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+"""
+#: The score of a pair with a letter outside RESIDUES; penalties of a gap's first and each further column.
+OTHER, OPEN, EXTEND = -1, 11, 1
+
+
+def blosum62() -> dict[tuple[str, str], int]:
+    rows = [list(map(int, r.split())) for r in BLOSUM62.strip().splitlines()]
+    return {(RESIDUES[i], RESIDUES[j]): rows[max(i, j)][min(i, j)] for i in range(20) for j in range(20)}
+
+
+def measure(a: Column, b: Column, name: str, matrix: dict[tuple[str, str], int] | None = None) -> Column:
+    """How alike two aligned sequences are, whatever their case: "nbs", the score in bits a column (matrix: half bits, of
+    residue pairs in RESIDUES; BLOSUM62), a gap's columns costing OPEN and then EXTEND; "pos", the share of columns with a
+    score above 0; "nbs2" and "pos2", the same without the columns at either end where one of them has only gaps.
+    Columns with two gaps don't count; null without columns."""
+    matrix = matrix or blosum62()
+    flat = F.array(*(F.lit(matrix[x, y]) for x in RESIDUES for y in RESIDUES))
+    place = lambda c: F.position(c, F.lit(RESIDUES))
+    upto = lambda p: F.greatest(F.length(F.regexp_extract(a, p, 0)), F.length(F.regexp_extract(b, p, 0)))
+    if name.endswith("2"):
+        head, tail = upto("^-*"), upto("-*$")
+        inside = F.greatest(F.length(a) - head - tail, F.lit(0))
+        a, b = F.substring(a, head + 1, inside), F.substring(b, head + 1, inside)
+    letters = lambda c: F.filter(F.split(F.upper(c), ""), lambda x: x != "")
+
+    def column(x: Column, y: Column) -> Column:
+        known = F.when((place(x) > 0) & (place(y) > 0), F.get(flat, (place(x) - 1) * 20 + place(y) - 1)).otherwise(OTHER)
+        return F.struct(F.when((x == GAP) & (y == GAP), "").when(x == GAP, "a").when(y == GAP, "b").otherwise("=").alias("kind"), F.when((x == GAP) | (y == GAP), 0).otherwise(known).alias("score"))
+
+    def scored(cols: Column) -> Column:
+        kinds = F.array_join(F.transform(cols, lambda c: c["kind"]), "")
+        gaps, opened, n = F.regexp_count(kinds, F.lit("[ab]")), F.regexp_count(kinds, F.lit("a+|b+")), F.length(kinds)
+        if name.startswith("pos"):
+            return F.when(n > 0, F.size(F.filter(cols, lambda c: c["score"] > 0)) / n)
+        total = F.aggregate(cols, F.lit(0), lambda s, c: s + c["score"])
+        return F.when(n > 0, (total - OPEN * opened - EXTEND * (gaps - opened)) * 0.5 / n)
+
+    return F.element_at(F.transform(F.array(F.zip_with(letters(a), letters(b), column)), scored), 1)
+
+
 def mask(a: Column, b: Column) -> Column:
     """A letter for each column of a pair: = same, x different, a or b a gap in that one, nothing for both."""
     chars = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == GAP) & (y == GAP), "").when(x == GAP, "a").when(y == GAP, "b").when(F.upper(x) == F.upper(y), "=").otherwise("x"))

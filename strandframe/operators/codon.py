@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import seq
 
@@ -71,45 +69,42 @@ def chi_square_pairs(a: DataFrame, b: DataFrame, pair: str) -> DataFrame:
     return rows.groupBy(pair).agg(F.sum((F.col("_x") - ex) ** 2 / ex + (F.col("_y") - ey) ** 2 / ey).alias("chi_square"), (F.count("*") - F.count_distinct("aa")).alias("df"))
 
 
-def upper_gamma(a: float, x: float) -> float:
-    """The regularised upper incomplete gamma function, by series or continued fraction."""
-    if x <= 0:
-        return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total_ = 1 / a
-        n = a
-        while abs(term) > 1e-15 * abs(total_):
-            n += 1
-            term *= x / n
-            total_ += term
-        return max(0.0, 1 - front * total_)
-    b, c = x + 1 - a, 1e300
-    d = h = 1 / b
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return front * h
-
-
-@F.pandas_udf(T.DoubleType())
-def upper_chi_square(x: pd.Series, df: pd.Series) -> pd.Series:
+#: Terms of the series and levels of the continued fraction, more than double precision needs for a up to 100.
+TERMS = 200
+
+
+def upper_gamma(a: Column, x: Column) -> Column:
+    """The regularised upper incomplete gamma function for whole or half a above 0: below a + 1 one less the power series,
+    summed from its last term, and above it the continued fraction, from its last level."""
+    down = F.sequence(F.lit(TERMS), F.lit(1))
+    start = F.when(F.floor(a) == a, 0.0).otherwise(0.5 * math.log(math.pi))
+    steps = F.ceil(a).cast("int") - 1
+    factors = F.when(steps > 0, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    log_gamma = F.aggregate(factors, start, lambda s, i: s + F.log(a - i))
+    front = F.exp(a * F.log(x) - x - log_gamma)
+    series = F.aggregate(down, F.lit(1.0), lambda t, n: 1 + x / (a + n) * t)
+    fraction = F.aggregate(down, x + (2 * TERMS + 1) - a, lambda t, i: x + (2 * i - 1) - a - i * (i - a) / t)
+    return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(F.lit(0.0), 1 - front * series / a)).otherwise(front / fraction)
+
+
+def upper_chi_square(x: Column, df: Column) -> Column:
     """P of a chi-square of at least x; null without degrees of freedom."""
-    return pd.Series([upper_gamma(d / 2, v / 2) if d and d > 0 and v is not None else None for v, d in zip(x, df, strict=True)], dtype=float)
+    return F.when(df > 0, upper_gamma(df / 2, x / 2))
 
 
-def freq_score(packaged: DataFrame, gene: str, sets: DataFrame, set_id: str, power: float = 0.3, p: float = 0.05) -> DataFrame:
-    """For each set of frequencies: the sum over genes of P**power, and how many genes have P >= p."""
+def freq_score(packaged: DataFrame, gene: str, sets: DataFrame, set_id: str, power: float = 0.3, p: float = 0.05, least: float = 1e-6) -> DataFrame:
+    """For each set of frequencies: the sum over genes of P**power, how many genes have P >= p, and the log likelihood of all
+    codons (frequencies below `least` count as that)."""
     n = F.sum("n").over(W.partitionBy(set_id, gene, "aa"))
-    rows = packaged.join(sets, ["aa", "codon"]).where("freq > 0").select(set_id, gene, "aa", "n", (F.col("freq") * n).alias("_e"), n.alias("_t")).where("_t > 0")
-    per = rows.groupBy(set_id, gene).agg(F.sum((F.col("n") - F.col("_e")) ** 2 / F.col("_e")).alias("_x"), (F.count("*") - F.count_distinct("aa")).alias("_d"))
-    scored = per.withColumn("_p", upper_chi_square("_x", "_d"))
-    return scored.groupBy(set_id).agg(F.sum(F.pow("_p", F.lit(power))).alias("score"), F.count_if(F.col("_p") >= p).alias("genes"))
+    both = packaged.join(sets, ["aa", "codon"]).select(set_id, gene, "aa", "n", "freq", n.alias("_t"))
+    e = F.col("freq") * F.col("_t")
+    shown = (F.col("freq") > 0) & (F.col("_t") > 0)
+    per = both.groupBy(set_id, gene).agg(
+        F.sum(F.when(shown, (F.col("n") - e) ** 2 / e)).alias("_x"), (F.count_if(shown) - F.count_distinct(F.when(shown, F.col("aa")))).alias("_d"),
+        F.sum(F.col("n") * F.log(F.greatest(F.col("freq"), F.lit(least)))).alias("_l"),
+    )
+    scored = per.withColumn("_p", upper_chi_square(F.col("_x"), F.col("_d")))
+    return scored.groupBy(set_id).agg(F.sum(F.pow("_p", F.lit(power))).alias("score"), F.count_if(F.col("_p") >= p).alias("genes"), F.sum("_l").alias("log_likelihood"))
 
 
 def distance(sets: DataFrame, set_id: str, kind: int = 2) -> DataFrame:

@@ -165,6 +165,35 @@ def similarity_range(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").groupBy("a").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("largest"), F.avg("score").alias("mean"))
 
 
+def distance_range(distances: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """(node, n, nearest, farthest, mean): each node's distances to all others, from those of pairs that share something
+    (a, b, distance; each once) and the number of those that don't, which are at 1. Nulls where there is no other."""
+    both = distances.select("a", "distance").unionByName(distances.select(F.col("b").alias("a"), "distance"))
+    met = both.groupBy("a").agg(F.count("*").alias("_m"), F.min("distance").alias("_low"), F.max("distance").alias("_high"), F.sum("distance").alias("_s"))
+    j = nodes.select(node).join(F.broadcast(nodes.agg((F.count("*") - 1).alias("n")))).join(met, F.col(node) == F.col("a"), "left").na.fill(0, ["_m", "_s"])
+    far = F.col("n") - F.col("_m")
+    high = F.when(far > 0, 1.0).otherwise(F.col("_high"))
+    return j.select(node, "n", F.when(F.col("n") > 0, F.coalesce("_low", F.lit(1.0))).alias("nearest"), F.when(F.col("n") > 0, high).alias("farthest"), F.when(F.col("n") > 0, (F.col("_s") + far) / F.col("n")).alias("mean"))
+
+
+def match_scores(matches: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, part: str, least: int = 1) -> DataFrame:
+    """matches (a, b) with pairs and score: how many of their parts are each other's best (most shared k-mers, then the
+    first by name; at least `least`), and 100 * pairs over pairs and half of the parts without partner.
+
+    left and right are k-mers (a or b, part, kmer) of the parts, such as proteins of genomes. Parts meet by an equality
+    join on the matched pair and the k-mer, so only parts of matched genomes are ever compared."""
+    pair = matches.select(a, b).distinct()
+    x = pair.join(left.select(a, F.col(part).alias("_p"), "kmer").distinct(), a)
+    y = pair.join(right.select(b, F.col(part).alias("_q"), "kmer").distinct(), b)
+    met = x.join(y, [a, b, "kmer"]).groupBy(a, b, "_p", "_q").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    ranks = {"_i": F.row_number().over(W.partitionBy(a, b, "_p").orderBy(F.desc("_n"), "_q")), "_j": F.row_number().over(W.partitionBy(a, b, "_q").orderBy(F.desc("_n"), "_p"))}
+    best = met.withColumns(ranks).where("_i = 1 and _j = 1").groupBy(a, b).agg(F.count("*").alias("pairs"))
+    size = lambda df, by, name: df.groupBy(by).agg(F.count_distinct(part).alias(name))
+    out = pair.join(best, [a, b], "left").join(size(left, a, "_x"), a, "left").join(size(right, b, "_y"), b, "left").na.fill(0, ["pairs", "_x", "_y"])
+    alone = F.col("_x") + F.col("_y") - 2 * F.col("pairs")
+    return out.select(a, b, "pairs", F.when(F.col("pairs") > 0, 100 * F.col("pairs") / (F.col("pairs") + alone / 2)).otherwise(0.0).alias("score"))
+
+
 def closest_members(close: DataFrame, members: DataFrame, scores: DataFrame, query: str, rep: str, member: str, n: int = 10, least: int = 25) -> DataFrame:
     """Each query's n closest members of the groups whose representative it is close to; scores: (query, member, score)."""
     options = close.where(F.col("score") >= least).select(query, rep).join(members.select(rep, member), rep)

@@ -101,12 +101,19 @@ def role_sets(t):
     return codon.freqs(packaged.groupBy("role", "aa", "codon").agg(F.sum("n").alias("n")), ["role"], 1)
 
 
-@query()
-def c5_frequency_scores(t):
-    return codon.freq_score(codon.package(counts(t), "gene", 18), "gene", role_sets(t), "role")
+SETS = f"{CODE}, {GENES}, o AS (SELECT conv_id * 1000 + turn AS gene, role FROM conversations), r AS (SELECT DISTINCT role FROM o JOIN c USING (gene)), ts AS (SELECT role, aa, codon, coalesce(sum(n), 0) AS n FROM r CROSS JOIN (FROM code WHERE aa NOT IN ('*', 'M', 'W')) k LEFT JOIN (SELECT role, codon, n FROM c JOIN o USING (gene)) z USING (role, codon) GROUP BY ALL), fs AS (SELECT role, aa, codon, (n + 1.0 / count(*) OVER w) / (sum(n) OVER w + 1.0) AS f FROM ts WINDOW w AS (PARTITION BY role, aa)), d AS (SELECT a.role AS a, b.role AS b, a.aa, abs(a.f - b.f) AS d FROM fs a JOIN fs b USING (codon) WHERE a.role < b.role)"
 
 
-SETS = f"{CODE}, {GENES}, o AS (SELECT conv_id * 1000 + turn AS gene, role FROM conversations), r AS (SELECT DISTINCT role FROM o JOIN c USING (gene)), ts AS (SELECT role, aa, codon, coalesce(sum(n), 0) AS n FROM r CROSS JOIN (FROM code WHERE aa NOT IN ('*', 'M', 'W')) k LEFT JOIN (SELECT role, codon, n FROM c JOIN o USING (gene)) z USING (role, codon) GROUP BY ALL), fs AS (SELECT role, aa, codon, (n + 1.0 / count(*) OVER w) / (sum(n) OVER w + 1.0) AS f FROM ts WINDOW w AS (PARTITION BY role, aa)), d AS (SELECT a.role AS a, b.role AS b, a.aa, abs(a.f - b.f) AS d FROM fs a JOIN fs b USING (codon) WHERE a.role < b.role)"
+PVAL = """CASE WHEN d <= 0 OR x IS NULL THEN NULL WHEN x <= 0 THEN 1 WHEN x / 2 < d / 2 + 1 THEN greatest(0.0, 1 - exp(d / 2 * ln(x / 2) - x / 2 - lgamma(d / 2)) * list_reduce(list_concat([1.0::DOUBLE], list_transform(range(200, 0, -1), lambda i: i::DOUBLE)), lambda t, i: 1 + x / 2 / (d / 2 + i) * t) / (d / 2))
+ELSE exp(d / 2 * ln(x / 2) - x / 2 - lgamma(d / 2)) / list_reduce(list_concat([x / 2 + 401 - d / 2], list_transform(range(200, 0, -1), lambda i: i::DOUBLE)), lambda t, i: x / 2 + 2 * i - 1 - d / 2 - i * (i - d / 2) / t) END"""
+
+
+@query(f"""WITH {SETS}, g AS (SELECT DISTINCT gene FROM c), k AS (SELECT gene, fs.role, fs.aa, fs.codon, f, coalesce(c.n, 0) AS n FROM g CROSS JOIN fs LEFT JOIN c USING (gene, codon)), e AS (SELECT *, f * sum(n) OVER (PARTITION BY role, gene, aa) AS e FROM k),
+y AS (SELECT role, gene, sum((n - e) ^ 2 / e) FILTER (e > 0) AS x, (count(*) FILTER (e > 0) - count(DISTINCT aa) FILTER (e > 0))::DOUBLE AS d, sum(n * ln(greatest(f, 1e-6))) AS l FROM e GROUP BY ALL), p AS (SELECT role, l, {PVAL} AS p FROM y)
+SELECT role, round(sum(p ^ 0.3), 6) AS score, count(*) FILTER (p >= 0.05) AS genes, round(sum(l), 4) AS log_likelihood FROM p GROUP BY role""")
+def c5_frequency_scores(t):
+    scores = codon.freq_score(codon.package(counts(t), "gene", 18), "gene", role_sets(t), "role")
+    return scores.select("role", F.round("score", 6).alias("score"), "genes", F.round("log_likelihood", 4).alias("log_likelihood"))
 
 
 @query(f"WITH {SETS}, h AS (SELECT a, b, aa, sum(d) / 2 AS h FROM d GROUP BY ALL), z AS (SELECT a, b, sqrt(sum(d ^ 2)) AS d1, sum(d) AS d3 FROM d GROUP BY ALL) SELECT a, b, round(any_value(d1), 9)::DOUBLE AS euclid, round(sqrt(sum(h ^ 2)), 9)::DOUBLE AS halves, round(any_value(d3), 9)::DOUBLE AS sums FROM h JOIN z USING (a, b) GROUP BY a, b")
@@ -138,6 +145,22 @@ def c7_pair_statistics(t):
     return s.select("seq_id", "matches", "differences", "gaps", "openings", "end_gaps", F.round("identity", 9).alias("identity"), F.round("distance", 9).alias("distance"))
 
 
+SCORED = f"""{ALN}, mat AS (SELECT substr(l, 1, 1) AS x, substr(l, 2, 1) AS y, s FROM (VALUES {", ".join(f"('{x}{y}', {v})" for (x, y), v in align.blosum62().items())}) v(l, s)),
+pr AS (SELECT x.seq_id, upper(x.seq) AS a, upper(y.seq) AS b, greatest(length(regexp_extract(x.seq, '^-*')), length(regexp_extract(y.seq, '^-*'))) AS h, greatest(length(regexp_extract(x.seq, '-*$')), length(regexp_extract(y.seq, '-*$'))) AS e FROM n x JOIN n y ON y.seq_id = x.seq_id + 1),
+ch AS (SELECT seq_id, i, h, length(a) - e AS z, substr(a, i::INT, 1) AS x, substr(b, i::INT, 1) AS y FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM pr)),
+sc AS (SELECT seq_id, i, i > h AND i <= z AS mid, CASE WHEN x = '-' AND y = '-' THEN NULL WHEN x = '-' THEN 'a' WHEN y = '-' THEN 'b' ELSE '=' END AS kind, CASE WHEN x <> '-' AND y <> '-' THEN coalesce(s, -1) END AS s FROM ch LEFT JOIN mat USING (x, y)),
+k AS (SELECT *, lag(kind) OVER (PARTITION BY seq_id ORDER BY i) AS before, lag(kind) OVER (PARTITION BY seq_id, mid ORDER BY i) AS before_inner FROM sc WHERE kind IS NOT NULL),
+t AS (SELECT seq_id, sum(s) AS s, count(*) FILTER (s > 0) AS pos, count(*) AS n, count(*) FILTER (kind <> '=') AS g, count(*) FILTER (kind <> '=' AND kind IS DISTINCT FROM before) AS o,
+  sum(s) FILTER (mid) AS s2, count(*) FILTER (s > 0 AND mid) AS pos2, count(*) FILTER (mid) AS n2, count(*) FILTER (kind <> '=' AND mid) AS g2, count(*) FILTER (kind <> '=' AND mid AND kind IS DISTINCT FROM before_inner) AS o2 FROM k GROUP BY seq_id)"""
+
+
+@query(f"""WITH {SCORED} SELECT seq_id, round(CASE WHEN n > 0 THEN (coalesce(s, 0) - 11 * o - (g - o)) * 0.5 / n END, 9)::DOUBLE AS nbs, round(CASE WHEN n > 0 THEN pos / n END, 9) AS pos,
+round(CASE WHEN n2 > 0 THEN (coalesce(s2, 0) - 11 * o2 - (g2 - o2)) * 0.5 / n2 END, 9)::DOUBLE AS nbs2, round(CASE WHEN n2 > 0 THEN pos2 / n2 END, 9) AS pos2 FROM (SELECT seq_id FROM pr) LEFT JOIN t USING (seq_id)""")
+def x3_pair_measures(t):
+    out = name_pairs(t).select("seq_id", *(align.measure(F.col("x"), F.col("y"), m).alias(m) for m in ("nbs", "pos", "nbs2", "pos2")))
+    return out.select("seq_id", *(F.round(m, 9).alias(m) for m in ("nbs", "pos", "nbs2", "pos2")))
+
+
 @query(f"WITH {PAIR}, s AS (SELECT seq_id, list_sum(list_transform(regexp_extract_all(m, '=+'), lambda r: greatest(length(r) - 2, 0))) AS s, list_sum(list_transform(regexp_extract_all(m, '[=x]+'), lambda r: greatest(length(r) - 2, 0))) AS a FROM m) SELECT seq_id, round(CASE WHEN a > 0 THEN coalesce(s, 0) / a END, 9) AS identity_3 FROM s")
 def c9_oligomer_identity(t):
     return align.oligomer_identity(name_pairs(t), "x", "y", 3, 3).select("seq_id", F.round("identity_3", 9).alias("identity_3"))

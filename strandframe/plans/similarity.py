@@ -267,6 +267,36 @@ def r18_orphans(t):
     return reps.orphans(reps.bidirectional_best(doc_scores(t), "doc_id", "item_id", 20), t("documents"), t("benchmark"), "doc_id", "item_id")
 
 
+@query(f"""{SCORES}, m AS (SELECT doc_id, item_id FROM s WHERE score >= 20 QUALIFY rank() OVER (PARTITION BY doc_id ORDER BY score DESC) = 1 AND rank() OVER (PARTITION BY item_id ORDER BY score DESC) = 1),
+wd AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents), wi AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark),
+wdk AS (SELECT DISTINCT doc_id, w, substr(w, i::INT, 4) AS kmer FROM (SELECT doc_id, w, unnest(range(1, length(w) - 2)) AS i FROM wd)), wik AS (SELECT DISTINCT item_id, w, substr(w, i::INT, 4) AS kmer FROM (SELECT item_id, w, unnest(range(1, length(w) - 2)) AS i FROM wi)),
+x AS (SELECT doc_id, item_id, wdk.w AS p, wik.w AS q, count(*) AS n FROM m JOIN wdk USING (doc_id) JOIN wik USING (item_id, kmer) GROUP BY ALL),
+b AS (SELECT doc_id, item_id, count(*) AS pairs FROM (FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, p ORDER BY n DESC, q) = 1 AND row_number() OVER (PARTITION BY doc_id, item_id, q ORDER BY n DESC, p) = 1) GROUP BY ALL),
+wn1 AS (SELECT doc_id, count(DISTINCT w) AS wn1 FROM wdk GROUP BY 1), wn2 AS (SELECT item_id, count(DISTINCT w) AS wn2 FROM wik GROUP BY 1)
+SELECT doc_id, item_id, coalesce(pairs, 0) AS pairs, round(CASE WHEN pairs > 0 THEN 100 * pairs / (pairs + (coalesce(wn1, 0) + coalesce(wn2, 0) - 2 * pairs) / 2) ELSE 0 END, 6) AS score FROM m LEFT JOIN b USING (doc_id, item_id) LEFT JOIN wn1 USING (doc_id) LEFT JOIN wn2 USING (item_id)""")
+def r18_match_scores(t):
+    """Documents and items that match, and how many of their words are each other's best by shared 4-mers."""
+    matches = reps.bidirectional_best(doc_scores(t), "doc_id", "item_id", 20)
+
+    def words(df, key):
+        each = df.select(key, F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
+        return kmers.explode(each.withColumn("seq", F.col("word")), [key, "word"], "seq", 4)
+
+    left = words(t("documents").join(matches.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    scores = reps.match_scores(matches, left, words(t("benchmark"), "item_id"), "doc_id", "item_id", "word")
+    return scores.withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {ITEMS}, {cut('ik', 'items', 'item_id', 5)}, k AS (SELECT DISTINCT item_id, kmer FROM ik), n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1), sh AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS c FROM k x JOIN k y USING (kmer) WHERE x.item_id <> y.item_id GROUP BY ALL),
+d AS (SELECT p.item_id AS a, coalesce(1 - c / (u.n + v.n - c), 1) AS d FROM benchmark p JOIN benchmark q ON p.item_id <> q.item_id LEFT JOIN sh ON sh.a = p.item_id AND sh.b = q.item_id LEFT JOIN n u ON u.item_id = p.item_id LEFT JOIN n v ON v.item_id = q.item_id)
+SELECT a AS item_id, count(*) AS n, round(min(d), 9) AS nearest, round(max(d), 9) AS farthest, round(avg(d), 6) AS mean FROM d GROUP BY a""")
+def r10_distance_range(t):
+    k = kmers.explode(items(t), "item_id", "seq", 5)
+    near = reps.distances(k.withColumnRenamed("item_id", "a"), k.withColumnRenamed("item_id", "b"), "a", "b").where("a < b")
+    out = reps.distance_range(near, t("benchmark"), "item_id")
+    return out.select("item_id", "n", F.round("nearest", 9).alias("nearest"), F.round("farthest", 9).alias("farthest"), F.round("mean", 6).alias("mean"))
+
+
 @query(f"{PAIRS} SELECT a, count(*) AS n, min(score) AS least, max(score) AS largest, round(avg(score), 6) AS mean FROM p GROUP BY a")
 def r10_similarity_range(t):
     return reps.similarity_range(item_pairs(t)).withColumn("mean", F.round("mean", 6))
