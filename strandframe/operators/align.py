@@ -164,20 +164,23 @@ def dereplicate(pairs: DataFrame, nodes: DataFrame, most_identity: float) -> Dat
     return graph.first_independent_set(nodes, pairs.where(F.col("identity") > most_identity))
 
 
-def dereplicate_n(pairs: DataFrame, nodes: DataFrame, n: int, steps: int = 12) -> DataFrame:
-    """The threshold, by bisection, that leaves closest to n sequences (not more if possible), applied."""
-    low, high, best = 0.0, 1.0, None
-    for _ in range(steps):
-        mid = (low + high) / 2
-        kept = dereplicate(pairs, nodes, mid)
-        size = kept.count()
-        if size <= n:
-            best, low = kept, mid
-        else:
-            high = mid
-        if size == n:
-            break
-    return best if best is not None else dereplicate(pairs, nodes, 0.0)
+def dereplicate_n(pairs: DataFrame, nodes: DataFrame, n: int, bands: int = 32) -> tuple[float | None, DataFrame]:
+    """Exactly n sequences, or all if there are fewer, and the greatest identity that was allowed.
+
+    The bounds tried are the borders of so many bands of the pairs' identities, all in the same rounds over pairs that are
+    written once. Of those that leave n or more the smallest is taken, then the first n by rank. With a bound as large as
+    the largest identity all are left; pairs without one don't count as alike."""
+    near = graph.written(pairs.select("a", "b", F.col("identity").alias("score")).where("score is not null"))
+    limits = near.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+    if limits.low is None:
+        return None, tables.top_n(nodes, n, [F.col("rank"), F.col("node")]).select("node")
+    bounds = sorted({0.0, *(limits.low + (limits.high - limits.low) * i / bands for i in range(bands)), limits.high})
+    sets = graph.written(graph.independent_sets(nodes, near, bounds, strict=True))
+    sizes = {r.threshold: r.n for r in sets.groupBy("threshold").agg(F.count("*").alias("n")).collect()}  # a row a bound
+    best = min((b for b in bounds if sizes.get(b, 0) >= n), default=limits.high)
+    kept = sets.where(F.col("threshold") == best).select("node").join(nodes, "node")
+    return best, tables.top_n(kept, n, [F.col("rank"), F.col("node")]).select("node")
+
 
 
 def cluster(pairs: DataFrame, nodes: DataFrame, t: float) -> DataFrame:

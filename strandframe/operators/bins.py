@@ -70,6 +70,13 @@ def compare_order(x: Column, y: Column, top: int | None = None, strict: bool = F
     return F.when(zero_x | zero_y, (zero_x & zero_y).cast("int")).otherwise(same) if strict else same
 
 
+def references(contigs: DataFrame, bin_col: str, ref: str, length: str, top: int = 10) -> DataFrame:
+    """(bin, reference, rank, contigs, bases): each bin's reference genomes with most bases, of equal ones the first by name."""
+    n = contigs.groupBy(bin_col, ref).agg(F.count("*").alias("contigs"), F.sum(length).alias("bases"))
+    ranked = n.withColumn("rank", F.row_number().over(W.partitionBy(bin_col).orderBy(F.desc("bases"), ref)))
+    return ranked.where(F.col("rank") <= top).select(bin_col, ref, "rank", "contigs", "bases")
+
+
 def totals(met: DataFrame, contigs: DataFrame, contig: str, alone: str, product: bool = False) -> DataFrame:
     """(contig, others, likeness): the sum of each contig's likeness to all others, from the pairs that meet (a, b, likeness;
     each once) and a closed form for those that don't, whose likeness is the sum, or the product, of their values of alone.

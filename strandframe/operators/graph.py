@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir (where unset: a new local one, for one machine)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir (where unset: a new local one, for one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="strandframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -72,6 +76,17 @@ def first_independent_set(nodes: DataFrame, edges: DataFrame, keep: DataFrame |
         open_edges = written(open_edges.join(alive, open_edges.a == alive.x, "left_semi").join(alive, open_edges.b == alive.x, "left_semi"))
 
 
+def independent_sets(nodes: DataFrame, edges: DataFrame, thresholds: list[float], strict: bool = False) -> DataFrame:
+    """(threshold, node): first_independent_set for each threshold, over the edges (a, b, score) of at least (strict: over)
+    that score. All thresholds go through the same rounds, and the edges, which should be a written table, are read once;
+    each is there once for every threshold that it reaches."""
+    at = F.array(*map(F.lit, thresholds))
+    reached = F.filter(at, lambda x: F.col("score") > x if strict else F.col("score") >= x)
+    each = edges.select("a", "b", F.explode(reached).alias("t")).select(F.struct("t", F.col("a").alias("n")).alias("a"), F.struct("t", F.col("b").alias("n")).alias("b"))
+    every = nodes.select("node", "rank", F.explode(at).alias("t")).select(F.struct("t", F.col("node").alias("n")).alias("node"), "rank")
+    return first_independent_set(every, each).select(F.col("node.t").alias("threshold"), F.col("node.n").alias("node"))
+
+
 def greedy_cover(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     """(rep, member): again and again the node with most neighbours left (itself counted; of equal ones the least)
     becomes a representative and leaves with its neighbours, while that count is at least `least`.

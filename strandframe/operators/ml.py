@@ -74,6 +74,16 @@ def accuracy_summary(folds: DataFrame) -> DataFrame:
     return stats.summary5(folds, ["col"], "accuracy").join(folds.groupBy("col").agg(F.avg("accuracy").alias("mean")), "col")
 
 
+def sweep_summary(sweeps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mean, q0 to q4, trimean, iqr) of the accuracies of repeated hold-outs, in percent with two decimals: the
+    quartiles are the values at n/4, n/2 and n/4 from the end of the sorted ones. Sweeps are few, so each key sorts its own."""
+    acc = sweeps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.round("accuracy", 2))).alias("_a"), F.round(F.avg(F.round("accuracy", 2)), 2).alias("mean"))
+    quarter, n = F.floor(F.size("_a") / 4).cast("int"), F.size("_a")
+    q = {"q0": F.lit(0), "q1": quarter, "q2": F.floor(n / 2).cast("int"), "q3": n - 1 - quarter, "q4": n - 1}
+    out = acc.select(*keys, "mean", *(F.get("_a", i).alias(name) for name, i in q.items()))
+    return out.withColumns({"trimean": (F.col("q1") + 2 * F.col("q2") + F.col("q3")) / 4, "iqr": F.col("q3") - F.col("q1")})
+
+
 def select_roles(summary: DataFrame, least: float = 93, iqr: float = 5) -> DataFrame:
     return summary.where((F.col("trimean") >= least) & (F.col("iqr") <= iqr))
 

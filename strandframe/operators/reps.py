@@ -43,17 +43,14 @@ def thin(pairs: DataFrame, nodes: DataFrame, threshold: int, keep: DataFrame | N
     return graph.first_independent_set(nodes, pairs.where(F.col("score") >= threshold), keep)
 
 
-def n_reps(pairs: DataFrame, nodes: DataFrame, n: int, high: int) -> tuple[int, DataFrame]:
-    """A threshold between 1 and high whose set is closest to n nodes (the smallest such), and the set; by bisection."""
-    low, tried = 1, {}
-    while low <= high:
-        mid = (low + high) // 2
-        kept = thin(pairs, nodes, mid)
-        size = kept.count()
-        tried[mid] = (abs(size - n), mid, kept)
-        low, high = (mid + 1, high) if size < n else (low, mid - 1)
-    _, threshold, kept = min(tried.values(), key=lambda x: x[:2])
-    return threshold, kept
+def n_reps(pairs: DataFrame, nodes: DataFrame, n: int, thresholds: list[int]) -> tuple[int, DataFrame]:
+    """The threshold whose set is closest to n nodes (of equal ones the smallest), and the set. The pairs are written once
+    and the sets of all thresholds are made in the same rounds; for a wide range give a coarse list first and then a finer
+    one around its result."""
+    sets = graph.written(graph.independent_sets(nodes, graph.written(pairs.where(F.col("score") >= min(thresholds))), thresholds))
+    sizes = {r.threshold: r.n for r in sets.groupBy("threshold").agg(F.count("*").alias("n")).collect()}  # a row a threshold
+    best = min(thresholds, key=lambda t: (abs(sizes.get(t, 0) - n), t))
+    return best, sets.where(F.col("threshold") == best).select("node")
 
 
 def crude(pairs: DataFrame, nodes: DataFrame, least: int, final: bool = False) -> DataFrame:

@@ -46,6 +46,11 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
 
 
+def top_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first n rows of all in an order that should be total: each task keeps its own first n, which are then merged."""
+    return df.orderBy(*order).limit(n)
+
+
 def rank_compare(df: DataFrame, keys: list[str], id_col: str, a: str, b: str) -> DataFrame:
     """Ranks by two scores, descending, and their difference."""
     w = W.partitionBy(*keys)
@@ -116,15 +121,15 @@ def running(df: DataFrame, keys: list[str], order: list[Column], weights: dict[s
     sums = {f"_w{i}": w for i, w in enumerate(weights.values())}
     by = [F.col(f"`{k}`") for k in keys]
     sorted_ = df.withColumns(sums).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    placed = graph.written(sorted_.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
-    each = placed.groupBy(*keys, "_part").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"_s{c}") for c in sums))
+    placed = graph.written(sorted_.withColumn("_order_at", F.monotonically_increasing_id())).withColumn("_order_part", F.shiftright("_order_at", 33))
+    each = placed.groupBy(*keys, "_order_part").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"_s{c}") for c in sums))
     w = W.partitionBy(*keys)
-    earlier = w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    moved = each.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), *(F.coalesce(F.sum(f"_s{c}").over(earlier), F.lit(0)).alias(f"_b{c}") for c in sums), *(F.sum(f"_s{c}").over(w).alias(f"_t{c}") for c in sums))
-    here = W.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    earlier = w.orderBy("_order_part").rowsBetween(W.unboundedPreceding, -1)
+    moved = each.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_order_part").alias("_p"), *(F.coalesce(F.sum(f"_s{c}").over(earlier), F.lit(0)).alias(f"_b{c}") for c in sums), *(F.sum(f"_s{c}").over(w).alias(f"_t{c}") for c in sums))
+    here = W.partitionBy(*keys, "_order_part").orderBy("_order_at").rowsBetween(W.unboundedPreceding, -1)
     within = placed.withColumns({f"_r{c}": F.coalesce(F.sum(c).over(here), F.lit(0)) for c in sums})
     same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = within.join(moved, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_p")))
+    joined = within.join(moved, reduce(lambda a, b: a & b, same, F.col("_order_part") == F.col("_p")))
     out = {}
     for c, name in zip(sums, weights, strict=True):
         out |= {name: (F.col(f"_r{c}") + F.col(f"_b{c}")).alias(name), f"{name}_all": F.col(f"_t{c}").alias(f"{name}_all")}
@@ -135,11 +140,11 @@ def carried(df: DataFrame, keys: list[str], order: list[Column], value: str) ->
     """df with value replaced by the last one of the same keys, up to the row itself in order, that isn't null. As in
     running(), rows are sorted by ranges, so a key or position of any size is dealt out if the order tells its rows apart."""
     by = [F.col(f"`{k}`") for k in keys]
-    placed = graph.written(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
-    each = placed.groupBy(*keys, "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_last"))
-    before = each.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), F.last("_last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
-    here = placed.withColumn("_here", F.last(value, ignorenulls=True).over(W.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)))
-    on = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("_part") == F.col("_p"))
+    placed = graph.written(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_order_at", F.monotonically_increasing_id())).withColumn("_order_part", F.shiftright("_order_at", 33))
+    each = placed.groupBy(*keys, "_order_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_order_at"))).alias("_last"))
+    before = each.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_order_part").alias("_p"), F.last("_last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_order_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    here = placed.withColumn("_here", F.last(value, ignorenulls=True).over(W.partitionBy(*keys, "_order_part").orderBy("_order_at").rowsBetween(W.unboundedPreceding, 0)))
+    on = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("_order_part") == F.col("_p"))
     return here.join(before, on).select(*(F.coalesce("_here", "_before").alias(c) if c == value else F.col(f"`{c}`") for c in df.columns))
 
 

@@ -138,6 +138,12 @@ def b13_summary(t):
     return bins.summarize(contigs(t), "bin", "role").withColumns({"coverage": F.round("coverage", 4), "uni_score": F.col("uni_score").cast("double")})
 
 
+@query(f"WITH {CON}, n AS (SELECT bin, o_custkey AS ref, count(*) AS contigs, sum(length)::BIGINT AS bases FROM c JOIN orders ON o_orderkey = contig GROUP BY ALL) SELECT bin, ref, row_number() OVER (PARTITION BY bin ORDER BY bases DESC, ref)::INT AS rank, contigs, bases FROM n QUALIFY rank <= 10")
+def b13_references(t):
+    refs = t("orders").select(F.col("o_orderkey").alias("contig"), F.col("o_custkey").alias("ref"))
+    return bins.references(contigs(t).join(refs, "contig"), "bin", "ref", "length")
+
+
 @query(f"""WITH {CON}, s AS (SELECT seg AS expected, bin, count(*) AS n FROM c WHERE length > 50000 GROUP BY ALL), b AS (SELECT expected, arg_min(bin, (-n, bin)) AS bin, max(n) AS shared FROM s GROUP BY expected),
 z AS (SELECT bin, count(*) AS size FROM c WHERE length > 50000 GROUP BY bin), w AS (SELECT seg AS expected, count(*) AS wanted FROM c GROUP BY 1) SELECT expected, coalesce(bin::VARCHAR, 'MISSING') AS bin, coalesce(shared, 0) AS shared, coalesce(size, 0) - coalesce(shared, 0) AS extra, wanted - coalesce(shared, 0) AS missed FROM w LEFT JOIN b USING (expected) LEFT JOIN z USING (bin)""")
 def b14_match_expected(t):

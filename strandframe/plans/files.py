@@ -17,8 +17,7 @@ LETTERS = "lower(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
 def folder(spark) -> str:
     """A new path in the shared folder."""
-    graph.written(spark.range(1))
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/files/{uuid.uuid4().hex}"
+    return f"{graph.shared_folder(spark)}/files/{uuid.uuid4().hex}"
 
 
 @query(f"SELECT doc_id::VARCHAR AS id, source || ' ' || lang AS comment, {LETTERS} AS seq FROM documents")
@@ -148,9 +147,10 @@ def stream(name: str, sql: str | None = None):
 def opened(spark, sf_dir, table):
     """The table as a stream of files; a source must be a folder, so a table of one file is named by a pattern."""
     path = f"{sf_dir}/{table}.parquet"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    one = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
-    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    batch = spark.read.parquet(path)
+    files_ = batch.select("_metadata.file_path").limit(1).collect()
+    one = not files_ or files_[0].file_path.rstrip("/").endswith(f"/{table}.parquet")
+    source = spark.readStream.schema(batch.schema)
     return source.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir) if one else source.parquet(path)
 
 

@@ -217,3 +217,27 @@ def b26_merge_quality(t):
 def b26_compare_quality(t):
     n = lambda s: t("orders").where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.count("*").alias("n"))
     return quality.compare(n("F"), n("O"), "o_custkey", "n")
+
+
+@query(f"""WITH {NB}, a AS (SELECT col, list_sort(list(round(accuracy, 2))) AS a, round(avg(round(accuracy, 2)), 2) AS mean FROM acc GROUP BY col)
+SELECT col, mean, a[1] AS q0, a[len(a) // 4 + 1] AS q1, a[len(a) // 2 + 1] AS q2, a[len(a) - len(a) // 4] AS q3, a[len(a)] AS q4, round((a[len(a) // 4 + 1] + 2 * a[len(a) // 2 + 1] + a[len(a) - len(a) // 4]) / 4, 6) AS trimean, round(a[len(a) - len(a) // 4] - a[len(a) // 4 + 1], 6) AS iqr FROM a""")
+def m9_quartiles(t):
+    """Quartiles over the folds that each column's predictor was held out on."""
+    return ml.sweep_summary(ml.column_predictors(types(t)), ["col"]).withColumns({"trimean": F.round("trimean", 6), "iqr": F.round("iqr", 6)})
+
+
+LOG = """l AS (SELECT o_orderkey AS pos, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS source, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS made FROM orders),
+e AS (SELECT pos, made, last_value(source IGNORE NULLS) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS source FROM l), v AS (FROM e WHERE made IS NOT NULL AND source IS NOT NULL),
+u AS (SELECT v.pos, v.made, v.source, (SELECT max(w.pos) FROM v w WHERE w.made = v.source AND w.pos < v.pos) AS up FROM v),
+r AS (SELECT pos, made, source, source AS root FROM u WHERE up IS NULL UNION ALL SELECT u.pos, u.made, u.source, r.root FROM u JOIN r ON u.up = r.pos),
+z AS (FROM r QUALIFY row_number() OVER (PARTITION BY made ORDER BY pos DESC) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {LOG} SELECT c.c_custkey || '.1' AS bin, coalesce(p.c_mktsegment, c.c_mktsegment) AS sample, c.c_name AS name, CASE WHEN z.made IS NOT NULL THEN q.c_name || ' (fine-trimmed)' ELSE '' END AS ref_name
+FROM customer c LEFT JOIN z ON z.made = c.c_custkey LEFT JOIN customer p ON p.c_custkey = z.root LEFT JOIN customer q ON q.c_custkey = z.source""")
+def b26_relabel(t):
+    """Customers as bins; finished orders as lines that process one, the others as lines that create one."""
+    number = F.concat(F.col("o_custkey").cast("string"), F.lit(".1"))
+    log = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Processing "), number)).otherwise(F.concat(F.lit("Creating new GenomePackage "), number)).alias("line"))
+    report = t("customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".1")).alias("bin"), F.col("c_mktsegment").alias("sample"), F.col("c_name").alias("name"), F.lit("").alias("ref_name"))
+    return quality.relabel(report, log, "o_orderkey", "line", "bin", "sample", "name", "ref_name")

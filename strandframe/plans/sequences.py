@@ -214,6 +214,19 @@ def c14_dereplicate(t):
     return align.dereplicate(supplier_pairs(t), supplier_nodes(t), 0.9)
 
 
+LIKE_ALL = LIKE[: LIKE.index("p AS (SELECT a, b, same / size AS identity")] + """p AS (SELECT a, b, same / size AS identity FROM e WHERE size > 0), near AS (SELECT a, b, identity FROM p UNION ALL SELECT b, a, identity FROM p),
+lim AS (SELECT min(identity) AS low, max(identity) AS high FROM p), bounds AS (SELECT DISTINCT unnest(list_concat([0.0::DOUBLE, high], list_transform(range(32), lambda i: low + (high - low) * i / 32))) AS t FROM lim),
+o AS (SELECT id AS node, row_number() OVER (ORDER BY rank, id) AS i FROM s), n AS (SELECT i, node, coalesce(list({'b': b, 's': identity}) FILTER (b IS NOT NULL), []) AS near FROM o LEFT JOIN near ON a = node GROUP BY ALL),
+w AS (SELECT t, 0::BIGINT AS i, [NULL::BIGINT] AS kept FROM bounds UNION ALL SELECT w.t, n.i, CASE WHEN list_has_any(w.kept, list_transform(list_filter(n.near, lambda x: x.s > w.t), lambda x: x.b)) THEN w.kept ELSE list_append(w.kept, n.node) END FROM w JOIN n ON n.i = w.i + 1),
+f AS (FROM w WHERE i = (SELECT max(i) FROM w) AND len(kept) - 1 >= (SELECT count(*) * 3 // 4 FROM s) ORDER BY t LIMIT 1)"""
+
+
+@query(f"WITH RECURSIVE {LIKE_ALL} SELECT node FROM (SELECT unnest(kept[2:1 + (SELECT count(*) * 3 // 4 FROM s)]) AS node FROM f)")
+def c14_dereplicate_n(t):
+    """Three quarters of the suppliers: as many as that, by the smallest bound that leaves enough."""
+    return align.dereplicate_n(supplier_pairs(t), supplier_nodes(t), t("supplier").count() * 3 // 4)[1]
+
+
 @query(f"""WITH RECURSIVE {LIKE}, j AS (SELECT near.a AS node, b AS rep FROM near JOIN o x ON x.node = near.a JOIN o y ON y.node = b WHERE b IN (FROM k) AND near.a NOT IN (FROM k) AND y.i < x.i QUALIFY row_number() OVER (PARTITION BY near.a ORDER BY identity DESC, y.i) = 1)
 SELECT node, rep FROM j UNION ALL SELECT node, node FROM k""")
 def c15_cluster(t):

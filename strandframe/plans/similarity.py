@@ -193,9 +193,11 @@ def r1_thin(t):
     return reps.thin(item_pairs(t), item_nodes(t), 12)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS[5:]}, o AS (SELECT item_id AS node, row_number() OVER (ORDER BY -length(text), item_id) AS i FROM benchmark), n AS (SELECT i, node, coalesce(list({{'b': b, 's': score}}) FILTER (b IS NOT NULL), []) AS near FROM o LEFT JOIN p ON a = node GROUP BY ALL),
+w AS (SELECT t, 0::BIGINT AS i, [NULL::BIGINT] AS kept FROM range(1, 65) r(t) UNION ALL SELECT w.t, n.i, CASE WHEN list_has_any(w.kept, list_transform(list_filter(n.near, lambda x: x.s >= w.t), lambda x: x.b)) THEN w.kept ELSE list_append(w.kept, n.node) END FROM w JOIN n ON n.i = w.i + 1),
+f AS (FROM w WHERE i = (SELECT max(i) FROM w) ORDER BY abs(len(kept) - 1 - 20), t LIMIT 1) SELECT node, t::INT AS threshold FROM (SELECT t, unnest(kept) AS node FROM f) WHERE node IS NOT NULL""")
 def r2_n_reps(t):
-    threshold, kept = reps.n_reps(item_pairs(t), item_nodes(t), 20, 64)
+    threshold, kept = reps.n_reps(item_pairs(t), item_nodes(t), 20, list(range(1, 65)))
     return kept.withColumn("threshold", F.lit(threshold))
 
 

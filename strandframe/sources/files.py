@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import graph
+
 HITS = "qid string, sid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double"
 
 GENOME = """id string, scientific_name string, domain string, genetic_code int,
@@ -82,9 +84,13 @@ def read_genomes(spark: SparkSession, path: str, multi_line: bool = True) -> tup
 
 
 def read_blocks(spark: SparkSession, path: str, sep: str = "//") -> DataFrame:
-    """(block, pos, line): records that end with a line of the separator."""
-    blocks = spark.read.option("lineSep", f"\n{sep}\n").text(path).select(F.regexp_replace("value", f"\n?{sep}\n?$", "").alias("b")).where(F.trim("b") != "")
-    return blocks.select(F.xxhash64("b").alias("block"), F.posexplode(F.split("b", "\n")).alias("pos", "line"))
+    """(block, pos, line): records that end with a line of the separator. A block is named by a hash of its file and of its
+    place among the records that a task reads, so equal records are blocks of their own; the names hold for one reading,
+    which is written, as a second one may be split otherwise."""
+    read = spark.read.option("lineSep", f"\n{sep}\n").text(path)
+    named = read.select(F.regexp_replace("value", f"\n?{sep}\n?$", "").alias("b"), F.xxhash64(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("block"))
+    blocks = graph.written(named.where(F.trim("b") != ""))
+    return blocks.select("block", F.posexplode(F.split("b", "\n")).alias("pos", "line"))
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
