@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, tables
 
 
 def find(scores: DataFrame, query: str, rep: str) -> DataFrame:
@@ -24,10 +24,13 @@ def count_close(scores: DataFrame, queries: DataFrame, query: str, least: int) -
     return queries.select(query).join(close, query, "left").na.fill(0, ["n"])
 
 
-def neighbor_lists(pairs: DataFrame, least: int = 25) -> DataFrame:
-    """(a, neighbors): neighbours by descending score, then id, oneself left out."""
-    near = pairs.where((F.col("score") >= least) & (F.col("a") != F.col("b")))
-    return near.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("b").alias("b")))), lambda x: x["b"]).alias("neighbors"))
+def neighbor_lists(pairs: DataFrame, least: int = 25, size: int = 10_000) -> DataFrame:
+    """(a, part, neighbors): neighbours by descending score, then id, oneself left out, in parts from 0 on of `size` each.
+    Ranks run over ranges (tables.running), so that a node near to all others is neither sorted nor listed in one task."""
+    near = pairs.where((F.col("score") >= least) & (F.col("a") != F.col("b"))).select("a", "b", "score")
+    ranked = tables.running(near, ["a"], [F.desc("score"), F.col("b")], {"_i": F.lit(1)})
+    lists = ranked.groupBy("a", F.floor(F.col("_i") / size).alias("part")).agg(F.array_sort(F.collect_list(F.struct("_i", "b"))).alias("_n"))
+    return lists.select("a", "part", F.col("_n.b").alias("neighbors"))
 
 
 def closest_n(pairs: DataFrame, n: int) -> DataFrame:
@@ -201,6 +204,7 @@ def closest_members(close: DataFrame, members: DataFrame, scores: DataFrame, que
 def closest_refine(scores: DataFrame, pairs: DataFrame, nodes: DataFrame, query: str, node: str, levels: list[int]) -> DataFrame:
     """The closest node of each query, searched from coarse to fine: among the set thinned at the first level, then at
     each level among the neighbours (of that score) of the best one so far, itself included."""
+    pairs, scores = graph.written(pairs), graph.written(scores)  # both are read at every level
     start = thin(pairs, nodes, levels[0]).select(F.col("node").alias(node))
     best = find(scores.join(start, node, "left_semi"), query, node)
     for level in levels:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bins, clusters, features, match
 from .registry import query
+from .similarity import cover_sql
 
 HITS = "h AS (SELECT o_custkey AS contig, o_orderpriority AS ref, (o_orderkey % 90 + 10)::DOUBLE AS identity, o_orderkey AS b2, o_orderkey + floor(o_totalprice / 1000) AS e2 FROM orders)"
 VEC = f"WITH {HITS}, s AS (SELECT contig, ref, max(identity) AS score FROM h GROUP BY ALL)"
@@ -107,7 +108,8 @@ def b8_compare_order(t):
     return bins.totals(met, v, "contig", "alone", product=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT l_suppkey, p_brand, sum(l_quantity) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), top AS (FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, p_brand) <= 2),
+nd AS (SELECT DISTINCT p_brand AS node FROM top), ed AS (SELECT DISTINCT x.p_brand AS a, y.p_brand AS b FROM top x JOIN top y USING (l_suppkey) WHERE x.p_brand <> y.p_brand), {cover_sql('nd', 'ed', 'VARCHAR', 1)} SELECT rep, unnest(members) AS member FROM cv WHERE rep IS NOT NULL""")
 def b9_basis(t):
     scores = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.sum("l_quantity").alias("score"))
     return bins.basis(scores, "l_suppkey", "p_brand", 2)
@@ -273,7 +275,8 @@ def f8_locate(t):
     return features.locate(coords, segments, "k", "at", "segment", "length").select("s_suppkey", "segment")
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, user_id, event_type AS s, epoch(date_trunc('second', ts))::BIGINT AS mid FROM events), g AS (SELECT *, CASE WHEN s = lag(s) OVER w AND mid - lag(mid) OVER w <= 200000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY mid, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY mid, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT any_value(s) AS subsystem, min(event_id) AS cluster, count(*) AS n FROM r GROUP BY user_id, run HAVING count(*) > 1""")
 def f3_feature_clusters(t):
     f = t("events").select("event_id", "user_id", F.unix_timestamp(F.date_trunc("second", "ts")).alias("mid"), F.array("event_type").alias("subsystems"))
     return features.clusters(f, "user_id", "event_id", "mid", "subsystems", 200_000).groupBy("subsystem", "cluster").agg(F.count("*").alias("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import seq
@@ -20,7 +19,16 @@ def members(t):
     return reps.find(sim.doc_scores(t), "doc_id", "item_id")
 
 
-@query()
+BEST_OF = "QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1"
+REFINE = f"""WITH RECURSIVE {sim.SCORES[5:]}, {sim.PAIRS[len("WITH " + sim.ITEMS + ", ") :]}, o AS (SELECT item_id AS node, row_number() OVER (ORDER BY -length(text), item_id) AS i FROM benchmark),
+n AS (SELECT i, node, list(b) FILTER (b IS NOT NULL) AS near FROM o LEFT JOIN (FROM p WHERE score >= 8) ON a = node GROUP BY ALL),
+w AS (SELECT 0::BIGINT AS i, [NULL::BIGINT] AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(w.kept, coalesce(n.near, [])) THEN w.kept ELSE list_append(w.kept, n.node) END FROM w JOIN n ON n.i = w.i + 1),
+b0 AS (SELECT s.* FROM s WHERE item_id IN (SELECT unnest(kept) FROM w WHERE i = (SELECT max(i) FROM w)) {BEST_OF}),
+b1 AS (SELECT s.* FROM s JOIN (SELECT doc_id, item_id FROM b0 UNION SELECT doc_id, p.b FROM b0 JOIN p ON p.a = item_id WHERE p.score >= 8) USING (doc_id, item_id) {BEST_OF}),
+b2 AS (SELECT s.* FROM s JOIN (SELECT doc_id, item_id FROM b1 UNION SELECT doc_id, p.b FROM b1 JOIN p ON p.a = item_id WHERE p.score >= 16) USING (doc_id, item_id) {BEST_OF})"""
+
+
+@query(f"{REFINE} SELECT doc_id, item_id, score FROM b2")
 def k11_closest_refine(t):
     scores = sim.doc_scores(t)
     return reps.closest_refine(scores, sim.item_pairs(t), sim.item_nodes(t), "doc_id", "item_id", [8, 16])
@@ -79,7 +87,8 @@ def j1_inner(t):
 
 @query("SELECT c_custkey, c_name, i AS ordinal FROM customer JOIN (SELECT o_custkey AS c_custkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS i FROM orders) USING (c_custkey)")
 def j9_by_ordinals(t):
-    keys = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderdate", "o_orderkey")).alias("ordinal"))
+    placed = tables.running(t("orders").select("o_custkey", "o_orderstatus", "o_orderdate", "o_orderkey"), ["o_orderstatus"], [F.col("o_orderdate"), F.col("o_orderkey")], {"before": F.lit(1)})
+    keys = placed.select(F.col("o_custkey").alias("c_custkey"), (F.col("before") + 1).alias("ordinal"))
     return t("customer").join(keys, "c_custkey").select("c_custkey", "c_name", "ordinal")
 
 

@@ -88,9 +88,9 @@ def k7_count_close(t):
     return reps.count_close(doc_scores(t), t("documents"), "doc_id", 20)
 
 
-@query(f"{PAIRS} SELECT a, array_to_string(list(b ORDER BY score DESC, b), ',') AS neighbors FROM p WHERE score >= 10 GROUP BY a")
+@query(f"{PAIRS}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS i FROM p WHERE score >= 10) SELECT a, (i - 1) // 10 AS part, array_to_string(list(b ORDER BY i), ',') AS neighbors FROM r GROUP BY ALL")
 def k8_neighbor_lists(t):
-    return reps.neighbor_lists(item_pairs(t), 10).withColumn("neighbors", F.array_join(F.col("neighbors").cast("array<string>"), ","))
+    return reps.neighbor_lists(item_pairs(t), 10, 10).withColumn("neighbors", F.array_join(F.col("neighbors").cast("array<string>"), ","))
 
 
 @query(f"{PAIRS} SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p QUALIFY rank <= 5")
@@ -212,7 +212,16 @@ def r4_check(t):
     return reps.check(doc_scores(t), t("documents"), "doc_id", "item_id", 60, 15)
 
 
-@query()
+def cover_sql(nodes: str, edges: str, kind: str, least: int) -> str:
+    """Greedy cover, one pick after the other: v (rep, members) of a table nodes (node) and edges (a, b) in both directions."""
+    return f"""nb AS (SELECT list({{'node': node, 'near': near}}) AS every FROM (SELECT node, coalesce(list(b) FILTER (b IS NOT NULL), []) AS near FROM {nodes} LEFT JOIN {edges} ON a = node GROUP BY node)),
+cv AS (SELECT NULL::{kind} AS rep, NULL::{kind}[] AS members, (SELECT list(node) FROM {nodes}) AS rest
+UNION ALL SELECT pick, members, list_filter(rest, lambda x: NOT list_contains(members, x)) FROM (
+  SELECT rest, pick, list_prepend(pick, list_intersect(list_filter(every, lambda x: x.node = pick)[1].near, rest)) AS members FROM (
+    SELECT rest, every, list_min(list_transform(list_filter(every, lambda x: list_contains(rest, x.node)), lambda x: {{'k': -len(list_intersect(x.near, rest)), 'node': x.node}})).node AS pick FROM cv, nb WHERE len(rest) > 0)) WHERE len(members) >= {least})"""
+
+
+@query(f"""WITH RECURSIVE {PAIRS[5:]}, nd AS (SELECT item_id AS node FROM benchmark), ed AS (SELECT a, b FROM p WHERE score >= 12), {cover_sql('nd', 'ed', 'BIGINT', 2)} SELECT rep, unnest(members) AS member FROM cv WHERE rep IS NOT NULL""")
 def r5_cover(t):
     return reps.cover(item_pairs(t), t("benchmark").select(F.col("item_id").alias("node")), 12)
 
