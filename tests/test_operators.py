@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandframe.functions import seq, text
-from strandframe.operators import align, bins, codon, features, kmers, matrix, ml, reads, reps, roles, signatures, stats, tables
+from strandframe.operators import align, bins, codon, features, kmers, matrix, ml, quality, reads, reps, roles, signatures, stats, tables
 from strandframe.sources import files
 
 
@@ -82,9 +82,81 @@ def test_contingency_with_an_empty_leading_column(spark):
     assert math.isclose(r.chi_square, 20 / 3) and r.df == 1
 
 
-def test_p_values():
-    assert math.isclose(codon.upper_gamma(0.5, 3.841458820694124 / 2), 0.05, rel_tol=1e-9)
-    assert math.isclose(codon.upper_gamma(5, 18.307038053275146 / 2), 0.05, rel_tol=1e-9)
+def test_p_values(spark):
+    cases = [(1, 3.841458820694124, 0.05), (10, 18.307038053275146, 0.05), (2, 10.0, math.exp(-5)), (4, 6.0, math.exp(-3) * 4), (3, 1e-9, 1.0), (1, 0.0, 1.0), (1, 100.0, math.erfc(math.sqrt(50))), (41, 300.0, None), (0, 1.0, "null"), (5, None, "null")]
+    got = spark.createDataFrame([(i, d, x) for i, (d, x, _) in enumerate(cases)], "i int, d int, x double").select("i", codon.upper_chi_square(F.col("x"), F.col("d")).alias("p")).collect()
+    for r in got:
+        want = cases[r.i][2]
+        assert r.p is None if want == "null" else 0 < r.p < 1e-30 if want is None else math.isclose(r.p, want, rel_tol=1e-9)
+
+
+def test_pair_measures_and_terminal_gaps(spark):
+    df = spark.createDataFrame([(0, "--ACW-", "MMAC-K"), (1, "WW", "ww"), (2, "A-C", "A-C"), (3, "-", "A"), (4, "", ""), (5, "AXA", "AAB"), (6, "--A", "A--")], "i int, x string, y string")
+    got = {r.i: r for r in df.select("i", *(align.measure(F.col("x"), F.col("y"), m).alias(m) for m in ("nbs", "pos", "nbs2", "pos2"))).collect()}
+    assert got[0].pos == 2 / 6 and got[0].nbs == (4 + 9 - 11 - 1 - 11 - 11) * 0.5 / 6  # three runs of gaps, one of two columns
+    assert got[0].pos2 == 2 / 3 and got[0].nbs2 == (4 + 9 - 11) * 0.5 / 3  # both ends are cut, the gap under W isn't
+    assert got[1].nbs == got[1].nbs2 == 5.5 and got[1].pos == 1
+    assert got[2].nbs == (4 + 9) * 0.5 / 2 and got[2].pos == 1  # a column of two gaps doesn't count
+    assert got[3].nbs == -5.5 and got[3].pos == 0 and got[3].nbs2 is None and got[4].nbs is None and got[4].pos is None
+    assert got[5].nbs == (4 - 1 - 1) * 0.5 / 3 and got[5].pos == 1 / 3
+    assert got[6].pos2 is None and got[6].nbs == (-11 - 11) * 0.5 / 2
+    matrix = align.blosum62()
+    assert len(matrix) == 400 and all(matrix[x, y] == matrix[y, x] for x, y in matrix) and matrix["W", "W"] == 11 and matrix["I", "V"] == 3 and matrix["D", "E"] == 2
+
+
+def test_match_scores(spark):
+    matches = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "g long, h long")
+    left = [(1, p, k) for p, ks in (("a", "xyz"), ("b", "xy"), ("c", "q")) for k in ks] + [(2, "a", "x"), (9, "z", "x")]
+    right = [(10, p, k) for p, ks in (("u", "xyz"), ("v", "xy"), ("w", "q"), ("s", "t")) for k in ks] + [(20, "u", "y")]
+    got = reps.match_scores(matches, spark.createDataFrame(left, "g long, p string, kmer string"), spark.createDataFrame(right, "h long, p string, kmer string"), "g", "h", "p")
+    # a and u share most; b's best is u, so b and v have no partner; c and w have each other
+    assert {(r.g, r.h): (r.pairs, r.score) for r in got.collect()} == {(1, 10): (2, 100 * 2 / (2 + 1.5)), (2, 20): (0, 0.0), (3, 30): (0, 0.0)}
+
+
+def test_distance_range_counts_pairs_that_share_nothing(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "id long")
+    near = spark.createDataFrame([(0, 1, 0.25), (0, 2, 0.5), (1, 2, 0.5), (0, 3, 0.5)], "a long, b long, distance double")
+    got = {r.id: (r.n, r.nearest, r.farthest, r.mean) for r in reps.distance_range(near, nodes, "id").collect()}
+    assert got == {0: (3, 0.25, 0.5, 1.25 / 3), 1: (3, 0.25, 1.0, 1.75 / 3), 2: (3, 0.5, 1.0, 2 / 3), 3: (3, 0.5, 1.0, 2.5 / 3)}
+    one = reps.distance_range(near.limit(0), nodes.limit(1), "id").first()
+    assert (one.n, one.nearest, one.farthest, one.mean) == (0, None, None, None)
+
+
+def test_sets_of_a_size(spark):
+    nodes = spark.createDataFrame([(i, i) for i in range(6)], "node long, rank long")
+    near = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.8), (3, 4, 0.7), (3, 5, 0.2), (1, 5, None)], "a long, b long, identity double")
+    for n in range(1, 7):
+        bound, kept = align.dereplicate_n(near, nodes, n)
+        assert kept.count() == n
+    bound, kept = align.dereplicate_n(near, nodes, 3)
+    assert bound < 0.8 and {r.node for r in kept.collect()} == {0, 3, 5}
+    assert align.dereplicate_n(near.limit(0), nodes, 2)[0] is None
+    pairs = near.where("identity is not null").select("a", "b", (10 * F.col("identity")).cast("int").alias("score"))
+    threshold, kept = reps.n_reps(pairs, nodes, 3, [1, 3, 8, 9])
+    assert threshold == 3 and {r.node for r in kept.collect()} == {0, 3, 5}
+
+
+def test_relabelled_bins(spark):
+    report = spark.createDataFrame([(f"s{i}", f"{i}.1", f"name{i}", "") for i in range(1, 6)], "sample string, bin string, name string, ref string")
+    lines = ["Processing 1.1", "noise", "Creating new GenomePackage 2.1 now", "Processing 2.1", "Creating new GenomePackage 3.1", "Creating new GenomePackage 9.9", "Processing 3.1", "Creating new GenomePackage 1.1", "Processing 5.1", "Creating new GenomePackage 2.1"]
+    log = spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+    got = {r.bin: (r.sample, r.ref) for r in quality.relabel(report, log, "n", "line", "bin", "sample", "name", "ref").collect()}
+    assert got == {"1.1": ("s1", "name3 (fine-trimmed)"), "2.1": ("s5", "name5 (fine-trimmed)"), "3.1": ("s1", "name2 (fine-trimmed)"), "4.1": ("s4", ""), "5.1": ("s5", "")}
+
+
+def test_sweep_summary_takes_values_by_place(spark):
+    sweeps = spark.createDataFrame([("k", float(v)) for v in (9, 1, 5, 3, 7, 2, 8)] + [("one", 50.0)], "k string, accuracy double")
+    got = {r.k: tuple(r)[1:] for r in ml.sweep_summary(sweeps, ["k"]).collect()}
+    assert got["k"] == (5.0, 1.0, 2.0, 5.0, 8.0, 9.0, 5.0, 6.0) and got["one"] == (50.0,) * 7 + (0.0,)
+
+
+def test_equal_records_are_blocks_of_their_own(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("a\nb\n//\na\nb\n//\nc\n//\n")
+    got = files.read_blocks(spark, str(tmp_path))
+    blocks = {}
+    for r in got.collect():
+        blocks.setdefault(r.block, {})[r.pos] = r.line
+    assert sorted(map(str, blocks.values())) == sorted(map(str, [{0: "a", 1: "b"}, {0: "a", 1: "b"}, {0: "c"}]))
 
 
 def test_intervals_touching_nested_equal(spark):
