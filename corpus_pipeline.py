@@ -29,13 +29,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind; n_chars follows the new text."""
+    """Personal data is replaced by the name of its kind; n_chars, where docs has it, follows the new text."""
     small_batches(spark)
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns with ids, n_tokens, and decoded, the text that the ids give."""
+    """The documents' columns with ids, n_tokens, and decoded, the text that the ids give; these replace columns of their
+    names."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     small_batches(spark)
     return pieces.round_trip(docs, model).withColumn("n_tokens", F.size("ids").cast("long"))

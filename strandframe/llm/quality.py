@@ -272,17 +272,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the rejected ones. The texts are read twice, once to learn and once to judge, so that
-    they needn't be shuffled for a join with their scores."""
+    """docs, all columns whatever their names, without the rejected ones. The texts are read twice, once to learn and once
+    to judge, so that they needn't be shuffled for a join with their scores."""
     score = probabilities(*learn(written(features(docs)), labels))[2]
-    names = [f"_f_{c}" for c in TEXT]
+    own = "_f_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = "_" + own
+    names = [f"{own}{c}" for c in TEXT]
 
     def run(batches):
         for rows, data, offsets in u.chunks(batches):
             x = text_features(data, offsets)
             yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, np.ascontiguousarray(x.T))], [*rows.schema.names, *names])
 
-    meta = docs.select("*", *(c.alias(f"_f_{n}") for n, c in _metadata(docs).items()))
+    meta = docs.select("*", *(c.alias(f"{own}{n}") for n, c in _metadata(docs).items()))
     judged = meta.mapInArrow(run, extended(meta, dict.fromkeys(names, "double")))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
-    return judged.select(whole, *(F.col(f"_f_{c}").alias(c) for c in ("source", "lang", "stated", *TEXT))).where(score >= threshold).select("_doc.*")
+    return judged.select(whole, *(F.col(f"{own}{c}").alias(c) for c in ("source", "lang", "stated", *TEXT))).where(score >= threshold).select("_doc.*")
