@@ -6,9 +6,10 @@ in at most 4/5, 8/5, 12/5, 16/5 and 4 bits: a strictly smaller set of candidates
 first two budgets (no bit, then one bit) become the join key - an equal segment with a neighbour of at most one
 flipped bit -, the next two are conditions of the join, and the last is the full Hamming check.
 
-Equal fingerprints are one node, so copies are never expanded into pairs. Links are found in two passes: first those
-of one bit, by the 64 flips of each fingerprint; groups they connect are labelled, and the wider search then keeps
-only pairs between different labels, of each pair of labels one. A link inside a label can't change a component.
+Equal fingerprints are one node, so copies are never expanded into pairs. Links are found in two passes over the ring:
+first those of one bit, whose budgets are 0, 0, 0, 0 and 1 bits, so that four equal segments in a row are the key; groups
+they connect are labelled, and the pass for four bits then keeps only pairs between different labels, of each pair of
+labels one. A link inside a label can't change a component.
 
 `drop_near_copies`, for pipelines, keeps one document of each group of near copies; its measure and its candidates are
 those of `_near_copies`, which uses the links of this module first.
@@ -69,11 +70,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(_fingerprints, f"doc_id {id_type}, _id long, _k long, fp long")
 
 
-def _mask(low: int, width: int) -> int:
-    x = ((1 << width) - 1) << low
-    return x - (1 << 64) if x >> 63 else x
-
-
 _STARTS = [sum(SEGMENTS[:i]) for i in range(len(SEGMENTS))]
 
 
@@ -82,18 +78,31 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, _STARTS[i]).bitwiseAND(F.lit((1 << SEGMENTS[i]) - 1)).cast("long")
 
 
-def one_bit_links(fps: DataFrame) -> DataFrame:
-    """(a, b) of fingerprints that differ in one bit; each is found once, from its side with that bit set."""
-    lowered = fps.select(F.col("fp").alias("a"), F.explode(F.array(*(F.lit(_mask(i, 1)) for i in range(64)))).alias("bit")).where(F.col("a").bitwiseAND(F.col("bit")) != 0)
-    return lowered.select("a", F.col("a").bitwiseXOR(F.col("bit")).alias("fp")).join(fps.select("fp"), "fp").select("a", F.col("fp").alias("b"))
-
+def ring_links(labelled: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) of labels that hold fingerprints within distance (1 to 4) of each other; labelled: (fp, label), each fp once.
 
-def wider_links(labelled: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) of labels that hold fingerprints within distance of each other; labelled: (fp, label)."""
+    The segments of a chain whose budgets are zero are the key; if that is one segment only, its neighbour with at most one
+    flipped bit belongs to the key too."""
     fp = F.col("fp")
     n = len(SEGMENTS)
-    index = [F.struct(F.lit(i).alias("i"), _segment(fp, i).bitwiseOR(F.shiftleft(_segment(fp, i + 1), 13)).alias("key")) for i in range(n)]
-    flips = [F.struct(F.lit(i).alias("i"), _segment(fp, i).bitwiseOR(F.shiftleft(_segment(fp, i + 1).bitwiseXOR(F.lit(bit)), 13)).alias("key")) for i in range(n) for bit in (0, *(1 << b for b in range(SEGMENTS[(i + 1) % n])))]
+    budgets = [length * distance // n for length in range(1, n + 1)]
+    equal = budgets.count(0)
+
+    def key(i: int, flip: int | None = None) -> Column:
+        parts = [_segment(fp, i + j) for j in range(equal)]
+        if flip is not None:
+            parts.append(_segment(fp, i + equal).bitwiseXOR(F.lit(flip)))
+        out = parts[0]
+        for j, part in enumerate(parts[1:], 1):
+            out = out.bitwiseOR(F.shiftleft(part, 13 * j))
+        return F.struct(F.lit(i).alias("i"), out.alias("key"))
+
+    if equal > 1:
+        covered, index = equal, [key(i) for i in range(n)]
+        flips = index
+    else:
+        covered, index = 2, [key(i, 0) for i in range(n)]
+        flips = [key(i, bit) for i in range(n) for bit in (0, *(1 << b for b in range(SEGMENTS[(i + 1) % n])))]
     a = labelled.select(fp.alias("fp_a"), F.col("label").alias("a"), F.inline(F.array(*index)))
     b = labelled.select(fp.alias("fp_b"), F.col("label").alias("b"), F.inline(F.array(*flips)))
     differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
@@ -102,20 +111,23 @@ def wider_links(labelled: DataFrame, distance: int = DISTANCE) -> DataFrame:
         """The budget of the chain of so many segments from the i-th on."""
         masks = [sum(1 << bit for j in range(length) for bit in range(_STARTS[(i + j) % n], _STARTS[(i + j) % n] + SEGMENTS[(i + j) % n])) for i in range(n)]
         signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks))
-        return F.bit_count(differ.bitwiseAND(F.element_at(signed, F.col("i") + 1))) <= length * distance // n
+        return F.bit_count(differ.bitwiseAND(F.element_at(signed, F.col("i") + 1))) <= budgets[length - 1]
 
-    wanted = (F.col("a") != F.col("b")) & chain(3) & chain(4) & (F.bit_count(differ) <= distance)
+    # either of a pair has the other among its flips, so one order of the two is enough
+    wanted = (F.col("fp_a") < F.col("fp_b")) & (F.col("a") != F.col("b")) & (F.bit_count(differ) <= distance)
+    for length in range(covered + 1, n):
+        wanted &= chain(length)
     return a.join(b, ["i", "key"]).where(wanted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(seen: DataFrame) -> DataFrame:
     """(fp, component) of the distinct fingerprints of seen (fp, _id): the smallest _id reachable."""
     nodes = written(seen.groupBy("fp").agg(F.min("_id").alias("least")))
-    near = connected(nodes.select(F.col("fp").alias("node")), one_bit_links(nodes))
+    near = connected(nodes.select(F.col("fp").alias("node")), ring_links(nodes.select("fp", F.col("fp").alias("label")), 1))
     labelled = written(nodes.join(near, nodes.fp == near.node).select("fp", "least", F.col("component").alias("label")))
     emptied(nodes)
     label_ids = labelled.groupBy("label").agg(F.min("least").alias("least"))
-    wide = connected(label_ids.select(F.col("label").alias("node")), wider_links(labelled))
+    wide = connected(label_ids.select(F.col("label").alias("node")), ring_links(labelled))
     joined = label_ids.join(wide, label_ids.label == wide.node).select("label", "least", "component")
     smallest = joined.groupBy("component").agg(F.min("least").alias("smallest"))
     return labelled.select("fp", "label").join(joined.select("label", "component"), "label").join(smallest, "component").select("fp", F.col("smallest").alias("component"))

@@ -43,8 +43,8 @@ def test_links_against_brute_force(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     table = spark.createDataFrame([(f, f) for f in signed], "fp long, label long")
     far = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
-    assert {tuple(r) for r in simhash.wider_links(table).collect()} == {(a, b) for a in signed for b in signed if a < b and far(a, b) <= 4}
-    assert {tuple(sorted(r)) for r in simhash.one_bit_links(table).collect()} == {(a, b) for a in signed for b in signed if a < b and far(a, b) == 1}
+    for distance in (1, 2, 3, 4):
+        assert {tuple(r) for r in simhash.ring_links(table, distance).collect()} == {(a, b) for a in signed for b in signed if a < b and far(a, b) <= distance}
 
 
 def test_near_duplicates_against_brute_force(spark):
