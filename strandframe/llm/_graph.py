@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from ._shared import emptied, written
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a: the links then name each node's component."""
+    a, b = (links.select(F.col(c).alias("node"), F.lit(int(c == "a")).alias("up"), F.lit(c == "b").alias("root")) for c in ("a", "b"))
+    seen = a.unionByName(b).groupBy("node").agg(F.sum("up").alias("up"), F.bool_or("root").alias("root"))
+    return seen.where("up > 1 or up = 1 and root").count() == 0
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), itself included.
 
     Each round hangs every node's larger neighbours on its smallest one and then its smaller neighbours likewise
     (large star, small star); the number of rounds grows with the logarithm of a component's size. Rounds end when
-    the edges no longer change, told by their count and hash sum. Every round is written to the shared folder.
-    Nodes must be longs. A hub's neighbours are aggregated to their minimum, never listed.
+    the edges are stars around the smallest nodes; edges that are so from the start take none. Every round is written
+    to the shared folder. Nodes must be longs. A hub's neighbours are aggregated to their minimum, never listed.
     """
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-
-    def state(df):
-        r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        return r.n, r.h
-
-    before = state(links)
-    while before[0]:
+    while not _are_stars(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -32,9 +33,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hung = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         old, links = links, written(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         emptied(old, large)
-        after = state(links)
-        if after == before:
-            break
-        before = after
-    root = links.groupBy("a").agg(F.min("b").alias("root"))
+    root = links.select("a", F.col("b").alias("root"))
     return nodes.join(root, nodes.node == root.a, "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+def merged(component: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) after further edges (a, b) between the nodes: only the components are connected anew."""
+    ends = edges
+    for c in ("a", "b"):
+        ends = ends.join(component.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c)
+    labels = component.select(F.col("component").alias("node")).distinct()
+    wide = components(labels, ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return component.join(wide.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component").select("node", F.col("whole").alias("component"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import _sketch
 from . import _units as u
 from ._graph import components as connected
+from ._graph import merged
 from ._shared import emptied, keyed, written
 from .decontam import BITS, _bitmap
 from .simhash import SEED, fingerprint, linked, shingle_hashes
@@ -170,6 +171,8 @@ def similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.distinct().join(side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y")), "b")
     sized = both.where((5 * F.col("n_a") >= FIFTHS * F.col("n_b")) & (5 * F.col("n_b") >= FIFTHS * F.col("n_a")))
     left = written(sized.select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(_plausible, "a long, b long"))
+    if not left.count():
+        return left
     needed = written(nodes.join(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "k.*"))
     bitmap = _bits(needed)
     sets = rows.mapInArrow(_sets(bitmap), "_id long, _k long, shingles array<long>").join(needed, ["_id", "_k"]).dropDuplicates(["node"]).select("node", "shingles")
@@ -193,15 +196,24 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.where((F.col("x.component") != F.col("y.component")) & _may("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
+def _connected(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after these links; written. The tables read go, and without links there is nothing to do."""
+    if not links.count():
+        return component
+    out = written(merged(component, links))
+    emptied(component, links)
+    return out
+
+
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(component, k): the groups of near copies, and the (_id, _k) of the smallest document of each."""
     rows = keyed(docs).select("_id", "_k", "text")
     seen = rows.mapInArrow(_described, "_id long, _k long, node long, n int, fp long, parity binary, fold array<long>")
     nodes = written(seen.groupBy("node").agg(F.min(F.struct("_id", "_k")).alias("k"), *(F.first(c).alias(c) for c in ("n", "fp", "parity", "fold"))))
-    plain = nodes.select("node")
     near = nodes.select("fp", "node").join(linked(nodes.select("fp", F.col("node").alias("_id"))), "fp")
     links = similar(rows, nodes, near.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    component = written(connected(plain, links))
+    component = written(connected(nodes.select("node"), links))
+    emptied(links)
     firsts = _bits(nodes.select("k._k"))  # one document of each set, and few others
     counts = rows.mapInArrow(_counted(firsts), "h long, n byte").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = docs.sparkSession.sparkContext.broadcast(_sketch.bitmap(counts.where("n > 1").select(F.shiftright("h", COUNTED - CELLS).alias("cell")), 1 << CELLS))
@@ -212,14 +224,12 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 
     several = F.min("x.component") < F.max("x.component")
     centre = labelled().groupBy("h").agg(F.min_by("x", F.struct("x.own", F.xxhash64("x.node"))).alias("y"), several.alias("several")).where("several").drop("several")
-    links, old = written(links.unionByName(similar(rows, nodes, _pairs(labelled().join(centre, "h"))))), component
-    component = written(connected(plain, links))
-    emptied(old)
+    component = _connected(component, similar(rows, nodes, _pairs(labelled().join(centre, "h"))))
     sizes = labelled().groupBy("h", F.col("x.component").alias("component")).agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("most"))
     split = labelled().join(sizes.where("parts > 1"), "h").join(nodes.select(F.col("node").alias("_node"), "fold"), F.col("x.node") == F.col("_node")).drop("_node")
     rest = split.where("x.component <> most").select("h", "x", F.col("fold").alias("fold_x")).join(split.select("h", F.col("x").alias("y"), F.col("fold").alias("fold_y")), "h")
     differ = sum((F.bit_count(F.col("fold_x")[i].bitwiseXOR(F.col("fold_y")[i])) for i in range(FOLD)), F.lit(0))
     close = (5 + FIFTHS) * differ <= (5 - FIFTHS) * (F.col("x.n") + F.col("y.n"))
-    component = written(connected(plain, links.unionByName(similar(rows, nodes, _pairs(rest.where(close))))))
-    emptied(posts, links)
+    component = _connected(component, similar(rows, nodes, _pairs(rest.where(close))))
+    emptied(posts)
     return nodes.select("node", "k").join(component, "node").groupBy("component").agg(F.min("k").alias("k"))
