@@ -77,6 +77,17 @@ def references(contigs: DataFrame, bin_col: str, ref: str, length: str, top: int
     return ranked.where(F.col("rank") <= top).select(bin_col, ref, "rank", "contigs", "bases")
 
 
+def all_pairs(vectors: DataFrame, contig: str, vector: str) -> DataFrame:
+    """(a, b, x, y), a < b: each pair of contigs once with their vectors, whether or not they share a reference. Very many
+    contigs are dealt out in parts, each of which meets every other."""
+    from . import graph, tables
+
+    rows = graph.written(vectors.select(F.lit(0).alias("_all"), F.col(contig).alias("c"), F.col(vector).alias("v")))
+    a, b = (rows.select("_all", F.col("c").alias(c), F.col("v").alias(v)) for c, v in ("ax", "by"))
+    a, b, on = tables.dealt(a, b, "_all", "a", "b")
+    return a.join(b, on).where("a < b").select("a", "b", "x", "y")
+
+
 def totals(met: DataFrame, contigs: DataFrame, contig: str, alone: str, product: bool = False) -> DataFrame:
     """(contig, others, likeness): the sum of each contig's likeness to all others, from the pairs that meet (a, b, likeness;
     each once) and a closed form for those that don't, whose likeness is the sum, or the product, of their values of alone.

@@ -51,29 +51,27 @@ def b4_dot_product(t):
 
 
 def arrays(t):
-    """Each nation's vector of order counts over the priorities."""
-    refs = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    wide = nations(t).groupBy("contig").pivot("ref", refs).agg(F.sum("score")).na.fill(0)
-    return wide.select("contig", F.array(*(F.col(f"`{r}`") for r in refs)).alias("v"))
+    """Each nation's vector of order counts over all priorities; a missing priority is a coordinate that all have at zero."""
+    s = t("nation").select(F.col("n_nationkey").alias("contig")).join(nations(t), "contig")
+    counts = F.map_from_entries(F.collect_list(F.when(F.col("ref").isNotNull(), F.struct("ref", "score"))))
+    missing = F.when(F.max(F.col("ref").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    refs = s.agg(F.concat(F.array_sort(F.collect_set("ref")), missing).alias("refs"))
+    own = s.groupBy("contig").agg(counts.alias("own")).join(F.broadcast(refs))  # refs is one row
+    return own.select("contig", F.transform("refs", lambda r: F.coalesce(F.col("own")[r], F.lit(0.0))).alias("v"))
 
 
 def pairs(t):
-    """Pairs of nations that share a reference, with their vectors."""
-    v, s = arrays(t), nations(t)
-    met = s.select("ref", F.col("contig").alias("a")).join(s.select("ref", F.col("contig").alias("b")), "ref").where("a < b").select("a", "b").distinct()
-    return met.join(v.select(F.col("contig").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("contig").alias("b"), F.col("v").alias("y")), "b")
+    """All pairs of nations, with their vectors."""
+    return bins.all_pairs(arrays(t), "contig", "v")
 
 
 FULL = f"{NV}, r AS (SELECT DISTINCT ref FROM s), c AS (SELECT DISTINCT contig FROM s), f AS (SELECT contig, ref, coalesce(score, 0) AS score FROM c CROSS JOIN r LEFT JOIN s USING (contig, ref))"
 
 
-@query(f"""{FULL}, p AS (SELECT x.contig, y.contig AS other, sum(CASE WHEN greatest(x.score, y.score) > 0 THEN 1 / (1 + abs(x.score - y.score) / greatest(x.score, y.score)) ELSE 0 END) AS l FROM f x JOIN f y USING (ref) WHERE x.contig <> y.contig GROUP BY ALL)
-SELECT contig, count(*) AS others, round(sum(l), 4) AS likeness FROM p GROUP BY contig""")
+@query(f"{FULL} SELECT x.contig AS a, y.contig AS b, round(sum(CASE WHEN greatest(x.score, y.score) > 0 THEN 1 / (1 + abs(x.score - y.score) / greatest(x.score, y.score)) ELSE 0 END), 6) AS likeness FROM f x JOIN f y USING (ref) WHERE x.contig < y.contig GROUP BY ALL")
 def b5_distance(t):
-    """Each nation's likeness to all others: a pair without a common reference has half a point for each coordinate."""
-    v = arrays(t).select("contig", (F.size(F.filter("v", lambda x: x != 0)) / 2).alias("alone"))
-    met = pairs(t).select("a", "b", bins.compare_dist(F.col("x"), F.col("y")).alias("likeness"))
-    return bins.totals(met, v, "contig", "alone").withColumn("likeness", F.round("likeness", 4))
+    """The likeness of every pair of nations; one without a common reference has half a point for each coordinate."""
+    return pairs(t).select("a", "b", F.round(bins.compare_dist(F.col("x"), F.col("y")), 6).alias("likeness"))
 
 
 @query(f"{NV}, b AS (SELECT contig, arg_min(ref, (-score, ref)) AS best, max(score) AS score FROM s GROUP BY contig) SELECT x.contig AS a, y.contig AS b, round(1 / (1 + abs(x.score - y.score) / greatest(x.score, y.score)), 6) AS likeness FROM b x JOIN b y USING (best) WHERE x.contig < y.contig")
