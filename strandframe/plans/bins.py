@@ -82,11 +82,10 @@ def b6_best(t):
 @query(f"""{NV}, z AS (SELECT x.contig AS a, y.contig AS b, ref, x.score AS xs, y.score AS ys FROM s x JOIN s y USING (ref) WHERE x.contig < y.contig AND x.score <> 0 AND y.score <> 0),
 p AS (SELECT p.a, p.b, sum(CASE WHEN p.ys >= q.ys THEN 1 ELSE -2 END) AS n FROM z p JOIN z q ON p.a = q.a AND p.b = q.b AND (p.xs > q.xs OR p.xs = q.xs AND p.ref < q.ref) GROUP BY ALL), c AS (SELECT DISTINCT contig FROM s),
 l AS (SELECT x.contig AS a, y.contig AS b, 1 + coalesce(n, 0) AS score FROM c x JOIN c y ON x.contig < y.contig LEFT JOIN p ON p.a = x.contig AND p.b = y.contig)
-SELECT contig, count(*) AS others, sum(score)::DOUBLE AS likeness FROM (SELECT a AS contig, score FROM l UNION ALL SELECT b, score FROM l) GROUP BY contig""")
+SELECT a, b, score::INT AS score FROM l""")
 def b7_rank(t):
-    """Each nation's rank scores against all others; a pair without a common reference has 1."""
-    v = arrays(t).select("contig", F.lit(0.5).alias("alone"))
-    return bins.totals(pairs(t).select("a", "b", bins.compare_rank(F.col("x"), F.col("y")).alias("likeness")), v, "contig", "alone")
+    """The rank score of every pair of nations; one without a common reference has 1."""
+    return pairs(t).select("a", "b", bins.compare_rank(F.col("x"), F.col("y")).alias("score"))
 
 
 @query(f"{VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY score DESC, ref) AS i FROM s WHERE score > 0 QUALIFY i <= 3), o AS (SELECT contig, array_to_string(list(ref ORDER BY i), ',') AS key FROM k GROUP BY contig) SELECT key, count(*) AS contigs, min(contig) AS first FROM o GROUP BY key")

@@ -44,7 +44,12 @@ def test_distance_of_every_pair(found):
     assert got[1, 3] == round(1 / (1 + 1 / 3) + 0.5, 6)
 
 
-@pytest.mark.parametrize("name", ["b5_distance"])
+def test_rank_of_every_pair(found):
+    got = found("b7_rank")
+    assert got[1, 2] == 1 and got[1, 3] == 1 and got[3, 4] == 2
+
+
+@pytest.mark.parametrize("name", ["b5_distance", "b7_rank"])
 def test_missing_priorities_and_unknown_nations(spark, tmp_path, name):
     con = tables(tmp_path, {**COUNTS, 6: {None: 2, "1-URGENT": 1, "2-HIGH": 3, "9-NEW": 1}, 95: {"1-URGENT": 1}})
     assert oracle.differences(spark, con, str(tmp_path), library.queries()[name], library.oracle_sql()[name]) == ""
