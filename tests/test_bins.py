@@ -49,7 +49,12 @@ def test_rank_of_every_pair(found):
     assert got[1, 2] == 1 and got[1, 3] == 1 and got[3, 4] == 2
 
 
-@pytest.mark.parametrize("name", ["b5_distance", "b7_rank"])
+def test_order_of_every_pair(found):
+    got = found("b8_compare_order")  # nation 4 has all three priorities
+    assert got == {p: int(4 not in p) for p in PAIRS}
+
+
+@pytest.mark.parametrize("name", ["b5_distance", "b7_rank", "b8_compare_order"])
 def test_missing_priorities_and_unknown_nations(spark, tmp_path, name):
     con = tables(tmp_path, {**COUNTS, 6: {None: 2, "1-URGENT": 1, "2-HIGH": 3, "9-NEW": 1}, 95: {"1-URGENT": 1}})
     assert oracle.differences(spark, con, str(tmp_path), library.queries()[name], library.oracle_sql()[name]) == ""
