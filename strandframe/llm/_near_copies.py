@@ -180,7 +180,7 @@ def similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     same = F.size(F.array_intersect("x", "y"))
     out = written(pair.where(5 * same >= FIFTHS * (F.size("x") + F.size("y") - same)).select("a", "b"))
     emptied(left, needed)
-    bitmap.unpersist()
+    bitmap.destroy()
     return out
 
 
@@ -218,6 +218,8 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     counts = rows.mapInArrow(_counted(firsts), "h long, n byte").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = docs.sparkSession.sparkContext.broadcast(_sketch.bitmap(counts.where("n > 1").select(F.shiftright("h", COUNTED - CELLS).alias("cell")), 1 << CELLS))
     posts = written(rows.mapInArrow(_postings(firsts, repeated), "h long, node long, n int, at int, own byte").dropDuplicates(["h", "node"]))
+    for read in (firsts, repeated):  # the driver keeps them otherwise
+        read.destroy()
 
     def labelled() -> DataFrame:
         return posts.join(component, "node").select("h", F.struct("node", "n", "at", "own", "component").alias("x"))

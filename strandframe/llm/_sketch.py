@@ -13,6 +13,8 @@ from . import _units as u
 
 #: Cells of each row. What reaches the driver and the tasks is one bit a cell, so 16 MB a row whatever the input.
 WIDTH_BITS, DEPTH = 27, 2
+#: So many bits of a bitmap reach the driver at a time.
+PART_BITS = 1 << 25
 
 
 class Sketch(NamedTuple):
@@ -60,8 +62,11 @@ def partition_cells(keys_of, width_bits: int, depth: int):
     return run
 
 
-def bitmap(marked: DataFrame, size: int) -> bytes:
-    """A bit for each of size cells, set for those of marked (cell); packed by Spark in blocks of 2**16."""
+def bitmap(marked: DataFrame, size: int) -> bytearray:
+    """A bit for each of size cells, set for those of marked (cell); packed by Spark in blocks of 2**16.
+
+    The driver reads parts of at most 4 MB, one at a time. Each part is a job, so their number follows the bitmap's size and not
+    the number of shuffle partitions: hundreds of jobs would fill the driver's memory with what it keeps of each."""
     block_bits = min(16, size.bit_length() - 1)
     placed = marked.select(F.shiftright("cell", block_bits).alias("block"), F.col("cell").bitwiseAND(F.lit((1 << block_bits) - 1)).cast("int").alias("at"))
 
@@ -76,11 +81,10 @@ def bitmap(marked: DataFrame, size: int) -> bytes:
                 bits[at] = 1
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["block", "bits"])
 
-    bits = np.zeros(size // 8, np.uint8)
-    step = (1 << block_bits) // 8
-    for r in placed.repartition("block").mapInArrow(packed, "block long, bits binary").toLocalIterator():
-        bits[r.block * step : (r.block + 1) * step] |= np.frombuffer(r.bits, np.uint8)
-    return bits.tobytes()
+    out, step = bytearray(size // 8), (1 << block_bits) // 8
+    for r in placed.repartition("block").mapInArrow(packed, "block long, bits binary").repartition(-(-size // PART_BITS)).toLocalIterator():
+        out[r.block * step : (r.block + 1) * step] = r.bits
+    return out
 
 
 def sketch(docs: DataFrame, keys_of, width_bits: int = WIDTH_BITS, depth: int = DEPTH) -> Sketch:

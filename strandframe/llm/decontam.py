@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import dealt
+from . import _sketch
 from . import _units as u
 from ._shared import keyed, matched, written
 
@@ -115,14 +116,10 @@ def _document_fingerprints(lengths: list[int], bitmap):
     return run
 
 
-def _bitmap(windows: DataFrame) -> bytes:
+def _bitmap(windows: DataFrame) -> bytearray:
     """One bit for each possible leading BITS bits of a fingerprint: 2 MB, whatever the benchmark's size."""
     cell = F.shiftrightunsigned("fp", 64 - BITS).cast("long")
-    blocks = windows.select(cell.alias("cell")).distinct().groupBy(F.shiftright("cell", 14).alias("block")).agg(F.collect_list(F.col("cell").bitwiseAND(F.lit((1 << 14) - 1)).cast("int")).alias("at"))
-    bits = np.zeros(1 << BITS, bool)
-    for r in blocks.toLocalIterator():
-        bits[(r.block << 14) + np.array(r.at)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    return _sketch.bitmap(windows.select(cell.alias("cell")).distinct(), 1 << BITS)
 
 
 def _common(x: str, y: str) -> Column:
