@@ -117,7 +117,8 @@ def ring_links(labelled: DataFrame, distance: int = DISTANCE) -> DataFrame:
     wanted = (F.col("fp_a") < F.col("fp_b")) & (F.col("a") != F.col("b")) & (F.bit_count(differ) <= distance)
     for length in range(covered + 1, n):
         wanted &= chain(length)
-    return a.join(b, ["i", "key"]).where(wanted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a row gives 5 and up to 70; Spark's estimate leaves that out and would broadcast a table a hundred times its threshold
+    return a.join(b.hint("merge"), ["i", "key"]).where(wanted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(seen: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandframe.llm import simhash
 from strandframe.llm._graph import components
@@ -64,3 +65,11 @@ def test_empty_null_and_repeated_rows(spark):
     assert sorted(((r.doc_id or 9), r.component_id or 9) for r in simhash.near_duplicates(docs).collect()) == [(3, 3), (4, 4), (4, 4), (9, 4), (9, 9)]
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns and {r._k for r in kept.collect()} == {""} and sorted((r.doc_id or 9) for r in kept.collect()) == [3, 4, 9]
+
+
+def test_the_rings_rows_are_never_broadcast(spark):
+    """A few kB of fingerprints become many times that."""
+    labelled = spark.range(1000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("label"))
+    for distance in (1, 4):
+        plan = simhash.ring_links(labelled, distance)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
