@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import seq as sq
 from . import graph, tables
 
+#: coded() works through so many letters at a time; the longest k-mer of 26 letters that a long holds.
+LETTERS, CODED_K = 1 << 21, 13
+
 
 def explode(df: DataFrame, id_cols: str | list[str], seq: str, k: int, tail: str = "keep", alphabet: str | None = None) -> DataFrame:
     """(ids, kmer), a row for each occurrence; tail="drop" leaves out a sequence's last one; alphabet: only k-mers of
@@ -18,6 +26,74 @@ def explode(df: DataFrame, id_cols: str | list[str], seq: str, k: int, tail: str
     return out.where(F.col("kmer").rlike(f"^[{alphabet}]+$")) if alphabet else out
 
 
+def coded(df: DataFrame, id_cols: str | list[str], seq: str, k: int) -> DataFrame:
+    """(ids, kmer, n): the k-mers of sequences of the letters a-z as longs, in the order of the k-mers, with occurrences; k is
+    at most 13. Occurrences of some millions of letters are counted together, so ids and a k-mer may have several rows."""
+    ids = [id_cols] if isinstance(id_cols, str) else id_cols
+    if not 0 < k <= CODED_K:
+        raise ValueError(f"k-mers of 1 to {CODED_K} letters have a code")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")  # texts may be long
+    span = 26**k
+    at_once = (2**63 - 1) // span
+
+    def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        text = table.column(len(ids)).combine_chunks().fill_null("").cast(pa.large_string())
+        ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+        ends, data = ends - ends[0], np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        if len(data) and not (data.min() >= ord("a") and data.max() <= ord("z")):
+            raise ValueError("only the letters a-z have a code")
+        who = np.zeros(len(table), np.int64)
+        for i in range(len(ids)):
+            column = table.column(i).combine_chunks().dictionary_encode("encode")
+            _, who = np.unique(who * len(column.dictionary) + column.indices.to_numpy(), return_inverse=True)
+        _, first = np.unique(who, return_index=True)
+        for low in range(0, len(data) - k + 1, LETTERS):
+            part = data[low : low + LETTERS + k - 1].astype(np.int64) - ord("a")
+            codes = np.zeros(len(part) - k + 1, np.int64)
+            for i in range(k):
+                codes = codes * 26 + part[i : i + len(codes)]
+            row = np.repeat(np.arange(len(table)), np.diff(np.clip(ends, low, low + len(codes))))
+            whole = np.arange(low + k, low + k + len(codes)) <= ends[row + 1]
+            codes, group = codes[whole], who[row[whole]]
+            blocks = np.array([0, len(codes)])
+            if len(first) > at_once:  # an id and a code don't fit one number: ids by blocks
+                order = np.argsort(group, kind="stable")
+                codes, group = codes[order], group[order]
+                blocks = np.searchsorted(group, np.arange(0, len(first) + at_once, at_once))
+            for a, b in zip(blocks[:-1], blocks[1:], strict=True):
+                base = group[a] // at_once * at_once if b > a else 0
+                both, n = np.unique((group[a:b] - base) * span + codes[a:b], return_counts=True)
+                for i in range(0, len(both), 1 << 16):
+                    one, times = both[i : i + (1 << 16)], n[i : i + (1 << 16)]
+                    named = table.select(list(range(len(ids)))).take(first[one // span + base]).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in named.columns), pa.array(one % span), pa.array(times.astype(np.int64))], names=[*ids, "kmer", "n"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column(len(ids)).nbytes
+            if size >= LETTERS:
+                yield from counted(held)
+                held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    kept = df.select(*ids, F.col(seq).alias("_seq")).where(F.length("_seq") >= k)
+    return kept.mapInArrow(part, T.StructType([*kept.schema.fields[:-1], T.StructField("kmer", T.LongType()), T.StructField("n", T.LongType())]))
+
+
+def decoded(code: Column, k: int) -> Column:
+    """The letters of a k-mer's code."""
+    return F.concat(*(F.chr(F.call_function("div", code, F.lit(26**j)) % 26 + 97) for j in reversed(range(k))))
+
+
+def occurrences(kmers: DataFrame) -> Column:
+    """The number of occurrences in rows of a k-mer table, with a column n or a row for each."""
+    return F.sum("n") if "n" in kmers.columns else F.count("*")
+
+
 def explode_spaced(df: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
     """K-mers that skip every third base, of windows of 3 * (k // 2) bases of ACGT."""
     wide = explode(df, id_col, seq, 3 * (k // 2), alphabet="ACGT")
@@ -91,8 +167,15 @@ def group_hits(reads: DataFrame, index: DataFrame, read_id: str, group: str, lea
 def annotate(train: DataFrame, test: DataFrame, label: str, id_col: str, default: str, weighted: bool = False) -> DataFrame:
     """(id, label, votes): k-mers of a single label vote (weighted: by their count in training); the winner needs
     twice the runner-up's votes, else the default; ids without votes get the default."""
-    own = train.groupBy("kmer").agg(F.min(label).alias("_l"), F.max(label).alias("_m"), F.count("*").alias("_w")).where("_l = _m")
-    votes = test.select(id_col, "kmer").join(own, "kmer").groupBy(id_col, "_l").agg((F.sum("_w") if weighted else F.count("*")).alias("_v"))
+    own = train.groupBy("kmer").agg(F.min(label).alias("_l"), F.max(label).alias("_m"), occurrences(train).alias("_w")).where("_l = _m")
+    return voted(own.select("kmer", F.col("_l").alias(label), *(["_w"] if weighted else [])), test, label, id_col, default)
+
+
+def voted(own: DataFrame, test: DataFrame, label: str, id_col: str, default: str) -> DataFrame:
+    """annotate() by k-mers of a single label (kmer, label), of which each occurrence in test counts 1, or the k-mer's _w."""
+    times = F.col("n") if "n" in test.columns else F.lit(1)
+    weight = F.col("_w") if "_w" in own.columns else F.lit(1)
+    votes = test.hint("merge").join(own.withColumnRenamed(label, "_l"), "kmer").groupBy(id_col, "_l").agg(F.sum(times * weight).alias("_v"))
     w = W.partitionBy(id_col).orderBy(F.desc("_v"), "_l")
     best = votes.withColumns({"_i": F.row_number().over(w), "_next": F.coalesce(F.lead("_v").over(w), F.lit(0))}).where("_i = 1")
     named = best.select(id_col, F.when(F.col("_v") >= 2 * F.col("_next"), F.col("_l")).otherwise(default).alias(label), F.col("_v").alias("votes"))

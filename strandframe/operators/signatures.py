@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import graph
+from . import kmers as km
 
 
 def build(kmers: DataFrame, group: str, groups: DataFrame | None = None) -> DataFrame:
@@ -18,9 +19,20 @@ def build(kmers: DataFrame, group: str, groups: DataFrame | None = None) -> Data
     aggregate where the name would need a sort, and the names are joined at the end; names of one hash raise an error."""
     if groups is None:
         return kmers.groupBy("kmer").agg(F.min(group).alias(group), F.max(group).alias("_m")).where(F.col(group) == F.col("_m")).select("kmer", group)
+    coded = kmers.where(F.col(group).isNotNull()).select("kmer", F.xxhash64(group).alias("_g"))
+    return _named(coded, group, groups)
+
+
+def of_letters(df: DataFrame, group: str, seq: str, k: int) -> DataFrame:
+    """build() of the k-mers of sequences (group, seq) of the letters a-z, with the k-mers' codes (kmers.coded), which
+    follow the order of the k-mers; the groups' names are read from df."""
+    hashed = df.where(F.col(group).isNotNull()).select(F.xxhash64(group).alias("_g"), seq)
+    return _named(km.coded(hashed, "_g", seq, k), group, df)
+
+
+def _named(coded: DataFrame, group: str, groups: DataFrame) -> DataFrame:
     names = groups.where(F.col(group).isNotNull()).select(group).distinct().groupBy(F.xxhash64(group).alias("_g")).agg(F.min(group).alias(group), F.max(group).alias("_m"))
     names = names.withColumn(group, F.when(F.col(group) == F.col("_m"), F.col(group)).otherwise(F.raise_error(F.lit("two groups of one hash")))).drop("_m")
-    coded = kmers.where(F.col(group).isNotNull()).select("kmer", F.xxhash64(group).alias("_g"))
     own = coded.groupBy("kmer").agg(F.min("_g").alias("_g"), F.max("_g").alias("_m")).where("_g = _m").select("kmer", "_g")
     return own.join(names, "_g").select("kmer", group)
 
@@ -31,10 +43,11 @@ def summary(signatures: DataFrame, groups: DataFrame, group: str) -> DataFrame:
 
 
 def evidence(reads: DataFrame, signatures: DataFrame, sample: str, group: str) -> DataFrame:
-    """(sample, group, seen, total, percent): how many of a group's signatures a sample's reads show."""
+    """(sample, group, seen, total, percent): how many of a group's signatures a sample's reads show. Spark takes k-mers for
+    as small as the sequences they are from, so they are never broadcast."""
     signatures = graph.written(signatures)
     total = signatures.groupBy(group).agg(F.count("*").alias("total"))
-    seen = reads.select(sample, "kmer").distinct().join(signatures, "kmer").groupBy(sample, group).agg(F.count("*").alias("seen"))
+    seen = reads.select(sample, "kmer").distinct().hint("merge").join(signatures, "kmer").groupBy(sample, group).agg(F.count("*").alias("seen"))
     return seen.join(total, group).withColumn("percent", 100 * F.col("seen") / F.col("total"))
 
 
@@ -49,9 +62,10 @@ def scaled(hits: Column, total: Column) -> Column:
 
 def assign(reads: DataFrame, signatures: DataFrame, read_id: str, group: str, least: float = 1, scorer: Callable[[Column, Column], Column] = raw) -> DataFrame:
     """(read, group, score): the groups of the best score, all of them if tied, where it is at least `least`. The
-    signatures are written once, for the totals and the hits, and joined by their real size."""
+    signatures are written once, for the totals and the hits. The reads' k-mers, which Spark takes for as small as the
+    reads, are never broadcast."""
     signatures = graph.written(signatures)
     total = signatures.groupBy(group).agg(F.count("*").alias("_t"))
-    hits = reads.select(read_id, "kmer").join(signatures, "kmer").groupBy(read_id, group).agg(F.count("*").alias("_h"))
+    hits = reads.hint("merge").join(signatures, "kmer").groupBy(read_id, group).agg(km.occurrences(reads).alias("_h"))
     scores = hits.join(total, group).select(read_id, group, scorer(F.col("_h"), F.col("_t")).alias("score")).where(F.col("score") >= least)
     return scores.withColumn("_r", F.rank().over(W.partitionBy(read_id).orderBy(F.desc("score")))).where("_r = 1").drop("_r")

@@ -158,7 +158,7 @@ def opened(spark, sf_dir, table):
 t AS (SELECT conv_id * 1000 + turn AS read_id, {LETTERS} AS seq FROM conversations), tk AS (SELECT read_id, substr(seq, i::INT, 10) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 8)) AS i FROM t)), h AS (SELECT read_id, lang, count(*) AS score FROM tk JOIN sig USING (kmer) GROUP BY ALL) SELECT * FROM h QUALIFY rank() OVER (PARTITION BY read_id ORDER BY score DESC) = 1""")
 def x6_streaming_assignment(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", seq.normalize(F.col("text"), "letters").alias("seq"))
-    index = graph.written(signatures.build(kmers.explode(docs, "lang", "seq", 10), "lang"))
+    index = graph.written(signatures.of_letters(docs, "lang", "seq", 10))
     turns = opened(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), seq.normalize(F.col("text"), "letters").alias("seq"))
     path = folder(spark)
     streams.assign_stream(turns, index, "read_id", "seq", "lang", 10, f"{path}/out", f"{path}/state").awaitTermination()

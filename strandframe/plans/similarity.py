@@ -107,7 +107,11 @@ SIGS = f"WITH {DOCS}, {TURNS}, {cut('dk', 'docs', 'lang', 10)}, {cut('tk', 'turn
 
 
 def lang_signatures(t):
-    return signatures.build(kmers.explode(docs(t), "lang", "seq", 10), "lang", t("documents"))
+    return signatures.of_letters(docs(t), "lang", "seq", 10)
+
+
+def turn_codes(t, by):
+    return kmers.coded(turns(t), by, "seq", 10)
 
 
 def turn_kmers(t, k=10):
@@ -116,22 +120,22 @@ def turn_kmers(t, k=10):
 
 @query(f"{SIGS} SELECT lang, count(*) AS n, min(kmer) AS least, max(kmer) AS largest FROM sig GROUP BY lang")
 def k12_signatures(t):
-    return lang_signatures(t).groupBy("lang").agg(F.count("*").alias("n"), F.min("kmer").alias("least"), F.max("kmer").alias("largest"))
+    return lang_signatures(t).groupBy("lang").agg(F.count("*").alias("n"), *(kmers.decoded(f("kmer"), 10).alias(c) for c, f in (("least", F.min), ("largest", F.max))))
 
 
 @query(f"{SIGS} SELECT conv_id, lang, count(DISTINCT kmer) AS seen, any_value(total) AS total, round(100.0 * count(DISTINCT kmer) / any_value(total), 6) AS percent FROM tk JOIN sig USING (kmer) JOIN tot USING (lang) GROUP BY conv_id, lang")
 def k13_evidence(t):
-    return signatures.evidence(turn_kmers(t), lang_signatures(t), "conv_id", "lang").withColumn("percent", F.round("percent", 6))
+    return signatures.evidence(turn_codes(t, "conv_id"), lang_signatures(t), "conv_id", "lang").withColumn("percent", F.round("percent", 6))
 
 
 @query(f"{SIGS}, h AS (SELECT read_id, lang, count(*) * 1000 / any_value(total) AS score FROM tk JOIN sig USING (kmer) JOIN tot USING (lang) GROUP BY ALL) SELECT read_id, lang, round(score, 6) AS score FROM h QUALIFY rank() OVER (PARTITION BY read_id ORDER BY score DESC) = 1")
 def k14_assign_scaled(t):
-    return signatures.assign(turn_kmers(t), lang_signatures(t), "read_id", "lang", 0, signatures.scaled).withColumn("score", F.round("score", 6))
+    return signatures.assign(turn_codes(t, "read_id"), lang_signatures(t), "read_id", "lang", 0, signatures.scaled).withColumn("score", F.round("score", 6))
 
 
 @query(f"{SIGS} SELECT * FROM (SELECT read_id, lang, count(*) AS score FROM tk JOIN sig USING (kmer) GROUP BY ALL HAVING count(*) >= 2) QUALIFY rank() OVER (PARTITION BY read_id ORDER BY score DESC) = 1")
 def k14_assign_raw(t):
-    return signatures.assign(turn_kmers(t), lang_signatures(t), "read_id", "lang", 2)
+    return signatures.assign(turn_codes(t, "read_id"), lang_signatures(t), "read_id", "lang", 2)
 
 
 @query(f"WITH {ITEMS}, {TURNS}, {cut('ik', 'items', 'item_id', 6)}, {cut('tk', 'turns', 'read_id', 6)} SELECT read_id, item_id, count(*) AS hits FROM tk JOIN (SELECT DISTINCT kmer, item_id FROM ik) USING (kmer) GROUP BY ALL HAVING count(*) >= 5")
@@ -142,7 +146,7 @@ def k15_group_hits(t):
 @query(f"""{SIGS}, v AS (SELECT read_id, lang, count(*) AS v FROM tk JOIN sig USING (kmer) GROUP BY ALL), b AS (SELECT *, row_number() OVER w AS i, coalesce(lead(v) OVER w, 0) AS nxt FROM v WINDOW w AS (PARTITION BY read_id ORDER BY v DESC, lang))
 SELECT r.read_id, CASE WHEN v >= 2 * nxt THEN lang ELSE 'unknown' END AS lang, coalesce(v, 0) AS votes FROM (SELECT DISTINCT read_id FROM tk) r LEFT JOIN (FROM b WHERE i = 1) b USING (read_id)""")
 def k16_annotate(t):
-    return kmers.annotate(kmers.explode(docs(t), "lang", "seq", 10), turn_kmers(t), "lang", "read_id", "unknown")
+    return kmers.voted(lang_signatures(t), turn_codes(t, "read_id"), "lang", "read_id", "unknown")
 
 
 @query(f"WITH {DOCS}, {cut('dk', 'docs', 'source', 24)}, k AS (SELECT DISTINCT source, kmer FROM dk) SELECT x.source AS a, y.source AS b, count(*) AS kmers FROM k x JOIN k y USING (kmer) WHERE x.source < y.source GROUP BY ALL")

@@ -11,9 +11,12 @@ from ..operators import kmers, signatures
 def assign_stream(reads: DataFrame, index: DataFrame, read_id: str, seq: str, group: str, k: int, out: str, checkpoint: str, least: int = 1):
     """Assigns each arriving read to the groups of most signature hits, appending (read, group, score) to a Parquet
     table. A read never spans batches, so every batch is scored on its own; batch folders make a retried batch
-    overwrite itself. Returns the started query; it ends when all that is available has been read."""
+    overwrite itself. An index of codes (signatures.of_letters) is for reads of the letters a-z. Returns the started query;
+    it ends when all that is available has been read."""
+    cut = kmers.coded if dict(index.dtypes)["kmer"] == "bigint" else kmers.explode
+
     def batch(df: DataFrame, number: int) -> None:
-        found = kmers.explode(df, read_id, seq, k)
+        found = cut(df, read_id, seq, k)
         signatures.assign(found, index, read_id, group, least).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -317,3 +317,25 @@ def test_signatures_by_names_or_hashes(spark):
     kmers = spark.createDataFrame([("aa", "x"), ("aa", "y"), ("ab", "x"), ("ac", "y"), ("ac", "y"), ("ad", None)], "kmer string, g string")
     by_hash = signatures.build(kmers, "g", kmers)
     assert sorted(map(tuple, by_hash.collect())) == sorted(map(tuple, signatures.build(kmers.where("g is not null"), "g").collect())) == [("ab", "x"), ("ac", "y")]
+
+
+def test_coded_kmers_are_the_kmers(spark, monkeypatch):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(rnd.choice([1, 2, 3, None]), i, "".join(rnd.choice("abz") for _ in range(rnd.randrange(40)))) for i in range(60)] + [(1, 99, None)], "g long, i long, s string").coalesce(1)
+    for letters in (1 << 21, 50):  # sequences over the border of two parts
+        monkeypatch.setattr(kmers, "LETTERS", letters)
+        for k in (1, 4, 13):  # of 13 letters only three ids fit one number
+            for ids in (["g"], ["i"], ["g", "i"]):
+                coded = kmers.coded(df, ids, "s", k).groupBy(*ids, kmers.decoded(F.col("kmer"), k).alias("kmer")).agg(F.sum("n").alias("n"))
+                want = kmers.explode(df, ids, "s", k).groupBy(*ids, "kmer").agg(F.count("*").alias("n"))
+                assert sorted(map(str, coded.collect())) == sorted(map(str, want.collect()))
+
+
+def test_kmers_of_reads_are_never_broadcast(spark):
+    """Spark takes them for as small as the reads."""
+    reads = kmers.coded(spark.createDataFrame([(1, "abcabc")], "id long, s string"), "id", "s", 3)
+    own = signatures.of_letters(spark.createDataFrame([("x", "abcd"), ("y", "xabc"), (None, "zzz")], "g string, s string"), "g", "s", 3)
+    assert sorted((kmers_, g) for kmers_, g in own.select(kmers.decoded(F.col("kmer"), 3), "g").collect()) == [("bcd", "x"), ("xab", "y")]
+    for df in (signatures.evidence(reads, own, "id", "g"), signatures.assign(reads, own, "id", "g"), kmers.voted(own, reads, "g", "id", "none")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "leftHint=(strategy=merge)" in plan
