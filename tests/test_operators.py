@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandframe.functions import seq, text
-from strandframe.operators import align, bins, codon, features, kmers, matrix, ml, quality, reads, reps, roles, signatures, stats, tables
+from strandframe.operators import align, bins, codon, features, graph, kmers, matrix, ml, quality, reads, reps, roles, signatures, stats, tables
 from strandframe.sources import files
 
 
@@ -339,3 +339,32 @@ def test_kmers_of_reads_are_never_broadcast(spark):
     for df in (signatures.evidence(reads, own, "id", "g"), signatures.assign(reads, own, "id", "g"), kmers.voted(own, reads, "g", "id", "none")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "leftHint=(strategy=merge)" in plan
+
+
+def test_identities_by_blocks_and_copies_give_the_rows_of_all_pairs(spark, monkeypatch):
+    rnd = random.Random(11)
+    made = ["".join(rnd.choice("aAb-") for _ in range(rnd.choice([0, 4, 6, 6]))) for _ in range(25)] + ["------"]
+    df = spark.createDataFrame([(rnd.choice([1, 1, 2]), i, rnd.choice(made), 0) for i in range(70)] + [(1, 90, None, 0), (None, 91, "aab", 0)], "aln int, id long, seq string, rank int").withColumn("rank", -F.length("seq")).na.fill(0, ["rank"])
+    df = spark.createDataFrame(df.collect(), df.schema)
+    nodes = df.select(F.col("id").alias("node"), "rank")
+    both = df.select("aln", F.col("id").alias("a"), F.col("seq").alias("x")).join(df.select("aln", F.col("id").alias("b"), F.col("seq").alias("y")), "aln").where("a < b")
+    pairs = graph.written(align.identity(align.pair_stats(both, "x", "y")).select("a", "b", "identity"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    want = rows(pairs.where("identity is not null"))
+    for block, cells in ((2000, 1 << 22), (7, 60)):
+        monkeypatch.setattr(align, "BLOCK", block)
+        monkeypatch.setattr(align, "CELLS", cells)
+        assert rows(align.identities(df, "aln", "id", "seq")) == want
+        assert rows(align.identities(df, "aln", "id", "seq", 0.7)) == [r for r in want if r[2] >= 0.7]
+    same = align.copies(df, "aln", "id", "seq", "rank")
+    assert same.count() > 10
+    few = graph.written(align.identities(df.join(same.select(F.col("node").alias("id")), "id", "left_anti"), "aln", "id", "seq"))
+    assert few.count() < pairs.count() / 3
+    for t in (0.6, 1.0):
+        assert rows(align.dereplicate(few, nodes, t, same)) == rows(align.dereplicate(pairs, nodes, t))
+        assert rows(align.cluster(few, nodes, t, same)) == rows(align.cluster(pairs, nodes, t))
+        assert rows(align.cluster_extended(few, nodes, t, same=same)) == rows(align.cluster_extended(pairs, nodes, t))
+        assert rows(align.like_earlier(df, "aln", "id", "seq", t)) == rows(align.filter_similar(pairs, "b", t))
+    for n in (3, 60):
+        one, two = align.dereplicate_n(few, nodes, n, 4, same), align.dereplicate_n(pairs, nodes, n, 4)
+        assert one[0] == two[0] and rows(one[1]) == rows(two[1])
