@@ -28,10 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def written(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
+def written(df: DataFrame, compression: str | None = None, row_group: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors. row_group: the bytes of a row
+    group, looked at with every row; otherwise a hundred rows at least are held in memory, however large they are."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    every = {f"parquet.page.size.row.check.{end}": "1" for end in ("min", "max")}  # tells when row groups are measured, too
+    df.write.options(**({"parquet.block.size": str(row_group), **every} if row_group else {})).parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

@@ -17,8 +17,8 @@ from ._shared import NO_ID, extended, small_batches, written
 from ._skew import joined_by_count
 
 FILTERS = "ABCDE"
-#: A shard of the matrix is closed when its texts reach this many bytes.
-SHARD_BYTES = 8 << 20
+#: A shard of the matrix is closed when its texts reach this many bytes; a row group of written shards when it does these.
+SHARD_BYTES, GROUP_BYTES = 2 << 20, 8 << 20
 LEAST_WORDS = 200
 
 
@@ -117,7 +117,7 @@ def document_terms(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame
     count with one row a distinct word and shard (the commonest word has one a shard), and the few that would are numbered
     by a list."""
     small_batches(docs.sparkSession)
-    local = written(shards(docs, text_col), "zstd")
+    local = written(shards(docs, text_col), "zstd", GROUP_BYTES)
     own = clashes(local)
     number = code
     if own:

@@ -89,3 +89,16 @@ def test_shards_are_closed(spark, monkeypatch):
 def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert filters.audit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_large_rows_are_written_in_small_row_groups(spark):
+    """A task holds a row group, which would be of a hundred rows at least, whatever their size."""
+    import pyarrow.parquet as pq
+
+    from strandframe.llm import _shared
+
+    rows = spark.range(0, 40, 1, 1).select(F.expr("transform(sequence(1, 20000), i -> xxhash64(id, i))").alias("x"))
+    table = _shared.written(rows, "zstd", 1 << 20)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+    assert sum(m.num_rows for m in groups) == 40 and max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 14
+    assert filters.SHARD_BYTES <= filters.GROUP_BYTES <= 8 << 20
