@@ -16,6 +16,8 @@ from . import graph, tables
 
 #: coded() works through so many letters at a time; the longest k-mer of 26 letters that a long holds.
 LETTERS, CODED_K = 1 << 21, 13
+#: of_one_group() holds one of 2**BUCKET_BITS buckets of codes at a time.
+BUCKET_BITS = 12
 
 
 def explode(df: DataFrame, id_cols: str | list[str], seq: str, k: int, tail: str = "keep", alphabet: str | None = None) -> DataFrame:
@@ -26,62 +28,140 @@ def explode(df: DataFrame, id_cols: str | list[str], seq: str, k: int, tail: str
     return out.where(F.col("kmer").rlike(f"^[{alphabet}]+$")) if alphabet else out
 
 
+def _runs(held: list[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, row, code, n) of some rows (ids, sequence): the ids' different rows, and each one's codes in order, with
+    occurrences; of so many letters at a time."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    ids = table.select(table.column_names[:-1])
+    span = 26**k
+    at_once = (2**63 - 1) // span
+    text = table.column(table.num_columns - 1).combine_chunks().fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    ends, data = ends - ends[0], np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    if len(data) and not (data.min() >= ord("a") and data.max() <= ord("z")):
+        raise ValueError("only the letters a-z have a code")
+    who = np.zeros(len(table), np.int64)
+    for column in ids.columns:
+        column = column.combine_chunks().dictionary_encode("encode")
+        _, who = np.unique(who * len(column.dictionary) + column.indices.to_numpy(), return_inverse=True)
+    _, first = np.unique(who, return_index=True)
+    ids = ids.take(first)
+    for low in range(0, len(data) - k + 1, LETTERS):
+        part = data[low : low + LETTERS + k - 1].astype(np.int64) - ord("a")
+        codes = np.zeros(len(part) - k + 1, np.int64)
+        for i in range(k):
+            codes = codes * 26 + part[i : i + len(codes)]
+        row = np.repeat(np.arange(len(table)), np.diff(np.clip(ends, low, low + len(codes))))
+        whole = np.arange(low + k, low + k + len(codes)) <= ends[row + 1]
+        codes, group = codes[whole], who[row[whole]]
+        blocks = np.array([0, len(codes)])
+        if len(first) > at_once:  # an id and a code don't fit one number: ids by blocks
+            order = np.argsort(group, kind="stable")
+            codes, group = codes[order], group[order]
+            blocks = np.searchsorted(group, np.arange(0, len(first) + at_once, at_once))
+        for a, b in zip(blocks[:-1], blocks[1:], strict=True):
+            base = group[a] // at_once * at_once if b > a else 0
+            both, n = np.unique((group[a:b] - base) * span + codes[a:b], return_counts=True)
+            yield ids, both // span + base, both % span, n
+
+
+def _held(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]:
+    """run over the batches, whose last column is a sequence, by LETTERS letters or one longer batch."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(b.num_columns - 1).nbytes
+        if size >= LETTERS:
+            yield from run(held)
+            held, size = [], 0
+    if held:
+        yield from run(held)
+
+
+def _letters(df: DataFrame, ids: list[str], seq: str, k: int) -> DataFrame:
+    if not 0 < k <= CODED_K:
+        raise ValueError(f"k-mers of 1 to {CODED_K} letters have a code")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")  # texts may be long
+    return df.select(*ids, F.col(seq).alias("_seq")).where(F.length("_seq") >= k)
+
+
 def coded(df: DataFrame, id_cols: str | list[str], seq: str, k: int) -> DataFrame:
     """(ids, kmer, n): the k-mers of sequences of the letters a-z as longs, in the order of the k-mers, with occurrences; k is
     at most 13. Occurrences of some millions of letters are counted together, so ids and a k-mer may have several rows."""
     ids = [id_cols] if isinstance(id_cols, str) else id_cols
-    if not 0 < k <= CODED_K:
-        raise ValueError(f"k-mers of 1 to {CODED_K} letters have a code")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")  # texts may be long
-    span = 26**k
-    at_once = (2**63 - 1) // span
+    kept = _letters(df, ids, seq, k)
 
     def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        text = table.column(len(ids)).combine_chunks().fill_null("").cast(pa.large_string())
-        ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
-        ends, data = ends - ends[0], np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        if len(data) and not (data.min() >= ord("a") and data.max() <= ord("z")):
-            raise ValueError("only the letters a-z have a code")
-        who = np.zeros(len(table), np.int64)
-        for i in range(len(ids)):
-            column = table.column(i).combine_chunks().dictionary_encode("encode")
-            _, who = np.unique(who * len(column.dictionary) + column.indices.to_numpy(), return_inverse=True)
-        _, first = np.unique(who, return_index=True)
-        for low in range(0, len(data) - k + 1, LETTERS):
-            part = data[low : low + LETTERS + k - 1].astype(np.int64) - ord("a")
-            codes = np.zeros(len(part) - k + 1, np.int64)
-            for i in range(k):
-                codes = codes * 26 + part[i : i + len(codes)]
-            row = np.repeat(np.arange(len(table)), np.diff(np.clip(ends, low, low + len(codes))))
-            whole = np.arange(low + k, low + k + len(codes)) <= ends[row + 1]
-            codes, group = codes[whole], who[row[whole]]
-            blocks = np.array([0, len(codes)])
-            if len(first) > at_once:  # an id and a code don't fit one number: ids by blocks
-                order = np.argsort(group, kind="stable")
-                codes, group = codes[order], group[order]
-                blocks = np.searchsorted(group, np.arange(0, len(first) + at_once, at_once))
-            for a, b in zip(blocks[:-1], blocks[1:], strict=True):
-                base = group[a] // at_once * at_once if b > a else 0
-                both, n = np.unique((group[a:b] - base) * span + codes[a:b], return_counts=True)
-                for i in range(0, len(both), 1 << 16):
-                    one, times = both[i : i + (1 << 16)], n[i : i + (1 << 16)]
-                    named = table.select(list(range(len(ids)))).take(first[one // span + base]).combine_chunks()
-                    yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in named.columns), pa.array(one % span), pa.array(times.astype(np.int64))], names=[*ids, "kmer", "n"])
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.column(len(ids)).nbytes
-            if size >= LETTERS:
-                yield from counted(held)
-                held, size = [], 0
-        if held:
-            yield from counted(held)
-
-    kept = df.select(*ids, F.col(seq).alias("_seq")).where(F.length("_seq") >= k)
-    return kept.mapInArrow(part, T.StructType([*kept.schema.fields[:-1], T.StructField("kmer", T.LongType()), T.StructField("n", T.LongType())]))
+        for named, row, codes, n in _runs(held, k):
+            for i in range(0, len(codes), 1 << 16):
+                c = slice(i, i + (1 << 16))
+                own = named.take(row[c]).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in own.columns), pa.array(codes[c]), pa.array(n[c].astype(np.int64))], names=[*ids, "kmer", "n"])
+
+    return kept.mapInArrow(lambda batches: _held(batches, counted), T.StructType([*kept.schema.fields[:-1], T.StructField("kmer", T.LongType()), T.StructField("n", T.LongType())]))
+
+
+def of_one_group(df: DataFrame, group: str, seq: str, k: int) -> DataFrame:
+    """(kmer, group): the codes of the k-mers that stand in the sequences of one group only; group is a long, not null.
+
+    Codes are dealt out to buckets by a one-to-one mixing, and a bucket's codes move together, as bytes: a row for a bucket and
+    some millions of letters, with runs of codes of each group (gs, ns). A task holds one bucket at a time."""
+    bits = (26**k - 1).bit_length()
+    shift = max(0, bits - BUCKET_BITS)
+    mask, odd = np.uint64((1 << bits) - 1), 0x9E3779B97F4A7C15 % (1 << bits) | 1
+    back, width = np.uint64(pow(odd, -1, 1 << bits)), max(1, -(-shift // 8))
+    kept = _letters(df, [group], seq, k)
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for named, row, codes, _ in _runs(held, k):
+            if not len(codes):
+                continue
+            names = named.column(0).combine_chunks().to_numpy()
+            mixed = codes.astype(np.uint64) * np.uint64(odd) & mask
+            bucket = (mixed >> np.uint64(shift)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")  # within a bucket by group
+            bucket, row, low = bucket[order], row[order], mixed[order] & np.uint64((1 << shift) - 1)
+            data = np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+            starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+            runs = np.flatnonzero((np.diff(bucket.astype(np.int64), prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+            of = np.searchsorted(runs, [*starts, len(bucket)]).astype(np.int32)
+            sizes = np.diff([*runs, len(bucket)]).astype(np.int32)
+            ends = (np.array([*starts, len(bucket)]) * width).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            whole = pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.ListArray.from_arrays(pa.array(of), pa.array(names[row[runs]])), pa.ListArray.from_arrays(pa.array(of), pa.array(sizes)), blobs], names=["bucket", "gs", "ns", "codes"])
+            for i in range(0, len(whole), 512):
+                yield whole.slice(i, 512)
+
+    def owned(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        low = np.concatenate([np.frombuffer(r[2], np.uint8).reshape(-1, width) for r in rows])
+        full = np.zeros((len(low), 8), np.uint8)
+        full[:, :width] = low
+        mixed = full.view("<u8").ravel() | np.uint64(bucket << shift)
+        names, whose = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+        whose = np.repeat(whose, np.concatenate([r[1] for r in rows]))
+        order = np.lexsort((whose, mixed)) if len(names) > 1 else np.argsort(mixed)
+        mixed, whose = mixed[order], whose[order]
+        starts = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]]))
+        last = np.concatenate([starts[1:], [len(mixed)]]) - 1
+        one = starts[whose[starts] == whose[last]]  # a code's groups are in order
+        kmer, name = (mixed[one] * back & mask).astype(np.int64), names[whose[one]]
+        for i in range(0, len(one), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(kmer[i : i + (1 << 16)]), pa.array(name[i : i + (1 << 16)])], names=["kmer", group])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for r, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != now and rows:
+                    yield from owned(now, rows)
+                    rows = []
+                now = bucket
+                rows.append((batch.column(1)[r].values.to_numpy(), batch.column(2)[r].values.to_numpy(), batch.column(3)[r].as_py()))
+        if rows:
+            yield from owned(now, rows)
+
+    moved = kept.mapInArrow(lambda batches: _held(batches, packed), "bucket int, gs array<long>, ns array<int>, codes binary")
+    return moved.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, f"kmer long, `{group}` long")
 
 
 def decoded(code: Column, k: int) -> Column:

@@ -20,21 +20,22 @@ def build(kmers: DataFrame, group: str, groups: DataFrame | None = None) -> Data
     if groups is None:
         return kmers.groupBy("kmer").agg(F.min(group).alias(group), F.max(group).alias("_m")).where(F.col(group) == F.col("_m")).select("kmer", group)
     coded = kmers.where(F.col(group).isNotNull()).select("kmer", F.xxhash64(group).alias("_g"))
-    return _named(coded, group, groups)
+    own = coded.groupBy("kmer").agg(F.min("_g").alias("_g"), F.max("_g").alias("_m")).where("_g = _m").select("kmer", "_g")
+    return own.join(_names(groups, group), "_g").select("kmer", group)
 
 
 def of_letters(df: DataFrame, group: str, seq: str, k: int) -> DataFrame:
     """build() of the k-mers of sequences (group, seq) of the letters a-z, with the k-mers' codes (kmers.coded), which
-    follow the order of the k-mers; the groups' names are read from df."""
+    follow the order of the k-mers; the groups' names are read from df. Few names are broadcast, never the k-mers."""
+    names = graph.written(_names(df, group))
     hashed = df.where(F.col(group).isNotNull()).select(F.xxhash64(group).alias("_g"), seq)
-    return _named(km.coded(hashed, "_g", seq, k), group, df)
+    own = km.of_one_group(hashed, "_g", seq, k)
+    return own.join(F.broadcast(names) if names.count() <= 100_000 else names.hint("merge"), "_g").select("kmer", group)
 
 
-def _named(coded: DataFrame, group: str, groups: DataFrame) -> DataFrame:
+def _names(groups: DataFrame, group: str) -> DataFrame:
     names = groups.where(F.col(group).isNotNull()).select(group).distinct().groupBy(F.xxhash64(group).alias("_g")).agg(F.min(group).alias(group), F.max(group).alias("_m"))
-    names = names.withColumn(group, F.when(F.col(group) == F.col("_m"), F.col(group)).otherwise(F.raise_error(F.lit("two groups of one hash")))).drop("_m")
-    own = coded.groupBy("kmer").agg(F.min("_g").alias("_g"), F.max("_g").alias("_m")).where("_g = _m").select("kmer", "_g")
-    return own.join(names, "_g").select("kmer", group)
+    return names.withColumn(group, F.when(F.col(group) == F.col("_m"), F.col(group)).otherwise(F.raise_error(F.lit("two groups of one hash")))).drop("_m")
 
 
 def summary(signatures: DataFrame, groups: DataFrame, group: str) -> DataFrame:

@@ -368,3 +368,14 @@ def test_identities_by_blocks_and_copies_give_the_rows_of_all_pairs(spark, monke
     for n in (3, 60):
         one, two = align.dereplicate_n(few, nodes, n, 4, same), align.dereplicate_n(pairs, nodes, n, 4)
         assert one[0] == two[0] and rows(one[1]) == rows(two[1])
+
+
+def test_kmers_of_one_group_by_buckets(spark, monkeypatch):
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(rnd.choice([-5, 7, 2**62]), "".join(rnd.choice("abz") for _ in range(rnd.randrange(40)))) for _ in range(60)] + [(7, None)], "g long, s string").repartition(3)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    for letters in (1 << 21, 50):
+        monkeypatch.setattr(kmers, "LETTERS", letters)
+        for k in (1, 2, 4, 13):
+            got = kmers.of_one_group(df, "g", "s", k).select(kmers.decoded(F.col("kmer"), k).alias("kmer"), "g")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, signatures.build(kmers.explode(df, "g", "s", k), "g").collect()))
