@@ -379,3 +379,15 @@ def test_kmers_of_one_group_by_buckets(spark, monkeypatch):
         for k in (1, 2, 4, 13):
             got = kmers.of_one_group(df, "g", "s", k).select(kmers.decoded(F.col("kmer"), k).alias("kmer"), "g")
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, signatures.build(kmers.explode(df, "g", "s", k), "g").collect()))
+
+
+def test_common_letters_are_those_of_common(spark, monkeypatch):
+    rnd = random.Random(4)
+    seqs = [("".join(rnd.choice("abz") for _ in range(rnd.randrange(60)))) for _ in range(40)] + [None, "z" * 70]
+    df = spark.createDataFrame(list(enumerate(seqs)), "b long, s string").repartition(3)
+    sets = df.where("b % 3 = 0 or b > 38").withColumnRenamed("b", "a")
+    for letters in (1 << 21, 50):
+        monkeypatch.setattr(kmers, "LETTERS", letters)
+        for k in (2, 5, 26):
+            want = kmers.common(kmers.explode(sets, "a", "s", k), kmers.explode(df, "b", "s", k), "a", "b")
+            assert sorted(map(tuple, kmers.common_letters(sets, df, "a", "b", "s", k).collect())) == sorted(map(tuple, want.collect())) != []
